@@ -4,7 +4,8 @@ The document by shingle incidence matrix is multiplied with its transpose in blo
 similarity is left out by bounds that follow from set sizes alone. Nothing is estimated: every link counts.
 
 1. Documents with equal shingle sets are one class; its smallest id stands for it. Only classes go on.
-2. Shingles are ordered by their hash. Two sets with Jaccard t or more share one of the first n - ceil(t n) + 1
+2. Shingles are ordered by their hash, but those that map batches met often come last (``HOT`` of them at most; any order
+   is right, this one keeps common passages out of the posted part). Two sets with Jaccard t or more share one of the first n - ceil(t n) + 1
    shingles of either (size bound), so only those are posted. The product of the posted columns is accumulated
    per pair; a pair goes on only if its overlap so far plus what is left behind the last shared shingle of both
    can reach t / (1 + t) of the two sizes. Columns with more than ``DENSE`` rows aren't multiplied out: their rows
@@ -40,8 +41,12 @@ from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes
 WORDS = 4
 #: Similarity as a fraction, so that bounds are exact.
 NUM, DEN = 85, 100
-DENSE = 32
+DENSE = 64
 BLOCK = 2000
+#: Shingles that are put last: a bound on what is broadcast, 8 bytes each.
+HOT = 200_000
+#: A batch calls a shingle common that so many of its documents have, and one in so many at least.
+COMMON_ROWS, COMMON_SHARE = 4, 1000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -119,19 +124,45 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / math.log(DEN / NUM) + 1e-9).astype(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that many documents of a batch have."""
     for b in batches:
-        data, offsets = text_bytes(b.column(1))
-        n, sums, mixes, prefixes = [], [], [], []
-        for i, j in pieces(offsets):
-            for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                n.append(len(s))
-                sums.append(int(s.sum(dtype=np.uint64)) if len(s) else 0)
-                mixes.append(int(mix64(s ^ np.uint64(_BASE)).sum(dtype=np.uint64)) if len(s) else 0)
-                prefixes.append(s[: prefix_length(len(s))].tobytes())
-        yield pa.RecordBatch.from_arrays([
-            b.column(0), pa.array(n, pa.int32()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(mixes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()),
-        ], ["id", "n", "fp1", "fp2", "prefix"])
+        data, offsets = text_bytes(b.column(0))
+        sets = [s for i, j in pieces(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+        token, count = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+        use = count >= max(COMMON_ROWS, b.num_rows // COMMON_SHARE)
+        yield pa.RecordBatch.from_arrays([pa.array(token[use].view(np.int64)), pa.array(count[use])], ["token", "n"])
+
+
+def common_shingles(rows: DataFrame) -> np.ndarray:
+    """The shingles of rows (text) that come last in the order, sorted."""
+    counted = rows.select("text").mapInArrow(_common, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "token").limit(HOT).select("token").toArrow()  # HOT rows at most
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _sketch(common):
+    """Size, fingerprint and the posted part of each set: its first shingles in the order, the common ones last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = common.value
+        for b in batches:
+            data, offsets = text_bytes(b.column(1))
+            n, sums, mixes, prefixes = [], [], [], []
+            for i, j in pieces(offsets):
+                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                    n.append(len(s))
+                    sums.append(int(s.sum(dtype=np.uint64)) if len(s) else 0)
+                    mixes.append(int(mix64(s ^ np.uint64(_BASE)).sum(dtype=np.uint64)) if len(s) else 0)
+                    if len(late) and len(s):
+                        is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+                        s = np.concatenate([s[~is_late], s[is_late]])
+                    prefixes.append(s[: prefix_length(len(s))].tobytes())
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array(n, pa.int32()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(mixes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()),
+            ], ["id", "n", "fp1", "fp2", "prefix"])
+
+    return run
 
 
 def _posting(parts: int):
@@ -322,7 +353,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for each row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = staged(rows.mapInArrow(_sketch, "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary"), "sketches")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
+    sketches = staged(rows.mapInArrow(_sketch(common), "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary"), "sketches")
     named = sketches.where("n > 0 and id is not null")
     firsts = named.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("id", "prefix")).alias("m"))
     classes = firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix"))
@@ -332,8 +364,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     level = F.floor(F.ln(F.col("n")) / math.log(DEN / NUM) + F.lit(1e-9)).cast("long")
     sized = staged(sized.withColumn("band", level), "sized")
     counts = sized.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("m"))
-    homes = counts.select("comp", "band", "m").unionByName(counts.select("comp", (F.col("band") + 1).alias("band"), "m")).groupBy("comp", "band").agg(F.sum("m").alias("m"))
-    homes = homes.where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    # a band meets itself and the one below; where it has nobody of its own there is nothing to count
+    below = counts.select("comp", (F.col("band") + 1).alias("band"), F.col("m").alias("below"))
+    homes = counts.join(below, ["comp", "band"], "left").select("comp", "band", (F.col("m") + F.coalesce("below", F.lit(0))).alias("m"))
+    homes = homes.where("m > 1").select("comp", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     placed = sized.select("id", "comp", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).distinct().join(homes, ["comp", "band"])
     block = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j"))))
