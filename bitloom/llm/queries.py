@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import chat, decontam, exact_dedup, jaccard_join, langid, sentencepiece_fst, sharding, suffix_dedup, url_filter
+from bitloom.llm import chat, decontam, exact_dedup, html_extract, jaccard_join, langid, sentencepiece_fst, sharding, suffix_dedup, url_filter
 from bitloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": lambda s, d: suffix_dedup.op1(table(s, d, "documents")),
+    "op2_html_extraction": lambda s, d: html_extract.op2(table(s, d, "pages")),
     "op3_chat_formatting": lambda s, d: chat.op3(s, table(s, d, "conversations")),
     "op4_url_filters": lambda s, d: url_filter.op4(table(s, d, "pages"), table(s, d, "labels")),
     "op5_sharding": lambda s, d: sharding.op5(table(s, d, "documents")),
