@@ -20,6 +20,7 @@ result; columns beside the named ones are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 META = "▁"
 #: Segments whose encoding a worker remembers; beyond it starts afresh.
-CACHE = 400_000
+CACHE = 700_000
 INF = float("inf")
 SCHEMA = "ids array<int>, n_tokens bigint, n_byte_tokens bigint, decoded string"
 
@@ -209,37 +210,60 @@ class Transducer:
 SEGMENT = re.compile(f"{META}*[^{META}]+|{META}+")
 
 
+class Memory:
+    """A compiled model and the segments that a worker process has met: later tasks of the process go on with it."""
+
+    of: dict[int, Memory] = {}
+
+    def __init__(self, model: bytes):
+        self.machine = Transducer(model)
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.bounds = array("i"), array("q", [0])
+
+    @classmethod
+    def get(cls, model: bytes) -> Memory:
+        key = hash(model)
+        if key not in cls.of:
+            cls.of.clear()
+            cls.of[key] = cls(model)
+        return cls.of[key]
+
+    def places(self, text: str | None) -> np.ndarray:
+        """Where the segments of a text are in the pool."""
+        machine, place = self.machine, self.place
+        segs = SEGMENT.findall(machine.normalise(text or ""))
+        at = [place.get(s, -1) for s in segs]
+        if -1 in at:
+            for k, s in enumerate(segs):
+                if at[k] < 0:
+                    p = place.get(s)
+                    if p is None:
+                        p = place[s] = len(place)
+                        self.flat.extend(machine.segment(s))
+                        self.bounds.append(len(self.flat))
+                    at[k] = p
+        return np.array(at, np.int64)
+
+
 def encode_decode(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, ids, n_tokens, n_byte_tokens and the text decoded from the ids."""
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary file: its size doesn't depend on the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(shared.value)
-        place: dict[str, int] = {}
-        flat, bounds = [], [0]
+        memory = Memory.get(shared.value)
+        machine = memory.machine
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 arrays, decoded, n_bytes = [], [], []
-                if len(place) > CACHE:
-                    place.clear()
-                    flat, bounds = [], [0]
-                indices = []
-                for text in part.column(part.num_columns - 1).to_pylist():
-                    segs = SEGMENT.findall(machine.normalise(text or ""))
-                    at = [place.get(s, -1) for s in segs]
-                    if -1 in at:
-                        for k, s in enumerate(segs):
-                            if at[k] < 0:
-                                p = place.get(s)
-                                if p is None:
-                                    p = place[s] = len(place)
-                                    flat += machine.segment(s)
-                                    bounds.append(len(flat))
-                                at[k] = p
-                    indices.append(np.array(at, np.int64))
-                pool, ends = np.array(flat, np.int32), np.array(bounds, np.int64)
+                if len(memory.place) > CACHE:
+                    memory.clear()
+                indices = [memory.places(x) for x in part.column(part.num_columns - 1).to_pylist()]
+                pool, ends = np.array(memory.flat, np.int32), np.array(memory.bounds, np.int64)
                 for at in indices:
                     start, n = ends[at], ends[at + 1] - ends[at]
                     total = int(n.sum())
