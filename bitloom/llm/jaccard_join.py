@@ -12,7 +12,7 @@ similarity is left out by bounds that follow from set sizes alone. Nothing is es
    are chained, which keeps every pair connected and makes one edge per row. Map tasks chain dense columns of
    their own batch already, so a shingle of a third of all documents never meets in one place.
 3. Components of the candidate edges are cut into size bands (sets in a ratio of t or more are in the same band or
-   the next), bands into blocks of ``BLOCK`` classes, and every pair of blocks is multiplied exactly with whole
+   the next), bands into blocks of about ``BLOCK`` shingles, and every pair of blocks is multiplied exactly with whole
    sets. Within a task pairs that are already connected need no count. Output: links that connect, at most one
    per class and block pair.
 4. Components of the links give component_id.
@@ -42,11 +42,12 @@ WORDS = 4
 #: Similarity as a fraction, so that bounds are exact.
 NUM, DEN = 85, 100
 DENSE = 64
-BLOCK = 2000
+#: Shingles in a block of sets, about: it bounds what a task holds.
+BLOCK = 400_000
 #: Shingles that are put last: a bound on what is broadcast, 8 bytes each.
-HOT = 200_000
+HOT = 400_000
 #: A batch calls a shingle common that so many of its documents have, and one in so many at least.
-COMMON_ROWS, COMMON_SHARE = 4, 1000
+COMMON_ROWS, COMMON_SHARE = 3, 3000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -363,18 +364,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sized = near.join(classes.select("id", "n"), near.node == F.col("id")).select("id", "n", "comp")
     level = F.floor(F.ln(F.col("n")) / math.log(DEN / NUM) + F.lit(1e-9)).cast("long")
     sized = staged(sized.withColumn("band", level), "sized")
-    counts = sized.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("m"))
+    counts = sized.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     # a band meets itself and the one below; where it has nobody of its own there is nothing to count
-    below = counts.select("comp", (F.col("band") + 1).alias("band"), F.col("m").alias("below"))
-    homes = counts.join(below, ["comp", "band"], "left").select("comp", "band", (F.col("m") + F.coalesce("below", F.lit(0))).alias("m"))
-    homes = homes.where("m > 1").select("comp", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    below = counts.select("comp", (F.col("band") + 1).alias("band"), F.col("m").alias("below"), F.col("w").alias("below_w"))
+    homes = counts.join(below, ["comp", "band"], "left").fillna(0, ["below", "below_w"]).where("m + below > 1")
+    homes = homes.select("comp", "band", F.ceil((F.col("w") + F.col("below_w")) / BLOCK).cast("int").alias("blocks"))
     placed = sized.select("id", "comp", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).distinct().join(homes, ["comp", "band"])
     block = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j"))))
     keyed = placed.select("id", "comp", "band", pair.alias("p")).select("id", F.struct("comp", "band", "p.i", "p.j").alias("key"))
     keyed = keyed.select("id", F.concat_ws(":", "key.comp", "key.band", "key.i", "key.j").alias("key"))
-    texts = rows.join(keyed.select("id").distinct(), "id", "left_semi")
-    spread = texts.join(keyed, "id").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    spread = rows.join(keyed, "id").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
     links = staged(spread.select("key", "id", "text").mapInArrow(_verify, "a bigint, b bigint"), "links")
     comps = components(links)
     labelled = firsts.select("n", "fp1", "fp2", F.col("m.id").alias("rep")).join(comps, F.col("rep") == comps.node, "left").select("n", "fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
