@@ -421,7 +421,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     rows = rows.withColumn("tk", F.substring(F.unhex(F.sha2(F.col("body"), 256)), 1, 16))
-    known = rows.where(F.col("id").isNotNull() & (F.octet_length("body") >= LENGTH)).select("id", "tk")
+    nameless = rows.where("id is null")
+    # what every join below would ask for is asked for here, so that all of them share one exchange of the texts
+    rows = rows.where("id is not null and tk is not null and body is not null")
+    known = rows.where(F.octet_length("body") >= LENGTH).select("id", "tk")
     least = known.groupBy("tk").agg(F.min("id").alias("first"))
     named = known.groupBy("id", "tk").agg(F.count(F.lit(1)).alias("m")).join(least, "tk").select("id", "tk", (F.col("id") > F.col("first")).alias("copy"))
     firsts = named.where(~F.col("copy")).select("id", "tk", (F.row_number().over(Window.partitionBy("id").orderBy("tk")) - 1).cast("int").alias("text"))
@@ -433,7 +436,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     found = around.mapInArrow(_sorted_task, "doc bigint, text int, blob binary").groupBy("doc", "text").agg(F.collect_list("blob").alias("blobs"))
     found = found.withColumnRenamed("doc", "id").join(firsts, ["id", "text"]).select("id", "tk", F.lit(False).alias("copy"), "blobs")
     copies = named.where("copy").select("id", "tk", "copy", F.lit(None).cast("array<binary>").alias("blobs"))
-    return rows.join(found.unionByName(copies), ["id", "tk"], "left").select("id", "body", F.coalesce("copy", F.lit(False)).alias("copy"), "blobs")
+    settled = found.unionByName(copies)
+    out = rows.join(settled, ["id", "tk"], "left").select("id", "body", F.coalesce("copy", F.lit(False)).alias("copy"), "blobs")
+    return out.unionByName(nameless.select("id", "body", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("blobs")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
