@@ -78,7 +78,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stat
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
     met = state.where("n > 1").select("digest", "keep_id")
     hits = rows.join(met, "digest")
-    keepers = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("text").alias("keep_text")).dropDuplicates(["digest"])
+    # written as a bitwise test, not as an equality, so that the join keeps its one key and the exchange of the texts is shared
+    keeps = F.expr("CASE WHEN id IS NULL OR keep_id IS NULL THEN id IS NULL AND keep_id IS NULL ELSE (xxhash64(id) ^ xxhash64(keep_id)) = 0 END")
+    keepers = hits.where(keeps).select("digest", F.col("text").alias("keep_text")).dropDuplicates(["digest"])
     checked = hits.join(keepers, "digest").select(
         "id", "digest", F.when(F.col("text") != F.col("keep_text"), F.col("text")).alias("other")
     )
