@@ -11,8 +11,8 @@ similarity is left out by bounds that follow from set sizes alone. Nothing is es
    can reach t / (1 + t) of the two sizes. Columns with more than ``DENSE`` rows aren't multiplied out: their rows
    are chained, which keeps every pair connected and makes one edge per row. Map tasks chain dense columns of
    their own batch already, so a shingle of a third of all documents never meets in one place.
-3. Components of the candidate edges are cut into size bands (sets in a ratio of t or more are in the same band or
-   the next), bands into blocks of about ``BLOCK`` shingles, and every pair of blocks is multiplied exactly with whole
+3. Candidate pairs are counted exactly with whole sets, by the smaller id. Components of the chains are cut into size bands
+   (sets in a ratio of t or more are in the same band or the next), bands into blocks of about ``BLOCK`` shingles, and every pair of blocks is multiplied exactly with whole
    sets. Within a task pairs that are already connected need no count. Output: links that connect, at most one
    per class and block pair.
 4. Components of the links give component_id.
@@ -43,7 +43,7 @@ WORDS = 4
 NUM, DEN = 85, 100
 DENSE = 64
 #: Shingles in a block of sets, about: it bounds what a task holds.
-BLOCK = 400_000
+BLOCK = 1_000_000
 #: Shingles that are put last: a bound on what is broadcast, 8 bytes each.
 HOT = 400_000
 #: A batch calls a shingle common that so many of its documents have, and one in so many at least.
@@ -273,14 +273,15 @@ def _pairs(a, b, overlap, pos_a, pos_b, n_a, n_b) -> pa.RecordBatch:
     )
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """a, b from classes (id, n, prefix): every pair of similar classes is connected by them."""
+def candidates(classes: DataFrame) -> DataFrame:
+    """a, b, dense from classes (id, n, prefix). Every similar pair is either a row that isn't dense or connected by dense rows."""
     parts = shuffle_partitions(classes.sparkSession)
     blobs = classes.mapInArrow(_posting(parts), "part int, kind int, blob binary").repartition(parts, "part")
     pairs = blobs.mapInArrow(_multiply, "a bigint, b bigint, overlap bigint, pos_a bigint, pos_b bigint, n_a bigint, n_b bigint")
     whole = pairs.groupBy("a", "b").agg(F.sum("overlap").alias("o"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"), F.max("n_a").alias("na"), F.max("n_b").alias("nb"))
     most = F.col("o") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return whole.where((most * (NUM + DEN) >= NUM * (F.col("na") + F.col("nb"))) | (F.col("o") >= _ALWAYS)).select("a", "b")
+    dense = F.col("o") >= _ALWAYS
+    return whole.where(dense | (most * (NUM + DEN) >= NUM * (F.col("na") + F.col("nb")))).select("a", "b", dense.alias("dense"))
 
 
 def link_block(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -328,12 +329,19 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def link_star(center: int, ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of one class with the others."""
+    mine = [s for i, s in zip(ids, sets, strict=True) if i == center]
+    return [(center, i) for i, s in zip(ids, sets, strict=True) if i != center and any(_similar(m, s) for m in mine)]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block pair (key): id, text. One block pair is in memory at a time."""
+    """Rows sorted by key: id, text. A key is a block pair, or the id of a class that is compared with its candidates ("star:id").
+    One key is in memory at a time."""
     key, ids, sets = None, [], []
 
     def done():
-        links = link_block(ids, sets) if len(ids) > 1 else []
+        links = link_star(int(key[5:]), ids, sets) if key.startswith("star:") else link_block(ids, sets) if len(ids) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     for b in batches:
@@ -358,10 +366,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sketches = staged(rows.mapInArrow(_sketch(common), "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary"), "sketches")
     named = sketches.where("n > 0 and id is not null")
     firsts = named.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("id", "prefix")).alias("m"))
-    classes = firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix"))
-    near = components(candidate_edges(classes))
-    # size bands and blocks
-    sized = near.join(classes.select("id", "n"), near.node == F.col("id")).select("id", "n", "comp")
+    edges = staged(candidates(firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix"))), "candidates")
+    reps = staged(named.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
+    # pairs by themselves: each smaller id with its partners
+    pairs = edges.where("not dense").select("a", "b")
+    star = F.concat(F.lit("star:"), F.col("a").cast("string")).alias("key")
+    stars = pairs.select(F.col("b").alias("id"), star).unionByName(pairs.select("a").distinct().select(F.col("a").alias("id"), star))
+    # dense columns: size bands and blocks of their components
+    near = components(edges.where("dense"))
+    sized = near.join(reps.select(F.col("rep").alias("id"), "n"), near.node == F.col("id")).select("id", "n", "comp")
     level = F.floor(F.ln(F.col("n")) / math.log(DEN / NUM) + F.lit(1e-9)).cast("long")
     sized = staged(sized.withColumn("band", level), "sized")
     counts = sized.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
@@ -372,12 +385,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     placed = sized.select("id", "comp", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).distinct().join(homes, ["comp", "band"])
     block = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j"))))
-    keyed = placed.select("id", "comp", "band", pair.alias("p")).select("id", F.struct("comp", "band", "p.i", "p.j").alias("key"))
-    keyed = keyed.select("id", F.concat_ws(":", "key.comp", "key.band", "key.i", "key.j").alias("key"))
+    blocks = placed.select("id", "comp", "band", pair.alias("p")).select("id", F.concat_ws(":", "comp", "band", "p.i", "p.j").alias("key"))
+    keyed = stars.unionByName(blocks)
     spread = rows.join(keyed, "id").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
     links = staged(spread.select("key", "id", "text").mapInArrow(_verify, "a bigint, b bigint"), "links")
     comps = components(links)
-    labelled = firsts.select("n", "fp1", "fp2", F.col("m.id").alias("rep")).join(comps, F.col("rep") == comps.node, "left").select("n", "fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
+    labelled = reps.join(comps, reps.rep == comps.node, "left").select("n", "fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
     linked = named.select("id", "n", "fp1", "fp2").join(labelled, ["n", "fp1", "fp2"]).select("id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = sketches.where("n = 0 or id is null").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(alone)
