@@ -196,8 +196,9 @@ def _post(parts: int):
             doc, place, key = doc[order], place[order], key[order]
             settled, lead, shared = _repeated(key, doc)
             out = [[], [], [], []]
-            for d, t, rows in _by_text(doc[settled], place[settled]):
-                for c, x in zip(out, (d % parts, d, t, (place[settled][rows] % TEXT_SPAN).astype(np.int64).tobytes()), strict=True):
+            own, places_of = doc[settled], place[settled]
+            for d, t, rows in _by_text(own, places_of):
+                for c, x in zip(out, (d % parts, d, t, (places_of[rows] % TEXT_SPAN).astype(np.int64).tobytes()), strict=True):
                     c.append(x)
             doc, place, key, shared = doc[lead], place[lead], key[lead], shared[lead]
             part = (key % np.uint64(parts)).astype(np.int64)
