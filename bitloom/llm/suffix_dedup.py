@@ -167,6 +167,37 @@ def _by_text(doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, np.
             yield int(doc[a]), int(text[a]), order[a:b]
 
 
+def _dealt(rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, blob): rows of numbers, the first of which is a document, dealt by document."""
+    part = rows[:, 0] % parts
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(cut))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(rows[order[cut[p] : cut[p + 1]]].tobytes(), 1) for p in full.tolist()], pa.binary())], ["part", "blob"])
+
+
+def _by_document(width: int):
+    """Dealt rows (document, text, numbers ...) -> one row for each text: doc, text, blob of its numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(-1, width) for b in batches for x in b.column(1)]
+        if not blobs:
+            return
+        rows = np.concatenate(blobs)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
+        begin = np.concatenate([[0], cut])
+        ends = [*cut.tolist(), len(rows)]
+        body = np.ascontiguousarray(rows[:, 2:])
+        for lo in range(0, len(begin), 5000):
+            at = begin[lo : lo + 5000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[at, 0]), pa.array(rows[at, 1].astype(np.int32)), pa.array([body[x:y].tobytes() for x, y in zip(at.tolist(), ends[lo : lo + 5000], strict=True)], pa.binary())], ["doc", "text", "blob"]
+            )
+
+    return run
+
+
 _OUT = "part int, doc bigint, text int, blob binary"
 
 
@@ -232,14 +263,30 @@ def _repeated(key: np.ndarray, doc: np.ndarray, shared: np.ndarray | None = None
     return rows, lead, rows
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places whose gram occurs in several documents, by text."""
+def _match(parts: int):
+    """Places whose gram occurs in several documents, dealt by document: (document, text, place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(_matches(batches))
+        if found:
+            yield _dealt(np.concatenate(found), parts)
+
+    return run
+
+
+def _settled(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """Rows (document, text, numbers ...) that are known before the exchange."""
+    for d, t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+        if d is not None:
+            numbers = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, width)
+            yield np.concatenate([np.full((len(numbers), 1), d), np.full((len(numbers), 1), t), numbers], 1)
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     docs, places, keys, shareds = [], [], [], []
     for b in batches:
-        parts, owners, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-        through = [i for i, d in enumerate(owners) if d is not None]
-        if through:
-            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(through)) for k in (1, 2, 3)], ["doc", "text", "blob"])
+        parts, owners = b.column(0).to_pylist(), b.column(1).to_pylist()
+        yield from _settled(b, 1)
         for i, blob in enumerate(b.column(3)):
             if owners[i] is not None:
                 continue
@@ -260,11 +307,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # the first row of a batch stands for its whole group there, which is settled; it is met again here and told once more
     rows, _, _ = _repeated(key, doc, shared)
     doc, place = doc[rows], place[rows]
-    out = [[], [], []]
-    for d, t, o in _by_text(doc, place):
-        for c, x in zip(out, (d, t, (place[o] % TEXT_SPAN).astype(np.int64).tobytes()), strict=True):
-            c.append(x)
-    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["doc", "text", "blob"])
+    yield np.stack([doc, place // TEXT_SPAN, place % TEXT_SPAN], 1)
 
 
 # surroundings of minimisers
@@ -283,7 +326,7 @@ def _surround(parts: int):
                 buf = np.concatenate([np.zeros(LEFT, np.uint8), flat, np.zeros(LENGTH, np.uint8)])
                 at, own = [], []
                 for i in range(lo, hi):
-                    places = np.unique(np.frombuffer(b"".join(x for x in lists[i].as_py()), np.int64))
+                    places = np.unique(np.frombuffer(lists[i].as_py(), np.int64))
                     at.append(places + (offsets[i] - offsets[lo]))
                     own.append(np.full(len(places), i))
                 at, own = np.concatenate(at), np.concatenate(own)
@@ -377,14 +420,22 @@ def covered(ctx: np.ndarray, la: np.ndarray, ra: np.ndarray, doc: np.ndarray) ->
     return lo, hi
 
 
-def _sorted_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings of this task -> spans of covered bytes, by text."""
+def _sorted_task(parts: int):
+    """Surroundings of a task -> spans of covered bytes, dealt by document: (document, text, start, end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(_covered_spans(batches))
+        if found:
+            yield _dealt(np.concatenate(found), parts)
+
+    return run
+
+
+def _covered_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     found = [[] for _ in range(5)]
     for b in batches:
         owners = b.column(1).to_pylist()
-        through = [i for i, d in enumerate(owners) if d is not None]
-        if through:
-            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(through)) for k in (1, 2, 3)], ["doc", "text", "blob"])
+        yield from _settled(b, 2)
         for i, blob in enumerate(b.column(3)):
             if owners[i] is not None:
                 continue
@@ -400,9 +451,9 @@ def _sorted_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ctx, doc, place, la, ra = (np.concatenate(f) for f in found)
     lo, hi = covered(ctx, la.astype(np.int64), ra.astype(np.int64), doc)
     use = hi >= lo
-    out = [[], [], [], []]
-    _tell(out, doc, place, place - hi, place - lo + LENGTH, use)
-    yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["doc", "text", "blob"])
+    doc, place, lo, hi = doc[use], place[use], lo[use], hi[use]
+    text, place = place // TEXT_SPAN, place % TEXT_SPAN
+    yield np.stack([doc, text, place - hi, place - lo + LENGTH], 1)
 
 
 def _merge(spans: np.ndarray) -> np.ndarray:
@@ -431,15 +482,16 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     firsts = named.where(~F.col("copy")).select("id", "tk", (F.row_number().over(Window.partitionBy("id").orderBy("tk")) - 1).cast("int").alias("text"))
     texts = rows.join(firsts, ["id", "tk"])
     posted = texts.select("id", "text", "body").mapInArrow(_post(parts), _OUT).repartition(parts, "part")
-    places = posted.mapInArrow(_match, "doc bigint, text int, blob binary").groupBy("doc", "text").agg(F.collect_list("blob").alias("blobs"))
+    dealt, texts_of = "part int, blob binary", "doc bigint, text int, blob binary"
+    places = posted.mapInArrow(_match(parts), dealt).repartition(parts, "part").mapInArrow(_by_document(3), texts_of)
     keyed = places.withColumnRenamed("doc", "id").join(firsts, ["id", "text"])
-    around = rows.join(keyed, ["id", "tk"]).select("id", "text", "body", "blobs").mapInArrow(_surround(parts), _OUT).repartition(parts, "part")
-    found = around.mapInArrow(_sorted_task, "doc bigint, text int, blob binary").groupBy("doc", "text").agg(F.collect_list("blob").alias("blobs"))
-    found = found.withColumnRenamed("doc", "id").join(firsts, ["id", "text"]).select("id", "tk", F.lit(False).alias("copy"), "blobs")
-    copies = named.where("copy").select("id", "tk", "copy", F.lit(None).cast("array<binary>").alias("blobs"))
+    around = rows.join(keyed, ["id", "tk"]).select("id", "text", "body", "blob").mapInArrow(_surround(parts), _OUT).repartition(parts, "part")
+    found = around.mapInArrow(_sorted_task(parts), dealt).repartition(parts, "part").mapInArrow(_by_document(4), texts_of)
+    found = found.withColumnRenamed("doc", "id").join(firsts, ["id", "text"]).select("id", "tk", F.lit(False).alias("copy"), "blob")
+    copies = named.where("copy").select("id", "tk", "copy", F.lit(None).cast("binary").alias("blob"))
     settled = found.unionByName(copies)
-    out = rows.join(settled, ["id", "tk"], "left").select("id", "body", F.coalesce("copy", F.lit(False)).alias("copy"), "blobs")
-    return out.unionByName(nameless.select("id", "body", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("blobs")))
+    out = rows.join(settled, ["id", "tk"], "left").select("id", "body", F.coalesce("copy", F.lit(False)).alias("copy"), "blob")
+    return out.unionByName(nameless.select("id", "body", F.lit(False).alias("copy"), F.lit(None).cast("binary").alias("blob")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,7 +504,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if copies[i]:
                 runs = np.array([[0, len(text)]], np.int64)
             elif lists[i].is_valid:
-                runs = _merge(np.frombuffer(b"".join(lists[i].as_py()), np.int64).reshape(-1, 2))
+                runs = _merge(np.frombuffer(lists[i].as_py(), np.int64).reshape(-1, 2))
             else:
                 runs = np.empty((0, 2), np.int64)
             left, last = hashlib.sha256(), 0
