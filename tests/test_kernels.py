@@ -94,7 +94,7 @@ def test_errors():
         with pytest.raises(K.CodecError):
             K.huffman_decode(bad, 0)
     with pytest.raises(K.CodecError):
-        K.huffman_decode(bytes.fromhex("00024100000003420000000380"), 0)
+        K.huffman_decode(bytes.fromhex("00024100000003420000000380"), 7)
     with pytest.raises(K.CodecError):
         K.lz78_decode(b"\0\0\0")
     with pytest.raises(K.CodecError):
