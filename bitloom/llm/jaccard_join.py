@@ -41,13 +41,13 @@ from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes
 WORDS = 4
 #: Similarity as a fraction, so that bounds are exact.
 NUM, DEN = 85, 100
-DENSE = 64
+DENSE = 48
 #: Shingles in a block of sets, about: it bounds what a task holds.
 BLOCK = 1_000_000
 #: Shingles that are put last: a bound on what is broadcast, 8 bytes each.
 HOT = 400_000
-#: A batch calls a shingle common that so many of its documents have, and one in so many at least.
-COMMON_ROWS, COMMON_SHARE = 3, 3000
+#: A batch calls shingles common that two of its documents have or more, the most frequent ones up to this number.
+COMMON_MOST = 20_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -131,7 +131,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(b.column(0))
         sets = [s for i, j in pieces(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
         token, count = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-        use = count >= max(COMMON_ROWS, b.num_rows // COMMON_SHARE)
+        use = np.flatnonzero(count > 1)
+        if len(use) > COMMON_MOST:
+            use = use[np.argsort(-count[use], kind="stable")[:COMMON_MOST]]
         yield pa.RecordBatch.from_arrays([pa.array(token[use].view(np.int64)), pa.array(count[use])], ["token", "n"])
 
 
