@@ -97,11 +97,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stat
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = groups(docs, id_col, text_col, state_dir).where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    key = F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit(""))
+    kept = groups(docs, id_col, text_col, state_dir).where("kept").select(key.alias("__key"), F.col("digest").alias("__digest"))
     names = docs.columns
-    marked = docs.withColumn("__digest_of", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    out = marked.join(kept, marked[id_col].eqNullSafe(kept["__id"]) & (marked["__digest_of"] == kept["__digest"]), "left_semi")
-    return out.dropDuplicates([id_col, "__digest_of"]).select(*names)
+    own = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit(""))
+    marked = docs.withColumns({"__key": own, "__digest": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
+    # rows of one id and text are the same to this operator: one of them stays; join and choice share one exchange
+    return marked.join(kept, ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"]).select(*names)
 
 
 def op10(docs: DataFrame) -> DataFrame:
