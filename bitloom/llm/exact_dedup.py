@@ -21,6 +21,8 @@ from bitloom.llm.common import shared_path
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": PROVIDER,
+    # else every partition of the state takes megabytes of disk in advance
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
