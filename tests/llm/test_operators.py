@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,31 @@ def test_decontamination(spark, none):
     assert decontam.op8(none, bench).count() == 0
 
 
+def _edited(s, n, rng):
+    for _ in range(n):
+        i = rng.randrange(len(s))
+        s = s[:i] + rng.choice(["", rng.choice("abcdefgh"), s[i] + rng.choice("abcdefgh")]) + s[i + 1 :]
+    return s
+
+
+def _found(items, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return {k for _, k, *_ in items.search(data, np.array([0, len(data)]))}
+
+
+def test_decontamination_recall():
+    rng = random.Random(4)
+    words = ["river", "stone", "cloud", "winter", "letter", "garden", "silver", "engine", "morning", "of", "the", "and", "thunder", "paper"]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [prose(15)[:81].strip() for _ in range(60)]
+    items = decontam.Items(list(enumerate(texts)), 0.8)
+    for share in (0.1, 0.15, 0.2):
+        caught = [k in _found(items, f"{prose(9)} {_edited(t, int(share * len(t)), rng)} {prose(9)}") for k, t in enumerate(texts)]
+        assert sum(caught) >= 0.9 * len(caught)
+    tiny = decontam.Items([(1, "tiny item"), (2, "seventeen letters")], 0.8)
+    assert _found(tiny, "a tinny item here") == {0} and _found(tiny, "a tiinny items here") == set() and _found(tiny, "such sevenxeen lettrs") == {1}
+
+
 def test_html(spark):
     page = (
         '<html><head><title>t</title><script>var a="</p>"</script></head><body class="has-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">Ok?</div><nav>menu</nav>'
