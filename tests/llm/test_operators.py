@@ -285,6 +285,16 @@ def test_decontamination_recall():
     assert _found(tiny, "a tinny item here") == {0} and _found(tiny, "a tiinny items here") == set() and _found(tiny, "such sevenxeen lettrs") == {1}
 
 
+def test_decontamination_without_spaces():
+    rng = random.Random(6)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    texts = [han(60), token(90), "\u00a0".join(token(6) for _ in range(12)), "\u3000".join(han(3) for _ in range(9))]
+    items = decontam.Items(list(enumerate(texts)), 0.8)
+    for k, t in enumerate(texts):
+        assert _found(items, (han if k in (0, 3) else token)(200) + t + (han if k in (0, 3) else token)(200)) == {k}
+
+
 def test_html(spark):
     page = (
         '<html><head><title>t</title><script>var a="</p>"</script></head><body class="has-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">Ok?</div><nav>menu</nav>'
