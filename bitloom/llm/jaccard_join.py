@@ -18,7 +18,7 @@ similarity is left out by bounds that follow from set sizes alone. Nothing is es
 4. Components of the links give component_id.
 
 Words: maximal runs of bytes other than space and U+0009 to U+000D, A-Z lower-cased; a set's shingles are hashes of
-64 bits. Defined results: null, empty or blank text has an empty set and links with nothing; fewer words than ``WORDS``
+64 bits. Defined results: null, empty or blank text has an empty set and links with nothing; fewer words than a shingle's
 make one shingle of all; rows with a null id get their set size and themselves (null) as component; rows with one
 id are one document of several texts; an empty table gives an empty result; columns beside the named ones are not
 read.
@@ -41,6 +41,7 @@ from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes
 WORDS = 4
 #: Similarity as a fraction, so that bounds are exact.
 NUM, DEN = 85, 100
+Rate = tuple[int, int]
 DENSE = 48
 #: Shingles in a block of sets, about: it bounds what a task holds.
 BLOCK = 1_000_000
@@ -111,40 +112,46 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     return out
 
 
-def needed(n_a, n_b):
-    """Least overlap of two sets of these sizes with DEN * overlap >= NUM * union."""
-    return -((-NUM * (n_a + n_b)) // (NUM + DEN))
+def needed(n_a, n_b, rate: Rate = (NUM, DEN)):
+    """Least overlap of two sets of these sizes with den * overlap >= num * union."""
+    num, den = rate
+    return -((-num * (n_a + n_b)) // (num + den))
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1 if n else 0
+def prefix_length(n: int, rate: Rate = (NUM, DEN)) -> int:
+    num, den = rate
+    return n - -(-num * n // den) + 1 if n else 0
 
 
-def band(n: np.ndarray) -> np.ndarray:
-    """Size bands: sizes in a ratio of NUM / DEN or more are in the same one or in neighbours."""
-    return np.floor(np.log(np.maximum(n, 1)) / math.log(DEN / NUM) + 1e-9).astype(np.int64)
+def band(n: np.ndarray, rate: Rate = (NUM, DEN)) -> np.ndarray:
+    """Size bands: sizes in a ratio of num / den or more are in the same one or in neighbours."""
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(rate[1] / rate[0]) + 1e-9).astype(np.int64)
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(words: int):
     """Shingles that many documents of a batch have."""
-    for b in batches:
-        data, offsets = text_bytes(b.column(0))
-        sets = [s for i, j in pieces(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-        token, count = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-        use = np.flatnonzero(count > 1)
-        if len(use) > COMMON_MOST:
-            use = use[np.argsort(-count[use], kind="stable")[:COMMON_MOST]]
-        yield pa.RecordBatch.from_arrays([pa.array(token[use].view(np.int64)), pa.array(count[use])], ["token", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_bytes(b.column(0))
+            sets = [s for i, j in pieces(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)]
+            token, count = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+            use = np.flatnonzero(count > 1)
+            if len(use) > COMMON_MOST:
+                use = use[np.argsort(-count[use], kind="stable")[:COMMON_MOST]]
+            yield pa.RecordBatch.from_arrays([pa.array(token[use].view(np.int64)), pa.array(count[use])], ["token", "n"])
+
+    return run
 
 
-def common_shingles(rows: DataFrame) -> np.ndarray:
+def common_shingles(rows: DataFrame, words: int = WORDS) -> np.ndarray:
     """The shingles of rows (text) that come last in the order, sorted."""
-    counted = rows.select("text").mapInArrow(_common, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(_common(words), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "token").limit(HOT).select("token").toArrow()  # HOT rows at most
     return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _sketch(common):
+def _sketch(common, words: int, rate: Rate):
     """Size, fingerprint and the posted part of each set: its first shingles in the order, the common ones last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +160,14 @@ def _sketch(common):
             data, offsets = text_bytes(b.column(1))
             n, sums, mixes, prefixes = [], [], [], []
             for i, j in pieces(offsets):
-                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words):
                     n.append(len(s))
                     sums.append(int(s.sum(dtype=np.uint64)) if len(s) else 0)
                     mixes.append(int(mix64(s ^ np.uint64(_BASE)).sum(dtype=np.uint64)) if len(s) else 0)
                     if len(late) and len(s):
                         is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                         s = np.concatenate([s[~is_late], s[is_late]])
-                    prefixes.append(s[: prefix_length(len(s))].tobytes())
+                    prefixes.append(s[: prefix_length(len(s), rate)].tobytes())
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array(n, pa.int32()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(mixes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()),
             ], ["id", "n", "fp1", "fp2", "prefix"])
@@ -217,56 +224,61 @@ def _posting(parts: int):
 _ALWAYS = 1 << 40
 
 
-def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _multiply(rate: Rate):
     """Overlaps of pairs over the columns of this task: a < b, overlap, last shared place in either, sizes."""
-    cols: list[list[np.ndarray]] = [[], [], [], [], []]
-    chains = []
-    for batch in batches:
-        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            buf = blob.as_buffer()
-            if kind:
-                chains.append(np.frombuffer(buf, np.int64).reshape(-1, 2))
-                continue
-            k, at = int(np.frombuffer(buf, np.int64, 1)[0]), 8
-            for c, kind_of in zip(cols, (np.uint64, np.int64, np.int32, np.int32, np.bool_), strict=True):
-                c.append(np.frombuffer(buf, kind_of, k, at))
-                at += k * np.dtype(kind_of).itemsize
-    edges = np.unique(np.concatenate(chains), axis=0) if chains else np.empty((0, 2), np.int64)
-    if cols[0]:
-        token, doc, n, pos, dense = (np.concatenate(c) for c in cols)
-        order = np.lexsort((doc, n, token))
-        token, doc, n, pos, dense = token[order], doc[order], n[order], pos[order], dense[order]
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        count = np.diff(np.concatenate([begin, [len(token)]]))
-        full = (count > DENSE) | (np.add.reduceat(dense, begin) > 0)
-        full &= count > 1
-        rows = starts_to_ranges(begin[full], count[full])
-        chain = np.stack([np.repeat(doc[begin[full]], count[full]), doc[rows]], 1)
-        edges = np.unique(np.concatenate([edges, chain]), axis=0)
-        few = (count > 1) & ~full
-        found = []
-        at, c = begin[few], count[few]
-        for gap in range(1, int(c.max()) if len(c) else 0):  # rows so far apart in their column, which is sorted by size
-            more = c > gap
-            left = starts_to_ranges(at[more], c[more] - gap)
-            right = left + gap
-            ok = n[left].astype(np.int64) * DEN >= n[right].astype(np.int64) * NUM
-            ok &= doc[left] != doc[right]
-            found.append(np.stack([left[ok], right[ok]], 1))
-        if found and sum(map(len, found)):
-            left, right = np.concatenate(found).T
-            swap = doc[left] > doc[right]
-            left, right = np.where(swap, right, left), np.where(swap, left, right)
-            order = np.lexsort((doc[right], doc[left]))
-            left, right = left[order], right[order]
-            a, b = doc[left], doc[right]
-            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            yield _pairs(a[new], b[new], np.diff(np.concatenate([new, [len(a)]])), np.maximum.reduceat(pos[left], new), np.maximum.reduceat(pos[right], new), n[left[new]], n[right[new]])
-    edges = edges[edges[:, 0] != edges[:, 1]]
-    if len(edges):
-        none = np.zeros(len(edges), np.int64)
-        lo, hi = edges.min(1), edges.max(1)
-        yield _pairs(lo, hi, none + _ALWAYS, none, none, none, none)
+    num, den = rate
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        chains = []
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                buf = blob.as_buffer()
+                if kind:
+                    chains.append(np.frombuffer(buf, np.int64).reshape(-1, 2))
+                    continue
+                k, at = int(np.frombuffer(buf, np.int64, 1)[0]), 8
+                for c, kind_of in zip(cols, (np.uint64, np.int64, np.int32, np.int32, np.bool_), strict=True):
+                    c.append(np.frombuffer(buf, kind_of, k, at))
+                    at += k * np.dtype(kind_of).itemsize
+        edges = np.unique(np.concatenate(chains), axis=0) if chains else np.empty((0, 2), np.int64)
+        if cols[0]:
+            token, doc, n, pos, dense = (np.concatenate(c) for c in cols)
+            order = np.lexsort((doc, n, token))
+            token, doc, n, pos, dense = token[order], doc[order], n[order], pos[order], dense[order]
+            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            count = np.diff(np.concatenate([begin, [len(token)]]))
+            full = (count > DENSE) | (np.add.reduceat(dense, begin) > 0)
+            full &= count > 1
+            rows = starts_to_ranges(begin[full], count[full])
+            chain = np.stack([np.repeat(doc[begin[full]], count[full]), doc[rows]], 1)
+            edges = np.unique(np.concatenate([edges, chain]), axis=0)
+            few = (count > 1) & ~full
+            found = []
+            at, c = begin[few], count[few]
+            for gap in range(1, int(c.max()) if len(c) else 0):  # rows so far apart in their column, which is sorted by size
+                more = c > gap
+                left = starts_to_ranges(at[more], c[more] - gap)
+                right = left + gap
+                ok = n[left].astype(np.int64) * den >= n[right].astype(np.int64) * num
+                ok &= doc[left] != doc[right]
+                found.append(np.stack([left[ok], right[ok]], 1))
+            if found and sum(map(len, found)):
+                left, right = np.concatenate(found).T
+                swap = doc[left] > doc[right]
+                left, right = np.where(swap, right, left), np.where(swap, left, right)
+                order = np.lexsort((doc[right], doc[left]))
+                left, right = left[order], right[order]
+                a, b = doc[left], doc[right]
+                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                yield _pairs(a[new], b[new], np.diff(np.concatenate([new, [len(a)]])), np.maximum.reduceat(pos[left], new), np.maximum.reduceat(pos[right], new), n[left[new]], n[right[new]])
+        edges = edges[edges[:, 0] != edges[:, 1]]
+        if len(edges):
+            none = np.zeros(len(edges), np.int64)
+            lo, hi = edges.min(1), edges.max(1)
+            yield _pairs(lo, hi, none + _ALWAYS, none, none, none, none)
+
+    return run
 
 
 def _pairs(a, b, overlap, pos_a, pos_b, n_a, n_b) -> pa.RecordBatch:
@@ -275,18 +287,18 @@ def _pairs(a, b, overlap, pos_a, pos_b, n_a, n_b) -> pa.RecordBatch:
     )
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, rate: Rate = (NUM, DEN)) -> DataFrame:
     """a, b, dense from classes (id, n, prefix). Every similar pair is either a row that isn't dense or connected by dense rows."""
     parts = shuffle_partitions(classes.sparkSession)
     blobs = classes.mapInArrow(_posting(parts), "part int, kind int, blob binary").repartition(parts, "part")
-    pairs = blobs.mapInArrow(_multiply, "a bigint, b bigint, overlap bigint, pos_a bigint, pos_b bigint, n_a bigint, n_b bigint")
+    pairs = blobs.mapInArrow(_multiply(rate), "a bigint, b bigint, overlap bigint, pos_a bigint, pos_b bigint, n_a bigint, n_b bigint")
     whole = pairs.groupBy("a", "b").agg(F.sum("overlap").alias("o"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"), F.max("n_a").alias("na"), F.max("n_b").alias("nb"))
     most = F.col("o") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     dense = F.col("o") >= _ALWAYS
-    return whole.where(dense | (most * (NUM + DEN) >= NUM * (F.col("na") + F.col("nb")))).select("a", "b", dense.alias("dense"))
+    return whole.where(dense | (most * sum(rate) >= rate[0] * (F.col("na") + F.col("nb")))).select("a", "b", dense.alias("dense"))
 
 
-def link_block(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def link_block(ids: list[int], sets: list[np.ndarray], rate: Rate = (NUM, DEN)) -> list[tuple[int, int]]:
     """Links that connect the sets of one block pair."""
     n = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((np.array(ids), n))
@@ -299,7 +311,7 @@ def link_block(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     owner_of = owner[by_token]
     start = np.concatenate([[0], np.cumsum(np.bincount(token))])
     uf, out = UnionFind(len(order)), []
-    lowest = np.searchsorted(size * DEN, size * NUM, "left")  # sets from there on are large enough
+    lowest = np.searchsorted(size * rate[1], size * rate[0], "left")  # sets from there on are large enough
     for i in range(1, len(order)):
         lo = int(lowest[i])
         if lo >= i:
@@ -309,7 +321,7 @@ def link_block(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         mine = flat[first[i] : first[i + 1]]
         if all(uf.find(k) == root for k in range(lo, i)):
             other = flat[first[i - 1] : first[i]]
-            if _similar(mine, other):
+            if _similar(mine, other, rate):
                 if uf.union(i, i - 1):
                     out.append((i, i - 1))
                 continue
@@ -319,56 +331,60 @@ def link_block(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         if not len(rows):
             continue
         overlap = np.bincount(rows - lo, minlength=i - lo)
-        hits = np.flatnonzero(overlap >= needed(size[i], size[lo:i])) + lo
+        hits = np.flatnonzero(overlap >= needed(size[i], size[lo:i], rate)) + lo
         for k in hits.tolist():
             if uf.union(i, k):
                 out.append((i, k))
     return [(ids[order[a]], ids[order[b]]) for a, b in out]
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+def _similar(a: np.ndarray, b: np.ndarray, rate: Rate = (NUM, DEN)) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * both >= NUM * (len(a) + len(b) - both)
+    return rate[1] * both >= rate[0] * (len(a) + len(b) - both)
 
 
-def link_star(center: int, ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def link_star(center: int, ids: list[int], sets: list[np.ndarray], rate: Rate = (NUM, DEN)) -> list[tuple[int, int]]:
     """Links of one class with the others."""
     mine = [s for i, s in zip(ids, sets, strict=True) if i == center]
-    return [(center, i) for i, s in zip(ids, sets, strict=True) if i != center and any(_similar(m, s) for m in mine)]
+    return [(center, i) for i, s in zip(ids, sets, strict=True) if i != center and any(_similar(m, s, rate) for m in mine)]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(words: int, rate: Rate):
     """Rows sorted by key: id, text. A key is a block pair, or the id of a class that is compared with its candidates ("star:id").
     One key is in memory at a time."""
-    key, ids, sets = None, [], []
-
-    def done():
-        links = link_star(int(key[5:]), ids, sets) if key.startswith("star:") else link_block(ids, sets) if len(ids) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
-
-    for b in batches:
-        data, offsets = text_bytes(b.column("text"))
-        keys, own = b.column("key").to_pylist(), b.column("id").to_pylist()
-        for i, j in pieces(offsets):
-            for k, s in zip(range(i, j), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), strict=True):
-                if keys[k] != key:
-                    if key is not None:
-                        yield done()
-                    key, ids, sets = keys[k], [], []
-                ids.append(own[k])
-                sets.append(s)
-    if key is not None:
-        yield done()
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+
+        def done():
+            links = link_star(int(key[5:]), ids, sets, rate) if key.startswith("star:") else link_block(ids, sets, rate) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            data, offsets = text_bytes(b.column("text"))
+            keys, own = b.column("key").to_pylist(), b.column("id").to_pylist()
+            for i, j in pieces(offsets):
+                for k, s in zip(range(i, j), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), strict=True):
+                    if keys[k] != key:
+                        if key is not None:
+                            yield done()
+                        key, ids, sets = keys[k], [], []
+                    ids.append(own[k])
+                    sets.append(s)
+        if key is not None:
+            yield done()
+
+    return run
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rate: Rate = (NUM, DEN)) -> DataFrame:
+    """id, n_shingles, component_id for each row of docs; shingles of so many words, similarity as a fraction (numerator, denominator)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
-    sketches = staged(rows.mapInArrow(_sketch(common), "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary"), "sketches")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
+    sketches = staged(rows.mapInArrow(_sketch(common, words, rate), "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary"), "sketches")
     named = sketches.where("n > 0 and id is not null")
     firsts = named.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("id", "prefix")).alias("m"))
-    edges = staged(candidates(firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix"))), "candidates")
+    edges = staged(candidates(firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix")), rate), "candidates")
     reps = staged(named.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
     # pairs by themselves: each smaller id with its partners
     pairs = edges.where("not dense").select("a", "b")
@@ -377,7 +393,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # dense columns: size bands and blocks of their components
     near = components(edges.where("dense"))
     sized = near.join(reps.select(F.col("rep").alias("id"), "n"), near.node == F.col("id")).select("id", "n", "comp")
-    level = F.floor(F.ln(F.col("n")) / math.log(DEN / NUM) + F.lit(1e-9)).cast("long")
+    level = F.floor(F.ln(F.col("n")) / math.log(rate[1] / rate[0]) + F.lit(1e-9)).cast("long")
     sized = staged(sized.withColumn("band", level), "sized")
     counts = sized.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     # a band meets itself and the one below; where it has nobody of its own there is nothing to count
@@ -390,7 +406,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     blocks = placed.select("id", "comp", "band", pair.alias("p")).select("id", F.concat_ws(":", "comp", "band", "p.i", "p.j").alias("key"))
     keyed = stars.unionByName(blocks)
     spread = rows.join(keyed, "id").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    links = staged(spread.select("key", "id", "text").mapInArrow(_verify, "a bigint, b bigint"), "links")
+    links = staged(spread.select("key", "id", "text").mapInArrow(_verify(words, rate), "a bigint, b bigint"), "links")
     comps = components(links)
     labelled = reps.join(comps, reps.rep == comps.node, "left").select("n", "fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
     linked = named.select("id", "n", "fp1", "fp2").join(labelled, ["n", "fp1", "fp2"]).select("id", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -402,7 +418,7 @@ def op6(docs: DataFrame) -> DataFrame:
     return join(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rate: Rate = (NUM, DEN)) -> DataFrame:
     """The rows of docs of which no other with a smaller id is reachable by links, with all their columns."""
-    groups = join(docs, id_col, text_col).where("component_id = id").select("id")
+    groups = join(docs, id_col, text_col, words, rate).where("component_id = id").select("id")
     return docs.join(groups, docs[id_col].cast("long") == groups.id, "left_semi")

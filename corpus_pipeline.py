@@ -16,6 +16,8 @@ from bitloom.llm.common import shared_path, table
 
 #: A document whose language can't be told is rejected, and one in which no language has this share.
 LEAST_SHARE = 0.35
+#: Words of a shingle and least similarity (as a fraction) of the near stage.
+NEAR_WORDS, NEAR_RATE = 5, (80, 100)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of the n-gram join connect, the smallest doc_id stays."""
-    return jaccard_join.one_per_group(docs)
+    return jaccard_join.one_per_group(docs, words=NEAR_WORDS, rate=NEAR_RATE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,22 @@ def test_jaccard_bounds():
             assert jaccard_join.needed(a, b) == least
 
 
+def test_near_stage_rate(spark, rows):
+    import corpus_pipeline as P
+
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    more = [f"w{rng.randrange(10**6)}" for _ in range(20)]
+    texts = {1: base, 2: base + more, 3: base + more * 2}  # 1 and 2: 96 of 116 shingles; 2 and 3: 116 of 136
+    d = spark.createDataFrame([doc(i, " ".join(w)) for i, w in texts.items()], DOCS)
+    assert {r.doc_id for r in P.near(spark, d.where("doc_id < 3"), SF).collect()} == {1}
+    assert {r.doc_id for r in P.near(spark, d, SF).collect()} == {1}
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.op6(d.where("doc_id < 3")).collect()} == {(1, 1), (2, 2)}
+    for a in range(1, 90):
+        for b in range(a, 90):
+            assert jaccard_join.needed(a, b, (80, 100)) == min(o for o in range(b + 1) if 100 * o >= 80 * (a + b - o))
+
+
 def test_exact_dedup(spark, docs, none, rows):
     groups = {}
     for i, text, *_ in rows:
