@@ -419,6 +419,7 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rate: Rate = (NUM, DEN)) -> DataFrame:
-    """The rows of docs of which no other with a smaller id is reachable by links, with all their columns."""
+    """The rows of docs of which no other with a smaller id is reachable by links, with all their columns. Rows with a null id all stay."""
     groups = join(docs, id_col, text_col, words, rate).where("component_id = id").select("id")
-    return docs.join(groups, docs[id_col].cast("long") == groups.id, "left_semi")
+    named = docs.join(groups, docs[id_col].cast("long") == groups.id, "left_semi")
+    return named.unionByName(docs.where(F.col(id_col).cast("long").isNull()))

@@ -111,6 +111,13 @@ def test_near_stage_rate(spark, rows):
             assert jaccard_join.needed(a, b, (80, 100)) == min(o for o in range(b + 1) if 100 * o >= 80 * (a + b - o))
 
 
+def test_near_stage_keeps_null_ids(spark, rows):
+    d = spark.createDataFrame([doc(None, rows[0][1]), doc(None, None), *rows[:4]], DOCS)
+    kept = jaccard_join.one_per_group(d)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, ""), (0, rows[0][1]), (1, rows[0][1]), (4, rows[3][1])])
+
+
 def test_exact_dedup(spark, docs, none, rows):
     groups = {}
     for i, text, *_ in rows:
