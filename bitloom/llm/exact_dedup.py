@@ -6,6 +6,12 @@ aggregated by digest in RocksDB state without watermark or expiry, so a later ru
 than once the full bytes are compared with those of the row the state points to, and rows that differ in
 spite of one digest fall into groups of their own.
 
+A ``state_dir`` of the caller's has two folders beside it: ``-entries``, the stream's source, and ``-texts``, to which
+each run adds its distinct texts (digest, text, largest id, number); the locator of its entries is that part. A digest
+that an earlier run met is looked up there and compared in full, so every row of a run gets its row, with keep_id and
+group_size over all runs. A row stays if its id is larger than those of all earlier rows of its text; what earlier runs
+gave out is not taken back.
+
 Defined results: a null text counts as empty; the empty text is a text like any other; of rows with one
 text the largest id stays and, if that id occurs more than once, exactly one of those rows; an empty
 table gives an empty result; columns of the input with clashing names are left alone.
@@ -13,7 +19,9 @@ table gives an empty result; columns of the input with clashing names are left a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import shared_path
@@ -28,17 +36,22 @@ _CONF = {
 }
 
 
-def _entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _digest(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _entries(docs: DataFrame, id_col: str, text_col: str, part: str | None = None) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), F.input_file_name().alias("locator"))
+    return docs.select(F.col(id_col).alias("id"), _digest(text).alias("digest"), (F.input_file_name() if part is None else F.lit(part)).alias("locator"))
 
 
 def update_state(entries: DataFrame, state_dir: str) -> DataFrame:
     """Feed entries (id, digest, locator) to the state in state_dir; one row for each digest that they hold:
     digest, keep_id, keep_locator, n (over everything the state has seen)."""
     spark: SparkSession = entries.sparkSession
-    staging, out = shared_path(spark, "dedup-entries"), shared_path(spark, "dedup-seen")
-    entries.write.parquet(staging)
+    # a stream goes on only over the folder that it began with
+    staging, out = f"{state_dir.rstrip('/')}-entries", shared_path(spark, "dedup-seen")
+    entries.write.mode("append").parquet(staging)
     before = {k: spark.conf.get(k, None) for k in _CONF}
     for k, v in _CONF.items():
         spark.conf.set(k, v)
@@ -73,11 +86,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
     """One row per row of docs: id, digest, keep_id, group_size, kept."""
+    if state_dir:
+        return _groups_over_runs(docs, id_col, text_col, state_dir.rstrip("/"))
     spark = docs.sparkSession
     entries = _entries(docs, id_col, text_col)
-    state = update_state(entries, state_dir or shared_path(spark, "dedup-state"))
+    state = update_state(entries, shared_path(spark, "dedup-state"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), _digest(text).alias("digest"), text.alias("text"))
     met = state.where("n > 1").select("digest", "keep_id")
     hits = rows.join(met, "digest")
     # written as a bitwise test, not as an equality, so that the join keeps its one key and the exchange of the texts is shared
@@ -97,13 +112,43 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stat
     return single.unionByName(grouped)
 
 
+def _groups_over_runs(docs: DataFrame, id_col: str, text_col: str, state_dir: str) -> DataFrame:
+    spark = docs.sparkSession
+    earlier = _parts(spark, f"{state_dir}-texts")
+    part = f"{state_dir}-texts/part-{uuid.uuid4().hex}"
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), _digest(text).alias("digest"), text.alias("text"))
+    rows.groupBy("digest", "text").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n")).write.parquet(part)
+    now = spark.read.parquet(part)
+    state = update_state(_entries(docs, id_col, text_col, part), state_dir)
+    met = state.where("n > 1").select("digest")
+    past = spark.read.schema(now.schema).parquet(*earlier) if earlier else now.where("false")
+    both = now.withColumn("old", F.lit(False)).unionByName(past.join(met, "digest", "left_semi").withColumn("old", F.lit(True)))
+    # the text is part of the key: a group has equal bytes, not only equal digests
+    sizes = both.groupBy("digest", "text").agg(
+        F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.max("old").alias("met"), F.max(F.when(F.col("old"), F.col("id"))).alias("old_id")
+    )
+    first = F.row_number().over(Window.partitionBy("digest", "text", "id").orderBy(F.lit(1)))
+    stays = F.col("id").eqNullSafe(F.col("keep_id")) & ~(F.col("met") & F.col("old_id").eqNullSafe(F.col("keep_id"))) & (first == 1)
+    return rows.join(sizes, ["digest", "text"]).select("id", "digest", "keep_id", "group_size", stays.alias("kept"))
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """Finished parts of earlier runs."""
+    if not _exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = [x.getPath().toString() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(x for x in found if _exists(spark, f"{x}/_SUCCESS"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     key = F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit(""))
     kept = groups(docs, id_col, text_col, state_dir).where("kept").select(key.alias("__key"), F.col("digest").alias("__digest"))
     names = docs.columns
     own = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit(""))
-    marked = docs.withColumns({"__key": own, "__digest": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
+    marked = docs.withColumns({"__key": own, "__digest": _digest(F.coalesce(F.col(text_col), F.lit("")))})
     # rows of one id and text are the same to this operator: one of them stays; join and choice share one exchange
     return marked.join(kept, ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"]).select(*names)
 

@@ -139,6 +139,25 @@ def test_state_lasts(spark, tmp_path):
     assert {(r.digest, r.n) for r in exact_dedup.update_state(one, state).collect()} == {("d1", 1), ("d2", 1)}
 
 
+def _over_runs(spark, state, *runs):
+    return [sorted((r.id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.groups(spark.createDataFrame(run, "doc_id bigint, text string"), state_dir=state).collect()) for run in runs]
+
+
+def test_hits_on_earlier_runs(spark, tmp_path):
+    got = _over_runs(spark, str(tmp_path / "state"), [(5, "same"), (1, "one")], [(3, "same"), (2, "two")], [(5, "same"), (7, "one"), (6, "one")])
+    assert got[0] == [(1, 1, 1, True), (5, 5, 1, True)]
+    assert got[1] == [(2, 2, 1, True), (3, 5, 2, False)]
+    assert got[2] == [(5, 5, 3, False), (6, 7, 3, False), (7, 7, 3, True)]
+
+
+def test_collisions_over_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_digest", lambda text: F.lit("equal"))
+    state = str(tmp_path / "state")
+    assert _over_runs(spark, state, [(5, "a")], [(3, "b"), (2, "a")]) == [[(5, 5, 1, True)], [(2, 5, 2, False), (3, 3, 1, True)]]
+    d = spark.createDataFrame([(1, "b"), (4, "c")], "doc_id bigint, text string")
+    assert [tuple(r) for r in exact_dedup.deduplicate(d, state_dir=state).collect()] == [(4, "c")]
+
+
 def test_sharding(docs, none, rows):
     got = sharding.op5(docs).collect()
     assert len(got) == len(rows) and {r.law for r in got} == {"rows"}
