@@ -261,9 +261,80 @@ def test_sentencepiece(docs, none, rows):
     for _ in range(400):
         s = "".join(rng.choice("ab the▁ \n\té日<s>🙂ing") for _ in range(rng.randrange(30)))
         assert machine.encode(s) == sp.encode(s) and machine.decode(machine.encode(s)) == s.replace("▁", " ")
+    for s in ("x" * 3000, "ing" * 30 + "é" * 200, "the" * 300 + " a" * 300, "ab" * 20000, " " * 3000):
+        assert machine.encode(s) == sp.encode(s)
     assert sentencepiece_fst.op7(none).count() == 0
 
 
+def test_sentencepiece_batches(monkeypatch):
+    model = sentencepiece_fst.model_file()
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["the", "ing", " ", "  ", "a", "é", "x.", "\n"]) for _ in range(rng.randrange(120))) for _ in range(200)] + ["", "word" * 90 + " end"]
+    whole = sentencepiece_fst.Transducer(model)
+    want = [whole.encode(t) for t in texts]
+    monkeypatch.setattr(sentencepiece_fst, "BATCH", 40)  # texts longer than a batch are cut, the memory overflows
+    monkeypatch.setattr(sentencepiece_fst, "REMEMBERED", 100)
+    machine = sentencepiece_fst.Transducer(model)
+    ids, heads = machine.encode_texts(texts)
+    assert [ids[a:b].tolist() for a, b in zip(heads, heads[1:])] == want
+    monkeypatch.setattr(np, "cumprod", lambda x: np.zeros_like(x))  # all hashes equal: contents decide
+    ids, heads = machine.encode_texts(texts)
+    assert [ids[a:b].tolist() for a, b in zip(heads, heads[1:])] == want
+
+
+def test_path_is_the_least():
+    machine = sentencepiece_fst.Transducer(sentencepiece_fst.model_file())
+
+    def paths(s):
+        if not s:
+            yield []
+        for w in range(1, len(s) + 1):
+            if w == 1 or s[:w] in machine.id:
+                for rest in paths(s[w:]):
+                    yield [machine.symbol(s[0]) if w == 1 else machine.id[s[:w]], *rest]
+
+    for s in ("▁there", "ations", "▁▁▁▁▁", "windows", "éation"):
+        cost = {tuple(p): sum(machine.weights(np.array([-1, *p[:-1]]), np.array(p)).tolist()) for p in paths(s)}
+        least = [p for p, c in cost.items() if c == min(cost.values())]
+        assert least == [tuple(machine.shortest_long(s))] and cost[least[0]] == 0 and len(cost) > 1
+        assert [made[0] for made in machine.merged(s)] == list(least[0])
+
+
+def _model(pieces, kind, fallback):
+    """A model file: pieces as (text, score, type), unigram (1) or BPE (2), with byte pieces or not."""
+    import struct
+
+    def part(n, data):
+        return bytes([n << 3 | 2]) + (bytes([len(data)]) if len(data) < 128 else bytes([len(data) & 127 | 128, len(data) >> 7])) + data
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *([(f"<0x{v:02X}>", 0.0, 6) for v in range(256)] if fallback else []), *pieces]
+    out = b"".join(part(1, part(1, p.encode()) + b"\x15" + struct.pack("<f", score) + bytes([0x18, t])) for p, score, t in pieces)
+    out += part(2, bytes([3 << 3, kind]) + (bytes([0x98, 0x02, 1]) if fallback else b""))  # model_type, byte_fallback
+    return out + part(3, part(1, b"identity") + bytes([3 << 3, 1, 4 << 3, 0, 5 << 3, 1]))
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_other_models(kind, fallback):
+    import sentencepiece
+
+    rng = random.Random(kind)
+    chars = "▁abcd"
+    longer = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(2, 5))) for _ in range(40)} | {"▁a", "▁ab", "▁b", "éa"})
+    if kind == 2:  # each piece ranks behind the two that it is made of
+        known = set(chars) | {"é"}
+        longer = [p for p in sorted(longer, key=len) if any(p[:k] in known and p[k:] in known and not known.add(p) for k in range(1, len(p)))]
+        scored = [(p, -float(k), 1) for k, p in enumerate(longer)] + [(c, -1000.0, 1) for c in chars]
+    else:
+        scored = [(p, -rng.random() * 9, 1) for p in [*longer, *chars]]
+    model = _model(scored, kind, fallback)
+    sp, machine = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_fst.Transducer(model)
+    for _ in range(300):
+        s = "".join(rng.choice("aabbccdd éx\n") for _ in range(rng.randrange(90)))
+        assert machine.encode(s) == sp.encode(s), s
+        assert machine.decode(machine.encode(s)) == sp.decode(sp.encode(s))
+
+
 def _distance(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
