@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import shared_path
+from bitloom.llm.common import fresh, shared_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CONF = {
@@ -144,13 +144,13 @@ def _parts(spark: SparkSession, path: str) -> list[str]:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    key = F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit(""))
-    kept = groups(docs, id_col, text_col, state_dir).where("kept").select(key.alias("__key"), F.col("digest").alias("__digest"))
+    key, digest = fresh(docs, "key"), fresh(docs, "digest")
+    name = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit(""))
+    kept = groups(docs, id_col, text_col, state_dir).where("kept").select(name("id").alias(key), F.col("digest").alias(digest))
     names = docs.columns
-    own = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit(""))
-    marked = docs.withColumns({"__key": own, "__digest": _digest(F.coalesce(F.col(text_col), F.lit("")))})
+    marked = docs.withColumns({key: name(id_col), digest: _digest(F.coalesce(F.col(text_col), F.lit("")))})
     # rows of one id and text are the same to this operator: one of them stays; join and choice share one exchange
-    return marked.join(kept, ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"]).select(*names)
+    return marked.join(kept, [key, digest], "left_semi").dropDuplicates([key, digest]).select(*names)
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.common import shuffle_partitions, staged
 from bitloom.llm.graph import UnionFind, components
-from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes
+from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes, tidy
 
 WORDS = 4
 #: Similarity as a fraction, so that bounds are exact.
@@ -63,7 +63,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
             p = np.ones(1, np.uint64)
             while len(p) < size:
@@ -131,6 +131,7 @@ def band(n: np.ndarray, rate: Rate = (NUM, DEN)) -> np.ndarray:
 def _common(words: int):
     """Shingles that many documents of a batch have."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_bytes(b.column(0))
@@ -154,6 +155,7 @@ def common_shingles(rows: DataFrame, words: int = WORDS) -> np.ndarray:
 def _sketch(common, words: int, rate: Rate):
     """Size, fingerprint and the posted part of each set: its first shingles in the order, the common ones last."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = common.value
         for b in batches:
@@ -178,6 +180,7 @@ def _sketch(common, words: int, rate: Rate):
 def _posting(parts: int):
     """(part, blob) rows: postings sorted by shingle, and chains of the columns that are dense in a batch."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -228,6 +231,7 @@ def _multiply(rate: Rate):
     """Overlaps of pairs over the columns of this task: a < b, overlap, last shared place in either, sizes."""
     num, den = rate
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         chains = []
@@ -353,6 +357,7 @@ def _verify(words: int, rate: Rate):
     """Rows sorted by key: id, text. A key is a block pair, or the id of a class that is compared with its candidates ("star:id").
     One key is in memory at a time."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
 

@@ -21,19 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.packed import pieces, text_bytes
+from bitloom.llm.packed import pieces, text_bytes, tidy
 
 TRAIN_DOCS = 1500
+#: Languages that are learnt, those with most labelled rows: a bound on the model (0.2 MB each).
+MOST_LANGS = 256
 SWITCH_PENALTY = 12.0
 SLOTS = 1 << 14
 UNKNOWN = "und"
 #: A language can be written in a script if so large a share of its learnt words is.
 SCRIPT_SHARE = 0.005
 _ORDERS = (2, 3, 4)
-SPAN_SCHEMA = "spans array<struct<start: bigint, end: bigint, lang: string>>"
+LABEL = "struct<lang_pred: string, score: double, spans: array<struct<start: bigint, end: bigint, lang: string>>>"
 
 
 def _script_table() -> np.ndarray:
@@ -192,15 +194,17 @@ def _has_letter(text: str | None) -> bool:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = TRAIN_DOCS) -> Model | None:
     """Learn from labelled rows of docs; None if there are none."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("x"))
-    per = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    counted = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGS)
+    per = {r["l"]: r["n"] for r in counted.collect()}  # one row per language
     langs = sorted(per)
     if not langs:
         return None
-    place = F.pmod(F.xxhash64(F.coalesce("i", F.lit("")), F.lit("train")), F.lit(1_000_000))
-    share = F.element_at(F.create_map(*[x for k, v in per.items() for x in (F.lit(k), F.lit(min(1.0, most / v)))]), F.col("l"))
-    # at most as many tasks as languages times a few: the sample is bounded
-    sample = rows.where(place < share * 1_000_000).select("l", "x").coalesce(8)
+    top = {k: min((1 << 63) - 1, (1 << 64) * most // v - (1 << 63)) for k, v in per.items()}  # hashes are even over 64 bits
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in top.items() for x in pair]), F.col("l"))
+    # every split is filtered by its own task; only the sample, about `most` texts a language, moves on
+    sample = rows.where(F.xxhash64(F.coalesce("i", F.lit("")), F.lit("train")) <= least).select("l", "x").repartition(8)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for b in batches:
@@ -236,33 +240,30 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return Model(langs, tables, allowed, max(langs, key=lambda l: (per[l], l)))
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
-    """keep columns, lang_pred, score and, if asked for, the labelled spans (byte offsets) of every whole text."""
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", lang_pred string, score double"
-    schema += f", {SPAN_SCHEMA}" if spans else ""
+def labels(spark: SparkSession, model: Model | None, text: Column, spans: bool = False) -> Column:
+    """struct(lang_pred, score, spans) of a text column. Only the text goes through Python, whatever the row holds."""
     if model is None:
-        out = rows.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-        return out.withColumn("spans", F.array().cast(SPAN_SCHEMA.split(" ", 1)[1])) if spans else out
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 3 SLOTS floats: 0.2 MB a language
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().alias("spans")).cast(LABEL)
+    shared = spark.sparkContext.broadcast(model)  # MOST_LANGS x 3 SLOTS floats at most
+    run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for b in batches:
-            column = b.column(b.num_columns - 1)
+        for column in columns:
             data, offsets = text_bytes(column)
             out = []
             for i, j in pieces(offsets):
                 out += predict(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _Lazy(column, i), spans)
-            cols = [b.column(k) for k in range(b.num_columns - 1)] + [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
-            names = [*keep, "lang_pred", "score"]
-            if spans:
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-                cols.append(pa.array([x[2] for x in out], kind))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return rows.mapInArrow(label, schema)
+            lang, score, found = zip(*out) if out else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(found, run)], ["lang_pred", "score", "spans"])
+
+    return F.arrow_udf(tidy(label), LABEL, F.ArrowUDFType.SCALAR_ITER)(text)
+
+
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
+    """keep columns, lang_pred, score and, if asked for, the labelled spans (byte offsets) of every whole text."""
+    found = docs.select(F.struct(*keep).alias("k"), labels(docs.sparkSession, model, F.col(text_col), spans).alias("l"))
+    return found.select("k.*", "l.lang_pred", "l.score", *(["l.spans"] if spans else []))
 
 
 class _Lazy:

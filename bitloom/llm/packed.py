@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a kernel takes at once; a longer single text makes a piece of its own.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 500_000
+Kernel = Callable[[Iterator], Iterator]
+
+
+def tidy(kernel: Kernel) -> Kernel:
+    """A kernel over batches whose worker gives the memory back when the task ends: workers are used again by later stages."""
+
+    @functools.wraps(kernel)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from kernel(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.llm.packed import tidy
+
 META = "▁"
 #: Characters that are composed at once; a longer text is cut before a word.
 BATCH = 1 << 19
@@ -554,7 +556,7 @@ def encode_decode(docs: DataFrame, model: bytes, text_col: str = "text", keep: t
                 yield pa.RecordBatch.from_arrays([*cols, lists, pa.array(np.diff(heads)), pa.array(n_bytes, pa.int64()), decoded, same], [*keep, "ids", "n_tokens", "n_byte_tokens", "decoded", "round_trip"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(run, f"{schema}, {SCHEMA}")
+    return rows.mapInArrow(tidy(run), f"{schema}, {SCHEMA}")
 
 
 def model_file(path: str | None = None) -> bytes:

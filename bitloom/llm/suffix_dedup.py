@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import shuffle_partitions
-from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes
+from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes, tidy
 
 LENGTH, GRAM = 50, 16
 LEFT = LENGTH - GRAM  # bytes in front of a minimiser that a window can have
@@ -179,6 +179,7 @@ def _dealt(rows: np.ndarray, parts: int) -> pa.RecordBatch:
 def _by_document(width: int):
     """Dealt rows (document, text, numbers ...) -> one row for each text: doc, text, blob of its numbers."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(-1, width) for b in batches for x in b.column(1)]
         if not blobs:
@@ -208,6 +209,7 @@ def _out(part, doc, text, blob) -> pa.RecordBatch:
 def _post(parts: int):
     """Minimisers by hash. Rows (part, null, null, blob) are to be matched; rows with a document are settled."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ords = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -266,6 +268,7 @@ def _repeated(key: np.ndarray, doc: np.ndarray, shared: np.ndarray | None = None
 def _match(parts: int):
     """Places whose gram occurs in several documents, dealt by document: (document, text, place)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(_matches(batches))
         if found:
@@ -316,6 +319,7 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 def _surround(parts: int):
     """Rows (id, text number, text, places) -> surroundings by gram, or spans where a smaller document of the batch settles it."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ords = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -423,6 +427,7 @@ def covered(ctx: np.ndarray, la: np.ndarray, ra: np.ndarray, doc: np.ndarray) ->
 def _sorted_task(parts: int):
     """Surroundings of a task -> spans of covered bytes, dealt by document: (document, text, start, end)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(_covered_spans(batches))
         if found:
@@ -494,6 +499,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return out.unionByName(nameless.select("id", "body", F.lit(False).alias("copy"), F.lit(None).cast("binary").alias("blob")))
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         copies, lists = b.column(2).to_pylist(), b.column(3)

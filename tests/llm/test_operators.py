@@ -440,6 +440,24 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in P.run(spark, SF).select("doc_id").collect()} == ids
 
 
+def test_pipeline_columns_and_nothing(spark, rows, none):
+    import corpus_pipeline as P
+
+    odd = spark.createDataFrame(rows, DOCS)
+    for c in ("key", "digest", "score", "lang_pred", "item_id", "rep", "component_id", "__key", "__text", "n", "k", "l"):
+        odd = odd.withColumn(c, F.lit("own"))
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, odd, SF)
+        if k < len(P.STAGES) - 1:
+            assert out.columns == odd.columns
+            got = out.collect()
+            assert all(r[c] == "own" for r in got for c in odd.columns[len(none.columns) :]), name
+        assert stage(spark, none, SF).count() == 0
+    nulls = spark.createDataFrame([(None, None, None, None, None, None, None, None)], DOCS)
+    for name, stage in P.STAGES:
+        assert stage(spark, nulls, SF).count() == (0 if name == "language" else 1), name
+
+
 def test_oracles(spark):
     import duckdb
 
