@@ -23,9 +23,8 @@ NEAR_WORDS, NEAR_RATE = 5, (80, 100)
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and documents that are no language's for the most part."""
     model = langid.train(docs.where(~langid.held_out()))
-    names = docs.columns
-    rated = langid.identify(docs, model, keep=tuple(names)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return rated.select(*names)
+    label = langid.labels(spark, model, F.col("text"))
+    return docs.where((label.lang_pred != langid.UNKNOWN) & (label.score >= LEAST_SHARE))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
