@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import fresh, shared_path
+from bitloom.llm.common import fresh, shared_path, staged
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CONF = {
@@ -36,13 +36,19 @@ _CONF = {
 }
 
 
+#: Groups of more than one row in so many are broadcast: their number can't be larger.
+HOT_GROUPS = 10_000
+
+
 def _digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
 def _entries(docs: DataFrame, id_col: str, text_col: str, part: str | None = None) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), _digest(text).alias("digest"), (F.input_file_name() if part is None else F.lit(part)).alias("locator"))
+    # the locator tells rows of one id apart: file and row, as they are read here
+    own = F.concat(F.substring_index(F.input_file_name(), "/", -1), F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    return docs.select(F.col(id_col).alias("id"), _digest(text).alias("digest"), (own if part is None else F.lit(part)).alias("locator"))
 
 
 def update_state(entries: DataFrame, state_dir: str) -> DataFrame:
@@ -89,27 +95,26 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stat
     if state_dir:
         return _groups_over_runs(docs, id_col, text_col, state_dir.rstrip("/"))
     spark = docs.sparkSession
-    entries = _entries(docs, id_col, text_col)
-    state = update_state(entries, shared_path(spark, "dedup-state"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), _digest(text).alias("digest"), text.alias("text"))
-    met = state.where("n > 1").select("digest", "keep_id")
-    hits = rows.join(met, "digest")
-    # written as a bitwise test, not as an equality, so that the join keeps its one key and the exchange of the texts is shared
-    keeps = F.expr("CASE WHEN id IS NULL OR keep_id IS NULL THEN id IS NULL AND keep_id IS NULL ELSE (xxhash64(id) ^ xxhash64(keep_id)) = 0 END")
-    keepers = hits.where(keeps).select("digest", F.col("text").alias("keep_text")).dropDuplicates(["digest"])
-    checked = hits.join(keepers, "digest").select(
-        "id", "digest", F.when(F.col("text") != F.col("keep_text"), F.col("text")).alias("other")
-    )
-    sizes = checked.groupBy("digest", "other").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    same = F.col("c.digest").eqNullSafe(F.col("s.digest")) & F.col("c.other").eqNullSafe(F.col("s.other"))
-    grouped = checked.alias("c").join(sizes.alias("s"), same).select("c.id", "c.digest", "c.other", "s.keep_id", "s.group_size")
-    first = F.row_number().over(Window.partitionBy("digest", "other", "id").orderBy(F.lit(1)))
-    grouped = grouped.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & (first == 1)).drop("other")
-    single = _entries(docs, id_col, text_col).join(state.where("n = 1").select("digest"), "digest", "left_semi").select(
-        "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
-    )
-    return single.unionByName(grouped)
+    state_dir = shared_path(spark, "dedup-state")
+    state = update_state(_entries(docs, id_col, text_col), state_dir)
+    entries = spark.read.parquet(f"{state_dir}-entries")
+    rows = docs.select(F.col(id_col).alias("id"), _digest(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # full bytes: equal texts become one row in their own task before anything is exchanged, so no group meets in one place
+    texts = rows.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    collided = staged(texts.where("texts > 1").select("digest"), "dedup-collided")
+    plain = entries.join(collided, "digest", "left_anti")
+    # a group of more than one row in HOT_GROUPS: there are at most so many of those, and they are broadcast
+    least = (state.agg(F.sum("n")).first()[0] or 0) // HOT_GROUPS
+    hot = state.where(F.col("n") > least).select(F.col("digest").alias("hot"), F.col("keep_id").alias("hot_id"), F.col("keep_locator").alias("hot_locator"), F.col("n").alias("hot_n"))
+    marked = plain.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
+    in_hot = marked.where("hot is not null").select("id", "digest", "locator", F.col("hot_id").alias("keep_id"), F.col("hot_locator").alias("keep_locator"), F.col("hot_n").alias("n"))
+    others = marked.where("hot is null").select("id", "digest", "locator").join(state.where(F.col("n") <= least), "digest")
+    found = in_hot.unionByName(others.select(*in_hot.columns))
+    # one digest, several texts: the text joins the key
+    odd = staged(rows.join(collided, "digest", "left_semi").withColumn("locator", F.monotonically_increasing_id().cast("string")), "dedup-odd")
+    sizes = odd.groupBy("digest", "text").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    odd = odd.join(sizes, ["digest", "text"]).select("id", "digest", "locator", F.col("keep.id").alias("keep_id"), F.col("keep.locator").alias("keep_locator"), "n")
+    return found.unionByName(odd).select("id", "digest", "keep_id", F.col("n").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator"))).alias("kept"))
 
 
 def _groups_over_runs(docs: DataFrame, id_col: str, text_col: str, state_dir: str) -> DataFrame:
