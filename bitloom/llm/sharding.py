@@ -1,28 +1,42 @@
 """Proportional stratified interleaving.
 
-Rows are shuffled within their source by a seeded hash and get the fractional rank (2 r - 1) / (2 n) of
-their rank r among the n rows of the source. Sorted by it, every stretch of the whole order holds the
-sources in the mixture's proportion, so cutting the order into shards of equal count gives each shard the
-mixture. Law: ``rows`` (counts differ by one at most).
-
-Ranks are global, yet no task sorts a whole source: rows fall into buckets by the leading digits of the
-hash (or by the fractional rank), a small table of counts per bucket gives every bucket its offset, and
-row numbers are taken within buckets only. A source that holds a third of all rows is spread like any other.
-
-Defined results: null text has no bytes; null source is a source of its own; rows with the same id are told
-apart by size and checksum, and rows that are equal in all of those are interchangeable; an empty table gives
-an empty result; extra columns are not read.
+Rows are shuffled within their source by a seeded hash and get the fractional rank (2 r - 1) / (2 n) of their rank r
+among the n rows of the source. Sorted by it, every stretch of the whole order holds the sources in the mixture's
+proportion, so cutting the order into shards gives each shard the mixture. Law: ``rows`` (counts differ by one at most).
+
+Equal texts form groups, and a group goes to one shard as far as the law allows:
+
+1. A group larger than a shard is cut into pieces of a shard's size and one rest.
+2. Pieces of at least a hundredth of a shard (at most 100 a shard, whatever the input) are packed by the driver, the
+   largest first, each into the emptiest shard; one that fits nowhere fills the emptiest and its rest goes on.
+3. Smaller groups follow the interleaved order of their representatives (the least id); the order is cut in proportion to
+   the room that is left, and a group goes where its first row falls.
+4. Single rows are interleaved and cut to what every shard lacks. Only if there are too few of them to level the counts
+   is the order of step 3 cut by rows instead, which splits one group at each border.
+
+Ranks are global, yet no task sorts a whole source: rows fall into buckets by the leading digits of the hash (or by the
+fractional rank), a small table of counts per bucket gives every bucket its offset, and row numbers are taken within
+buckets only. A source that holds a third of all rows is spread like any other, and so is a group, by the hash of its rows.
+
+Defined results: null text has no bytes and equals the empty text; null source is a source of its own; rows with the
+same id and text are interchangeable; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.llm.common import staged
+
 SEED = 17
 N_SHARDS = 40
 #: Rows that one bucket of a rank should hold at most; the number of buckets grows with the rows.
 BUCKET_ROWS = 100_000
+#: A group of at least one in so many rows of a shard is packed by the driver.
+PIECES = 100
 
 
 def _digits(n_rows: int) -> int:
@@ -32,47 +46,107 @@ def _digits(n_rows: int) -> int:
     return digits
 
 
-def interleave(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, size, text_crc32, frac, shard, slot for each row of docs."""
-    digits = _digits(docs.count())
-    text = F.col(text_col).cast("binary")
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("h"),
-    ).withColumn("b", F.substring("h", 1, digits))
-    inner = rows.groupBy("source", "b").agg(F.count(F.lit(1)).alias("m"))
-    whole = Window.partitionBy("source")
-    offsets = inner.select(
-        F.col("source").alias("s"), F.col("b").alias("sb"),
-        F.coalesce(F.sum("m").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("m").over(whole).alias("n"),
+def _numbered(rows: DataFrame, bucket: Column, order: list[str], keys: tuple[str, ...] = (), weight: Column | None = None, name: str = "p") -> DataFrame:
+    """rows with name: the weights (rows, without one) before each row in the order (bucket, then order), by itself for
+    every value of keys; and name_n, their sum."""
+    weight = F.lit(1) if weight is None else weight
+    rows = rows.withColumns({"__b": bucket, "__w": weight.cast("long")})
+    # one row per bucket: BUCKET_ROWS bounds this table to rows / BUCKET_ROWS, a few hundred at least
+    counts = rows.groupBy(*keys, "__b").agg(F.sum("__w").alias("m"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    starts = counts.select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("__b").alias("__bb"),
+        F.coalesce(F.sum("m").over(whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("m").over(whole).alias(f"{name}_n"),
     )
-    at = F.row_number().over(Window.partitionBy("source", "b").orderBy("h", "id", "size", "text_crc32"))
-    ranked = (
-        rows.withColumn("r", at)
-        .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("sb")))
-        .select("id", "source", "size", "text_crc32", "h", ((2 * (F.col("before") + F.col("r")) - 1).cast("double") / (2 * F.col("n")).cast("double")).alias("frac"))
-    )
+    within = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("__b") == F.col("__bb")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = rows.withColumn(name, F.sum("__w").over(within) - F.col("__w")).join(starts, same)
+    return out.withColumn(name, F.col(name) + F.col("__before")).drop("__b", "__w", "__bb", "__before", *[f"__{k}" for k in keys])
+
+
+def interleaved(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """rows (h, source, k, ...) with frac and p: the weights before each row in the interleaved order, and p_n, their sum."""
+    digits = _digits(rows.count())
     parts = 16**digits
-    cut = ranked.withColumn("b", F.least(F.floor(F.col("frac") * parts), F.lit(parts - 1)).cast("long"))
-    counts = cut.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
-    # one row per bucket at most: BUCKET_ROWS bounds this table to rows / BUCKET_ROWS, 256 at least
-    starts = counts.select(
-        F.col("b").alias("cb"),
-        F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("m").over(Window.partitionBy(F.lit(1))).alias("n"),
-    )
-    pos = F.row_number().over(Window.partitionBy("b").orderBy("frac", "source", "h", "id", "size", "text_crc32"))
-    placed = cut.withColumn("p", pos).join(starts, F.col("b") == F.col("cb")).withColumn("p", F.col("before") + F.col("p") - 1)
-    shard = F.expr(f"p * {n_shards} div n")
-    # the first place of shard k is the least p with p * n_shards div n = k
-    return placed.withColumn("shard", shard.cast("int")).select(
-        "id", "source", "size", "text_crc32", "frac", "shard",
-        F.expr(f"p - ((cast(shard as bigint) * n + {n_shards} - 1) div {n_shards})").cast("long").alias("slot"),
+    ranked = _numbered(rows, F.substring("h", 1, digits), ["h", "text_key", "k"], ("source",), name="r")
+    ranked = ranked.withColumn("frac", (2 * F.col("r") + 1).cast("double") / (2 * F.col("r_n")).cast("double")).drop("r", "r_n")
+    return _numbered(ranked, F.least(F.floor(F.col("frac") * parts), F.lit(parts - 1)).cast("long"), ["frac", "source", "h", "text_key", "k"], weight=weight)
+
+
+def pack(pieces: list[tuple[str, int, int]], room: list[int]) -> list[tuple[str, int, int, int]]:
+    """(group, first row, rows) into shards: (group, first row, rows, shard). room is used up."""
+    free = [(-r, s) for s, r in enumerate(room)]
+    heapq.heapify(free)
+    out, todo = [], [(-n, g, at) for g, at, n in pieces]
+    heapq.heapify(todo)
+    while todo:
+        n, g, at = heapq.heappop(todo)
+        r, s = heapq.heappop(free)
+        put = min(-n, -r)
+        out.append((g, at, put, s))
+        heapq.heappush(free, (r + put, s))
+        if put < -n:
+            heapq.heappush(todo, (n + put, g, at + put))
+    for r, s in free:
+        room[s] = -r
+    return out
+
+
+def _cut(place: Column, room: list[int]) -> Column:
+    """The shard in whose room a place falls."""
+    out, end = F.lit(len(room) - 1), 0
+    for s, r in enumerate(room):
+        end += r
+        if r:
+            out = F.when(place < end, s) if end == r else out.when(place < end, s)
+    return out
+
+
+def interleave(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, source, size, text_crc32, shard, slot for each row of docs."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    read = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("text_key"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), name).cast("binary")).alias("h"), F.monotonically_increasing_id().alias("k"),
     )
+    # digests, not texts, from here on; written, so that the numbers of rows stay as they are
+    rows = staged(read, "shard-rows")
+    groups = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct("id", "h", "k", "source")).alias("rep"))
+    groups = staged(groups.where("g > 1").select("text_key", "g", "rep.h", "rep.k", "rep.source"), "shard-groups")
+    n = rows.count()
+    room = [n * (s + 1) // n_shards - n * s // n_shards for s in range(n_shards)]
+    least = max(2, -(-n // (n_shards * PIECES)))
+    large = [(r.text_key, r.g) for r in groups.where(F.col("g") >= least).select("text_key", "g").collect()]  # PIECES a shard at most
+    top = max(1, n // n_shards)
+    packed = pack([(t, at, min(top, g - at)) for t, g in large for at in range(0, g, top)], room) if n else []
+    spark = docs.sparkSession
+    placed = spark.createDataFrame(packed, "text_key string, first long, put long, s int")
+
+    in_large = F.broadcast(placed.select("text_key").distinct())
+    of_large = _numbered(rows.join(in_large, "text_key", "left_semi"), F.substring("h", 1, _digits(n)), ["h", "text_key", "k"], ("text_key",))
+    near = (of_large.text_key == F.col("t")) & (F.col("p") >= F.col("first")) & (F.col("p") < F.col("first") + F.col("put"))
+    out = of_large.join(F.broadcast(placed.withColumnRenamed("text_key", "t")), near).select("id", "source", "size", "text_crc32", "text_key", "h", "k", F.col("s").alias("shard"))
+
+    small = staged(interleaved(groups.where(F.col("g") < least), F.col("g")), "shard-small")
+    total, left = small.agg(F.sum("g")).first()[0] or 0, sum(room)
+    share = [total * (sum(room[: s + 1])) // left - total * sum(room[:s]) // left for s in range(n_shards)] if left else [0] * n_shards
+    home = small.withColumn("shard", _cut(F.col("p"), share))
+    took = {r.shard: r.n for r in home.groupBy("shard").agg(F.sum("g").alias("n")).collect()}  # a row a shard
+    rest = rows.join(in_large, "text_key", "left_anti")
+    of_small = rest.join(home.select("text_key", "g", F.col("p").alias("first"), "shard"), "text_key")
+    if any(took.get(s, 0) > room[s] for s in range(n_shards)):
+        of_small = _numbered(of_small, F.substring("h", 1, 1), ["h", "text_key", "k"], ("text_key",)).withColumn("shard", _cut(F.col("first") + F.col("p"), share))
+        took = dict(enumerate(share))
+    out = out.unionByName(of_small.select(*out.columns))
+    room = [room[s] - took.get(s, 0) for s in range(n_shards)]
+    singles = interleaved(staged(rest.join(groups.select("text_key"), "text_key", "left_anti"), "shard-single"))
+    out = staged(out.unionByName(singles.withColumn("shard", _cut(F.col("p"), room)).select(*out.columns)), "shard-out")
+    # the slots of a shard: by the hash, so that its sources are mixed
+    slots = _numbered(out, F.substring("h", 1, _digits(n)), ["h", "text_key", "k"], ("shard",))
+    return slots.select("id", "source", "size", "text_crc32", "shard", F.col("p").cast("long").alias("slot"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
