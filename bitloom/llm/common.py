@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,21 +14,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has made for intermediate data, in order.
+MADE: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and there is only this machine, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    root = f"{tempfile.gettempdir()}/bitloom-shared-{os.getpid()}"
-    spark.sparkContext.setCheckpointDir(root)
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/bitloom-shared-{os.getpid()}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, tag: str, lasting: bool = False) -> str:
+    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not lasting:
+        MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate data made since MADE had that length. For when the results that read it are written."""
+    while len(MADE) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        for p in (path, path.suffix("-entries")):
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:

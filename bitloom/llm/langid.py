@@ -32,6 +32,8 @@ MOST_LANGS = 256
 SWITCH_PENALTY = 12.0
 SLOTS = 1 << 14
 UNKNOWN = "und"
+#: Bytes of text that take the Viterbi steps side by side.
+PIECE_BYTES = 1_000_000
 #: A language can be written in a script if so large a share of its learnt words is.
 SCRIPT_SHARE = 0.005
 _ORDERS = (2, 3, 4)
@@ -252,7 +254,7 @@ def labels(spark: SparkSession, model: Model | None, text: Column, spans: bool =
         for column in columns:
             data, offsets = text_bytes(column)
             out = []
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, PIECE_BYTES):
                 out += predict(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _Lazy(column, i), spans)
             lang, score, found = zip(*out) if out else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(found, run)], ["lang_pred", "score", "spans"])
