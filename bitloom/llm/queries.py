@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
     "op3_chat_formatting": chat.ORACLE,
+    "op6_ngram_jaccard_join": jaccard_join.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

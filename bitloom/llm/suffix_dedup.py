@@ -537,3 +537,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op1(docs: DataFrame) -> DataFrame:
     return deduplicate(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Every 50-byte string of each document (hex, taken from slices of 1,000 places), the least document that has it, runs of what it covers elsewhere.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, 1000 * b AS base, h[2000 * b + 1:2000 * b + 2098] AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS b FROM d)),
+w AS (SELECT doc_id, base + i AS p, part[2 * i + 1:2 * i + 100] AS g FROM c, range(0, 1000) t(i) WHERE length(part) >= 2 * i + 100),
+f AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g),
+hit AS (SELECT doc_id, p FROM w JOIN f USING (g) WHERE doc_id > least),
+o AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+n AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM o),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM n GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS head FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head || h[2 * last + 1:], h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
