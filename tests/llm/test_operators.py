@@ -171,10 +171,37 @@ def test_sharding(docs, none, rows):
 
 
 def test_sharding_keeps_the_mixture(spark):
-    t = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 4).cast("string"))).alias("source"))
+    t = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), "id").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 4).cast("string"))).alias("source"))
     share = sharding.op5(t).groupBy("shard").agg(F.count("*").alias("n"), F.sum((F.col("source") == "hot").cast("int")).alias("hot")).collect()
     assert len(share) == 40 and {r.n for r in share} == {100} and all(abs(r.hot - 33.35) <= 2 for r in share)
-    assert [tuple(r) for r in sharding.op5(t).orderBy("doc_id").collect()] == [tuple(r) for r in sharding.op5(t.repartition(7)).orderBy("doc_id").collect()]
+    a, b = ([(r.doc_id, r.shard) for r in sharding.op5(x).orderBy("doc_id").collect()] for x in (t, t.repartition(7)))
+    assert a == b
+
+
+@pytest.mark.parametrize("seed,hot,copies,single", [(1, 700, 60, 900), (2, 0, 200, 3), (3, 1500, 5, 0), (4, 30, 300, 2000), (5, 0, 0, 17)])
+def test_sharding_groups(spark, seed, hot, copies, single):
+    """Counts one apart at most; a group in one shard unless it is larger, or no single rows are left to level with."""
+    rng = random.Random(seed)
+    texts = [f"g{k}" for k in range(copies) for _ in range(rng.choice([2, 2, 3, 5, 9]))] + ["hot"] * hot + [f"single {k}" for k in range(single)]
+    rng.shuffle(texts)
+    d = spark.createDataFrame([(k, t, rng.choice("abc")) for k, t in enumerate(texts)], "doc_id int, text string, source string").repartition(3)
+    got = sharding.interleave(d).collect()
+    assert sorted(r.id for r in got) == list(range(len(texts)))
+    counts = {s: sorted(r.slot for r in got if r.shard == s) for s in {r.shard for r in got}}
+    assert all(x == list(range(len(x))) for x in counts.values())
+    sizes = [len(counts.get(s, [])) for s in range(40)]
+    assert max(sizes) - min(sizes) <= 1
+    homes = {}
+    for r in got:
+        homes.setdefault(texts[r.id], set()).add(r.shard)
+    most = max(sizes)
+    split = [t for t, s in homes.items() if len(s) > 1]
+    assert "hot" not in split or hot > most
+    assert len(homes.get("hot", [])) <= hot // max(1, min(sizes)) + 1
+    if single >= 900:
+        assert set(split) <= {"hot"}
+    else:
+        assert len(set(split) - {"hot"}) <= 80  # a border each
 
 
 def test_chat(spark):
@@ -193,10 +220,24 @@ def test_layouts(spark):
     rows = [
         (1, '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}'), (2, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}'),
         (3, '{"prompt":"q","response":"a"}'), (4, '{"completion":"a","prompt":"q"}'), (5, '{"instruction":"q","output":"a"}'), (6, '{"instruction":"q","input":"","output":"a"}'),
-        (7, "broken"), (8, None), (9, '{"other":1}'),
+        (7, "broken"), (8, None), (9, '{"other":1}'), (10, '{"id":"x","system":"s","prompt":"q","response":"a","input":"i"}'), (11, '{"messages":[{"name":"n","role":"user","content":"q","weight":1}],"source":"s"}'),
+        (12, '{"prompt":"q","response":null,"completion":"a"}'), (13, '{"messages":[]}'),
     ]
     got = chat.turns_of_json(spark.createDataFrame(rows, "k bigint, j string"), "k", "j").orderBy("conv_id", "ord").collect()
-    assert [(r.conv_id, r.role, r.text) for r in got] == [(k, r, t) for k in range(1, 7) for r, t in (("user", "q"), ("assistant", "a"))]
+    assert [(r.conv_id, r.role, r.text) for r in got if r.conv_id < 7] == [(k, r, t) for k in range(1, 7) for r, t in (("user", "q"), ("assistant", "a"))]
+    rest = [(r.conv_id, r.layout, r.role, r.text) for r in got if r.conv_id >= 7]
+    assert rest == [
+        (7, None, None, None), (8, None, None, None), (9, None, None, None), *((10, "system_prompt_response", r, t) for r, t in (("system", "s"), ("user", "q"), ("assistant", "a"))),
+        (11, "messages", "user", "q"), (12, "prompt_response", "user", "q"), (12, "prompt_response", "assistant", None), (13, None, None, None),
+    ]
+
+
+def test_row_layouts(spark):
+    both = spark.createDataFrame([("c", 0, "user", "t", "content", 7, 3)], "conv_id string, turn int, role string, text string, content string, conversation_id int, index int")
+    assert [tuple(r) for r in chat.turns_of_rows(both).collect()] == [("c", 0, "user", "t", "rows")]
+    assert [tuple(r) for r in chat.turns_of_rows(both.drop("turn")).collect()] == [(7, 3, "user", "content", "indexed_rows")]
+    with pytest.raises(ValueError):
+        chat.turns_of_rows(both.drop("role"))
 
 
 def test_url_filter(spark):
@@ -212,14 +253,28 @@ def test_url_filter(spark):
     assert url_filter.op4(p.where("false"), labels.where("false")).count() == 0
 
 
+def test_url_filter_repeated_ids(spark):
+    pages = [(i, f"http://{'bad' if i % 2 else 'good'}.net/p/{i}") for i in range(40)] + [(7, "http://good.net/p/9"), (50, "http://bad.net/" + "/".join(f"s{k}" for k in range(300)))]
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1, 0) for i in range(40) if i != 7], "doc_id bigint, quality int, toxic int")
+    got = url_filter.op4(spark.createDataFrame(pages, "page_id bigint, url string"), labels).collect()
+    assert sorted((r.page_id, r.host, r.verdict) for r in got) == sorted((i, u.split("/")[2], "block" if "bad" in u else "allow") for i, u in pages)
+
+
 def test_rules_equal_brute_force(spark):
     rng = random.Random(2)
     data = [([t for t in "abcde" if rng.random() < 0.5], rng.random() < 0.4) for _ in range(200)]
     got = url_filter.mine(spark.createDataFrame([(t, b) for t, b in data], "tokens array<string>, bad boolean"), 0.05, 0.45)
     used = [(set(t), b) for t, b in data if t]
-    for r in got.collect():
-        has = [b for t, b in used if set(r.antecedent) <= t]
-        assert abs(sum(has) / len(has) - r.confidence) < 1e-9 and sum(has) / len(used) >= 0.05
+    from itertools import combinations
+
+    conf = {}
+    for n in range(1, 6):
+        for c in combinations("abcde", n):
+            has = [b for t, b in used if set(c) <= t]
+            if has and sum(has) / len(used) >= 0.05 and sum(has) / len(has) >= 0.45:
+                conf[c] = sum(has) / len(has)
+    want = {c for c, x in conf.items() if not any(conf.get(s, -1) >= x for n in range(1, len(c)) for s in combinations(c, n))}
+    assert want and {tuple(r.antecedent): round(r.confidence, 9) for r in got.collect()} == {c: round(conf[c], 9) for c in want}
 
 
 def test_language(spark, docs, none):
@@ -231,6 +286,12 @@ def test_language(spark, docs, none):
     r = {x.doc_id: (x.lang_pred, x.score) for x in langid.identify(odd, model).collect()}
     assert r[1] == ("und", 0.0) and r[2] == ("und", 0.0) and r[3][0] in model.langs
     assert langid.op9(none).count() == 0
+    nobody = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert {(x.lang_pred, x.score) for x in langid.op9(nobody).collect()} == {("und", 0.0)}
+    other = spark.createDataFrame([(1, "Здравствуй мир")], "doc_id bigint, text string")  # a script that was never learnt
+    assert [(x.lang_pred, x.score) for x in langid.identify(other, model).collect()] == [(model.fallback, 0.0)]
+    twins = langid.train(spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a")], "doc_id bigint, text string, lang string"))
+    assert langid.identify(other.withColumn("text", F.lit("same words")), twins).first().lang_pred == "a"
     mixed = spark.createDataFrame([(1, "the of and that with from " * 30 + "der die und nicht eine einer " * 20)], "doc_id bigint, text string")
     spans = langid.identify(mixed, model, spans=True).first().spans
     assert {s.lang for s in spans} >= {"en", "de"}
@@ -393,7 +454,7 @@ def test_decontamination_recall():
     items = decontam.Items(list(enumerate(texts)), 0.8)
     for share in (0.1, 0.15, 0.2):
         caught = [k in _found(items, f"{prose(9)} {_edited(t, int(share * len(t)), rng)} {prose(9)}") for k, t in enumerate(texts)]
-        assert sum(caught) >= 0.9 * len(caught)
+        assert sum(caught) >= 0.95 * len(caught)
     tiny = decontam.Items([(1, "tiny item"), (2, "seventeen letters")], 0.8)
     assert _found(tiny, "a tinny item here") == {0} and _found(tiny, "a tiinny items here") == set() and _found(tiny, "such sevenxeen lettrs") == {1}
 
@@ -414,12 +475,46 @@ def test_html(spark):
         '<main><article><h1>He<b>ad</b></h1><p>One &amp; two&nbsp;<br>three<aside>side</aside><div class="ad">buy</div><p>four<form><input>f</form><section class="comments"><article>bad</article></section></article></main><footer>f</footer>'
     )
     shared = "same words stand on each page of this host again"
-    rows = [(1, "http://a.b/1", page), (2, "http://a.b/2", None), (3, None, ""), (4, "http://h.x/1", f"<p>{shared}</p><p>only here</p>"), (5, "http://h.x/2", f"<div>{shared}</div>other text"), (6, "http://i.x/2", f"<p>{shared}</p>"), (1, "http://a.b/1", page)]
-    p = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
+    rows = [(1, "http://a.b/1", page), (2, "http://a.b/2", None), (3, None, ""), (4, "http://h.x/1", f"<p>{shared}</p><p>only here</p>"), (5, "http://h.x/2", f"<div>{shared}</div>other text"), (6, "http://i.x/2", f"<p>{shared}</p>"), (1, "http://a.b/1", page), (7, "http://j.x/", f"<p>{shared}</p>"), (7, "http://j.x/", f"<p>{shared}</p>")]
+    p = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"text": F.lit("clash"), "key": F.lit("clash"), "page": F.lit("clash"), "places": F.lit("clash")})
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.op2(p).collect())
     one = "Head One & two three four"
-    assert got == [(1, one, len(one)), (1, one, len(one)), (2, "", 0), (3, "", 0), (4, "only here", 9), (5, "other text", 10), (6, shared, len(shared))]
+    assert got == [(1, one, len(one)), (1, one, len(one)), (2, "", 0), (3, "", 0), (4, "only here", 9), (5, "other text", 10), (6, shared, len(shared)), (7, shared, len(shared)), (7, shared, len(shared))]
     assert html_extract.op2(p.where("false")).count() == 0
+    assert {r.page_id: r.text for r in html_extract.extract(p, array=False).collect()}[4] == f"{shared} only here"  # the array decides it
+
+
+def test_host_array_equals_brute_force(spark):
+    """A host of many pages, most of them without structure: repeats of LEAST tokens over distinct pages, the marked pages' menus included."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    run = lambda n: [rng.choice(words) for _ in range(n)]
+    common = [run(rng.randrange(8, 20)) for _ in range(12)]
+    pages = []
+    for k in range(1500):
+        parts = [x for _ in range(3) for x in (run(rng.randrange(12)), rng.choice(common) if rng.random() < 0.6 else [])]
+        pages.append((k, [w for x in parts for w in x], k % 10 == 0))
+    rows = [(k, f"http://{'h' if k % 3 else 'g'}.x/{k}", (f"<article>text {k}</article><nav>" if marked else "<div>") + " ".join(w)) for k, w, marked in pages]
+    got = {r.page_id: r.text for r in html_extract.op2(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    at = {}
+    for k, w, _ in pages:
+        for i in range(len(w) - 7):
+            at.setdefault((k % 3 > 0, *w[i : i + 8]), set()).add(k)
+    for k, w, marked in pages:
+        gone = {i + j for i in range(len(w) - 7) if len(at[(k % 3 > 0, *w[i : i + 8])]) > 1 for j in range(8)}
+        assert got[k] == (f"text {k}" if marked else " ".join(x for i, x in enumerate(w) if i not in gone)), k
+
+
+def test_hostile_html():
+    import time
+
+    began = time.time()
+    for page in ('<a "' * 50000, "<a " * 50000, "<div>" * 20000 + "</p>" * 20000, "<!--" * 50000, "<script>" * 20000, "<a x=\"<a x='" * 20000, "<p>" + "y" * 3_000_000):
+        html_extract.regions(page)
+    assert time.time() - began < 20
+    assert html_extract.regions("<article>one</article><article>two</article>")[0] == ["one"]
+    assert html_extract.regions("<article>a<!-- open</article>")[0] == ["a"] and html_extract.regions("<p title='a>b'>c")[1] == ["c"]
+    assert html_extract.regions("<div class=ad>x<p>y")[2] == ["x", "y"] and html_extract.regions("<article></article>z") == ([], ["z"], [])
 
 
 def test_pipeline(spark, tmp_path):
@@ -458,6 +553,19 @@ def test_pipeline_columns_and_nothing(spark, rows, none):
         assert stage(spark, nulls, SF).count() == (0 if name == "language" else 1), name
 
 
+def test_intermediate_data_is_deleted(spark, tmp_path):
+    import os
+
+    from bitloom.llm import common
+
+    made = len(common.MADE)
+    common.staged(spark.range(5), "trial")
+    path = common.MADE[-1].removeprefix("file:")
+    assert os.path.isdir(path)
+    common.clear(spark, made)
+    assert not os.path.exists(path) and len(common.MADE) == made
+
+
 def test_oracles(spark):
     import duckdb
 
