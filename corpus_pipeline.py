@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import decontam, exact_dedup, jaccard_join, langid, sentencepiece_fst
-from bitloom.llm.common import shared_path, table
+from bitloom.llm.common import MADE, clear, shared_path, table
 
 #: A document whose language can't be told is rejected, and one in which no language has this share.
 LEAST_SHARE = 0.35
@@ -62,7 +62,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = shared_path(spark, f"stage-{name}")
+        path, made = shared_path(spark, f"stage-{name}", lasting=True), len(MADE)
         stage(spark, docs, sf_dir).write.parquet(path)
+        clear(spark, made)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
