@@ -132,6 +132,24 @@ def image_decoder(payload: pd.Series) -> pd.DataFrame:
     return frame
 
 
+@pandas_udf(struct(pixels=_BIN, error=_TEXT))
+def rgb_pixels(data: pd.Series, h: pd.Series, w: pd.Series, channels: pd.Series) -> pd.DataFrame:
+    """RGB bytes of what the JVM's picture reader gives."""
+    return _each(K.bgr_to_rgb, [data, h, w, channels], ["pixels"])
+
+
+@pandas_udf(T.ArrayType(struct(algorithm_id=_INT, payload_bytes=_LONG, padding_bits=_INT)))
+def coded_sizes(content: pd.Series) -> pd.Series:
+    """Payload size and padding of a blob under each byte codec, the chained one from the LZ78 payload at hand."""
+
+    def sizes(b: bytes) -> list[dict]:
+        phrases = K.lz78_encode(b)
+        coded = {1: K.huffman_encode(b), 2: phrases, 3: K.huffman_encode(phrases[0])}
+        return [{"algorithm_id": a, "payload_bytes": len(p), "padding_bits": pad} for a, (p, pad) in coded.items()]
+
+    return pd.Series([None if b is None else sizes(b) for b in content])
+
+
 @udtf(returnType=struct(k=_INT, idx=_LONG, ch=_SHORT))
 class Lz78Tokens:
     """Tokens of one blob as rows: SELECT * FROM t, LATERAL lz78_token_rows(content)."""

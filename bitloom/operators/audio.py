@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.functions import names as N
 from bitloom.functions.bits import fixed_width
 from bitloom.functions.constants import ADM, ADM_MULTIPLIER, ADM_STEP_MAX, ADM_STEP_MIN, DM, DPCM, DPCM_HIGH, DPCM_LOW, PCM
 from bitloom.functions.udfs import audio_decoder, audio_encoder
@@ -147,11 +148,18 @@ def dpcm_values(codes: Column, bits: int, alpha: float) -> Column:
 
 def sqnr(original: Column, restored: Column) -> Column:
     """Signal to noise ratio in dB over the samples that both have: 0 without any, infinite without noise, 0 without signal."""
-    n = F.least(F.size(original), F.size(restored))
-    pairs = F.arrays_zip(F.slice(original, F.lit(1), n).alias("x"), F.slice(restored, F.lit(1), n).alias("y"))
-    add = lambda f: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + f(p["x"].cast("double"), p["y"].cast("double")))
-    signal, noise = add(lambda x, y: x * x), add(lambda x, y: (x - y) * (x - y))
-    return F.when(n == 0, 0.0).when(noise == 0, float("inf")).when(signal == 0, 0.0).otherwise(10.0 * F.log10(signal / F.nullif(noise, F.lit(0.0))))
+
+    def add(a, p):
+        x, y = p["x"].cast("double"), p["y"].cast("double")
+        both = x.isNotNull() & y.isNotNull()  # the shorter array is filled with nulls
+        return F.struct((a.n + both.cast("int")).alias("n"), (a.s + F.when(both, x * x).otherwise(0.0)).alias("s"), (a.e + F.when(both, (x - y) * (x - y)).otherwise(0.0)).alias("e"))
+
+    def ratio(a):
+        return F.when(a.n == 0, 0.0).when(a.e == 0, float("inf")).when(a.s == 0, 0.0).otherwise(10.0 * F.log10(a.s / F.nullif(a.e, F.lit(0.0))))
+
+    # one fold, so that neither array is worked out twice
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("e"))
+    return F.aggregate(F.arrays_zip(original.alias("x"), restored.alias("y")), start, add, ratio)
 
 
 def theoretical_sqnr(bits: Column) -> Column:
@@ -163,6 +171,19 @@ def against_theory(algorithm: Column, bits: Column, measured: Column) -> Column:
     return F.when((algorithm == PCM) & (measured != float("inf")), measured - theoretical_sqnr(bits))
 
 
+def panel(report: DataFrame) -> DataFrame:
+    """The audio panel as text, from sig_id, algorithm_id, bits, sqnr, n_samples, original_bytes and payload_bytes."""
+    q, theory = F.col("sqnr"), F.col("algorithm_id").isin(PCM, DPCM)
+    size = N.ratio(F.col("original_bytes"), F.col("payload_bytes"))
+    lossless, expected = q == float("inf"), theoretical_sqnr(F.col("bits"))
+    return report.select(
+        "sig_id", F.when(lossless, "∞ (Lossless)").otherwise(N.fixed(q, 2, "%.{n}f dB")).alias("sqnr"), F.concat(F.lit("Quality: "), N.sqnr_label(q)).alias("quality"),
+        F.when(theory, N.fixed(expected, 2, "%.{n}f dB")).otherwise("N/A (DM / ADM)").alias("theory"),
+        F.when(theory, F.when(lossless, "N/A").otherwise(N.fixed(q - expected, 2, "%+.{n}f dB vs theory"))).alias("against_theory"),
+        size["ratio"].alias("ratio"), F.concat(size["savings"], F.lit(" saved")).alias("savings"), N.sqnr_band(q).alias("band"), F.col("n_samples").cast("long").alias("n_samples"),
+    )
+
+
 def encode(signals: DataFrame, algorithm: int, **params) -> DataFrame:
     """signals with payload, padding_bits and error."""
     out = signals.withColumn("e", audio_encoder(algorithm, **params)("signal"))

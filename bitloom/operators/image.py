@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.bits import big_endian, byte_list, unsigned
 from bitloom.functions.constants import MAX_RUN
+from bitloom.functions.udfs import rgb_pixels
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
@@ -119,14 +120,12 @@ def upscale(flat: DataFrame, width: int, scale: int) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Pictures of any format the JVM reads, as (origin, h, w, channels, pixels) with channels in the order R, G, B."""
-    i = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    hexes = byte_list(F.col("data"))
-    n = F.col("nChannels")
-    rgb = F.transform(
-        F.sequence(F.lit(0), F.col("height") * F.col("width") * 3 - 1),
-        lambda k: F.element_at(F.col("hexes"), (F.floor(k / 3) * n + F.when(n >= 3, 2 - k % 3).otherwise(0) + 1).cast("int")),
-    )
-    return i.withColumn("hexes", hexes).select(
-        "origin", F.col("height").alias("h"), F.col("width").alias("w"), F.lit(3).alias("channels"), F.unhex(F.array_join(rgb, "")).alias("pixels")
-    )
+    """Pictures of any format the JVM reads, as (origin, h, w, channels, pixels, error) with channels in the order R, G, B.
+    Files that can't be read have null pixels and an error."""
+    i = spark.read.format("image").load(path).select("image.*").withColumn("p", rgb_pixels("data", "height", "width", "nChannels"))
+    good = F.col("p.error").isNull() & F.col("p.pixels").isNotNull()
+    shape = lambda c: F.when(good, c)
+    return i.select(
+        "origin", shape(F.col("height")).alias("h"), shape(F.col("width")).alias("w"), shape(F.lit(3)).alias("channels"), F.col("p.pixels").alias("pixels"),
+        F.when(~good, F.coalesce("p.error", F.lit("no picture"))).alias("error"),
+    )

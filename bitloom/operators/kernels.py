@@ -117,6 +117,8 @@ def huffman_decode(payload: bytes, padding: int) -> bytes:
         return b""
     if len(counts) == 1:
         ((symbol, n),) = counts.items()
+        if 8 * (len(payload) - at) < n:  # a bit for each; a blob can't claim more than it holds
+            raise CodecError(f"{n} symbols in {len(payload) - at} bytes")
         return bytes([symbol]) * n
     total = sum(counts.values())
     codes = huffman_codes(counts)
@@ -213,7 +215,6 @@ def lz78_read(payload: bytes) -> list[tuple[int, int | None]]:
     widths = _widths(n)
     start = np.concatenate([[0], np.cumsum(widths + 9)])
     bits = np.concatenate([bits, np.zeros(max(0, int(start[-1]) - len(bits)) + 64, np.uint8)])
-    value = np.zeros(len(bits) + 1, np.int64)
     flags = bits[start[:-1] + widths] if n else np.empty(0, np.uint8)
     if n and flags[:-1].all():  # only the last token can be open in what the encoder writes
         index, byte = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -227,7 +228,6 @@ def lz78_read(payload: bytes) -> list[tuple[int, int | None]]:
         if not flags[-1]:
             out[-1] = (out[-1][0], None)
         return out
-    del value
     out, at, flat = [], 0, bits.tolist()
     for k in range(1, n + 1):
         index = 0
@@ -357,6 +357,14 @@ def image_decode(payload: bytes) -> np.ndarray:
     return flat.reshape(h, w) if channels == 1 else flat.reshape(h, w, 3)
 
 
+def bgr_to_rgb(data: bytes, h: int, w: int, channels: int) -> bytes:
+    """Pixels of the JVM's pictures (gray, BGR or BGRA) as RGB."""
+    if h < 0 or w < 0 or channels not in (1, 3, 4) or len(data) != h * w * channels:
+        raise CodecError("no picture")
+    p = np.frombuffer(data, np.uint8).reshape(h, w, channels)
+    return (np.repeat(p, 3, 2) if channels == 1 else p[..., 2::-1]).tobytes()
+
+
 def png(pixels: np.ndarray) -> bytes:
     """A PNG file of an H x W or H x W x 3 picture."""
     h, w = pixels.shape[:2]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.bits import big_endian, unsigned
 from bitloom.functions.constants import BYTE_ALGORITHMS
-from bitloom.functions.udfs import decoder, encoder, histogram, nonzero
+from bitloom.functions.udfs import coded_sizes, decoder, encoder, histogram, nonzero
 
 
 def byte_counts(blobs: DataFrame, id_col: str = "blob_id") -> DataFrame:
@@ -57,6 +57,19 @@ def decode(payloads: DataFrame, algorithm: int, strict: bool = False) -> DataFra
     return out.select(*kept, F.col("d.content").alias("restored"), "d.error")
 
 
+def compare(blobs: DataFrame) -> DataFrame:
+    """blobs (content) with one row per byte codec: algorithm_id, payload_bytes, padding_bits and the measures of analyze. Each blob
+    is coded once by every codec and counted once."""
+    read = blobs.withColumn("__s", coded_sizes("content")).withColumn("__h", histogram("content"))
+    out = read.select(*blobs.columns, entropy(F.col("__h")).alias("entropy"), F.explode("__s").alias("__c"))
+    n = F.octet_length("content").cast("long")
+    out = out.withColumn("avg_code_length", average_code_length(n, F.col("__c.payload_bytes"), F.col("__c.padding_bits")))
+    return out.select(
+        *blobs.columns, "__c.algorithm_id", "__c.payload_bytes", "__c.padding_bits", "entropy", "avg_code_length",
+        coding_efficiency(F.col("entropy"), F.col("avg_code_length")).alias("efficiency"), n.alias("n_symbols"),
+    )
+
+
 def compress(blobs: DataFrame, algorithm_col: str = "algorithm_id") -> DataFrame:
     """Each row through the codec that it names; one with no byte codec gets an error. Rows are split by codec, so that
     each kernel sees its own."""

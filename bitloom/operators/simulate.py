@@ -86,10 +86,13 @@ def dpcm(signal: Column, alpha: float, bits: int = 4) -> Column:
 
 def sqnr(original: Column, restored: Column) -> Column:
     """Signal to noise ratio in dB; infinite where the noise is under 1e-12."""
-    pairs = F.arrays_zip(original.alias("x"), restored.alias("y"))
-    add = lambda f: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + f(p["x"], p["y"]).cast("double"))
-    s, n = add(lambda x, y: x * x), add(lambda x, y: (x - y) * (x - y))
-    return F.when(n < 1e-12, float("inf")).otherwise(10.0 * F.log10(s / F.nullif(n, F.lit(0.0))))
+
+    def add(a, p):
+        x, y = p["x"], p["y"]
+        return F.struct((a.s + (x * x).cast("double")).alias("s"), (a.e + ((x - y) * (x - y)).cast("double")).alias("e"))
+
+    ratio = lambda a: F.when(a.e < 1e-12, float("inf")).otherwise(10.0 * F.log10(a.s / F.nullif(a.e, F.lit(0.0))))
+    return F.aggregate(F.arrays_zip(original.alias("x"), restored.alias("y")), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("e")), add, ratio)
 
 
 def waveform(signals: DataFrame, delta: float, alpha: float) -> DataFrame:

@@ -78,15 +78,16 @@ def _(s, d):
     return t.select("blob_id", F.explode(lossless.read_counts(F.col("w"))["counts"]).alias("x")).select("blob_id", F.col("x.sym").alias("sym"), F.col("x.cnt").alias("cnt"))
 
 
-#: Code bits of a Huffman code: the sum of all inner weights; one symbol alone takes a bit each.
+#: Code bits of a Huffman code: the sum of all inner weights; one symbol alone takes a bit each. Counts (item_id, h, n) are in c.
+_CODE_BITS = """, {g} AS (SELECT item_id, list_sort(list(n)) AS l, 0::BIGINT AS total, sum(n)::BIGINT AS n, count(*) AS k FROM {c} GROUP BY item_id),
+{r} AS (SELECT item_id, l, total FROM {g} UNION ALL
+      SELECT item_id, list_sort(list_append(l[3:], l[1] + l[2])), total + l[1] + l[2] FROM {r} WHERE len(l) > 1),
+{t} AS (SELECT item_id, any_value({g}.n) AS n, any_value(k) AS k, CASE WHEN any_value(k) = 1 THEN any_value({g}.n) ELSE max({r}.total) END AS bits FROM {r} JOIN {g} USING (item_id) GROUP BY item_id) """
 _HUFFMAN = (
-    _TABLE.replace("WITH", "WITH RECURSIVE")
-    + """, g AS (SELECT item_id, list_sort(list(n)) AS l, 0::BIGINT AS total, sum(n)::BIGINT AS n, count(*) AS k FROM c GROUP BY item_id),
-r AS (SELECT item_id, l, total FROM g UNION ALL
-      SELECT item_id, list_sort(list_append(l[3:], l[1] + l[2])), total + l[1] + l[2] FROM r WHERE len(l) > 1),
-t AS (SELECT item_id, any_value(g.n) AS n, any_value(g.k) AS k, CASE WHEN any_value(g.k) = 1 THEN any_value(g.n) ELSE max(r.total) END AS bits FROM r JOIN g USING (item_id) GROUP BY item_id),
-e AS (SELECT item_id, -sum(c.n / t.n * log2(c.n / t.n)) AS h FROM c JOIN t USING (item_id) GROUP BY item_id) """
+    _TABLE.replace("WITH", "WITH RECURSIVE") + _CODE_BITS.format(c="c", g="g", r="r", t="t")
+    + """, e AS (SELECT item_id, -sum(c.n / t.n * log2(c.n / t.n)) AS h FROM c JOIN t USING (item_id) GROUP BY item_id) """
 )
+_FULL_BYTES = "array_to_string(list_transform(regexp_extract_all({bits}, '[01]{{8}}'), lambda x: printf('%02X', list_sum(list_transform(range(8), lambda i: CASE WHEN x[i + 1] = '1' THEN 1 << (7 - i)::INTEGER ELSE 0 END))::BIGINT)), '')"
 
 
 @query("huffman_total_bits", _HUFFMAN + "SELECT item_id AS blob_id, k AS n_codes, CAST(bits AS BIGINT) AS code_bits FROM t")
@@ -117,6 +118,20 @@ def _(s, d):
     )
 
 
+@query("huffman_payload_hex", _TABLE.replace("WITH", "WITH RECURSIVE") + f""", g AS (SELECT item_id, list(h ORDER BY h) AS hs, list(n ORDER BY h) AS ns FROM c GROUP BY item_id),
+r AS (SELECT item_id, 0 AS step, list_sort(list_transform(range(1, len(hs) + 1), lambda i: {{'n': ns[i], 'o': i, 'm': [hs[i]]}})) AS l, []::VARCHAR[] AS zero, []::VARCHAR[] AS one, len(hs) AS k FROM g
+ UNION ALL SELECT item_id, step + 1, list_sort(list_append(l[3:], {{'n': l[1].n + l[2].n, 'o': k + step + 1, 'm': list_concat(l[1].m, l[2].m)}})), l[1].m, l[2].m, k FROM r WHERE len(l) > 1),
+u AS (SELECT item_id, step, unnest(zero) AS h, '0' AS bit FROM r UNION ALL SELECT item_id, step, unnest(one), '1' FROM r),
+code AS (SELECT item_id, h, string_agg(bit, '' ORDER BY step DESC) AS code FROM u GROUP BY ALL),
+b AS (SELECT item_id, generate_subscripts(l, 1) AS i, unnest(l) AS h FROM (SELECT item_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM benchmark)),
+s AS (SELECT item_id, string_agg(code, '' ORDER BY i) AS bits FROM b JOIN code USING (item_id, h) GROUP BY item_id),
+p AS (SELECT item_id, bits || repeat('0', CAST((8 - length(bits) % 8) % 8 AS INTEGER)) AS full_bits, CAST((8 - length(bits) % 8) % 8 AS INTEGER) AS pad FROM s),
+w AS (SELECT item_id, printf('%04X', count(*)) || string_agg(h || printf('%08X', n), '' ORDER BY h) AS head FROM c GROUP BY item_id)
+SELECT item_id AS blob_id, head || {_FULL_BYTES.format(bits="full_bits")} AS payload, pad AS padding_bits FROM p JOIN w USING (item_id)""")
+def _(s, d):
+    return lossless.encode(T.items(s, d), HUFFMAN).select("blob_id", F.hex("payload").alias("payload"), "padding_bits")
+
+
 _ROUND_TRIP = "SELECT doc_id AS blob_id, md5(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents"
 
 
@@ -159,14 +174,27 @@ def _(s, d):
     return e.select("blob_id", B.unsigned(F.col("payload"), 0, 4).alias("n_tokens"), F.octet_length("payload").cast("long").alias("payload_bytes"))
 
 
-@query("lz78_payload_hex", _LZ + f""", w AS (SELECT item_id, k, {_WIDTH} AS w, idx, ch FROM t),
+_LZ_HEX = _LZ + f""", w AS (SELECT item_id, k, {_WIDTH} AS w, idx, ch FROM t),
 s AS (SELECT item_id, count(*) AS n, string_agg(right(lpad(bin(idx), 64, '0'), CAST(w AS INTEGER)) || CASE WHEN ch IS NULL THEN '0' ELSE '1' || lpad(bin(ch), 8, '0') END, '' ORDER BY k) AS bits FROM w GROUP BY item_id),
-p AS (SELECT item_id, n, bits || repeat('0', CAST((8 - length(bits) % 8) % 8 AS INTEGER)) AS full_bits, (8 - length(bits) % 8) % 8 AS pad FROM s)
-SELECT item_id AS blob_id, printf('%08X', n) || printf('%02X', pad) || array_to_string(list_transform(regexp_extract_all(full_bits, '[01]{{8}}'), lambda x: printf('%02X', list_sum(list_transform(range(8), lambda i: CASE WHEN x[i + 1] = '1' THEN 1 << (7 - i)::INTEGER ELSE 0 END))::BIGINT)), '') AS payload FROM p""")
+p AS (SELECT item_id, n, bits || repeat('0', CAST((8 - length(bits) % 8) % 8 AS INTEGER)) AS full_bits, (8 - length(bits) % 8) % 8 AS pad FROM s),
+x AS (SELECT item_id, printf('%08X', n) || printf('%02X', pad) || {_FULL_BYTES.format(bits="full_bits")} AS payload FROM p) """
+
+
+@query("lz78_payload_hex", _LZ_HEX + "SELECT item_id AS blob_id, payload FROM x")
 def _(s, d):
     return lossless.encode(T.items(s, d), LZ78).select("blob_id", F.hex("payload").alias("payload"))
 
 
+_SIZE = "SELECT item_id AS blob_id, {a} AS algorithm_id, CAST(2 + 5 * k + ceil(bits / 8) AS BIGINT) AS payload_bytes, CAST((8 - bits % 8) % 8 AS INTEGER) AS padding_bits FROM {t}"
+
+
+@query("codec_sizes", _LZ_HEX + f", c1 AS (SELECT item_id, h, count(*) AS n FROM (SELECT item_id, {_BYTES} FROM benchmark) GROUP BY ALL)" + _CODE_BITS.format(c="c1", g="g1", r="r1", t="t1")
+    + ", c3 AS (SELECT item_id, h, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(payload, '..')) AS h FROM x) GROUP BY ALL)" + _CODE_BITS.format(c="c3", g="g3", r="r3", t="t3")
+    + _SIZE.format(a=1, t="t1") + " UNION ALL SELECT item_id, 2, CAST(length(payload) // 2 AS BIGINT), 0 FROM x UNION ALL " + _SIZE.format(a=3, t="t3"))
+def _(s, d):
+    return lossless.compare(T.items(s, d)).select("blob_id", "algorithm_id", "payload_bytes", "padding_bits")
+
+
 @query("lz78_index_width", f"SELECT k, CAST({_WIDTH} AS INTEGER) AS width FROM range(1, 5000) t(k)")
 def _(s, d):
     return s.range(1, 5000).select(F.col("id").alias("k"), lossless.index_width(F.col("id")).cast("int").alias("width"))
@@ -182,13 +210,9 @@ def _(s, d):
 
 @query("codec_report")
 def flagship(s, d):
-    """Codec by language: sizes, lengths and efficiency."""
-    b = T.blobs(s, d).select("blob_id", "lang", "content")
-    out = None
-    for a in (HUFFMAN, LZ78, CHAINED):
-        e = lossless.analyze(lossless.encode(b, a)).withColumn("algorithm", H.algorithm_label(F.lit(a)))
-        out = e if out is None else out.unionByName(e)
-    size = F.sum(F.octet_length("payload").cast("long"))
+    """Codec by language: sizes, lengths and efficiency, each blob coded once by every codec."""
+    out = lossless.compare(T.blobs(s, d).select("blob_id", "lang", "content")).withColumn("algorithm", H.algorithm_label(F.col("algorithm_id")))
+    size = F.sum("payload_bytes")
     return out.groupBy("algorithm", "lang").agg(
         F.count(F.lit(1)).alias("blobs"), F.sum("n_symbols").alias("raw_bytes"), size.alias("payload_bytes"), F.round(size / F.sum("n_symbols"), 6).alias("ratio"),
         F.round(F.avg("entropy"), 6).alias("entropy"), F.round(F.avg("avg_code_length"), 6).alias("avg_code_length"), F.round(F.avg("efficiency"), 4).alias("efficiency"),
@@ -320,6 +344,73 @@ def _(s, d):
     return archive.restore(a).join(st, "blob_id").select("blob_id", "kind", "algorithm", "file_type_label", "extension", "header_bytes", F.md5("restored").alias("digest"), "restored_name")
 
 
+@query("archive_internals", _LZ_HEX + """SELECT item_id AS blob_id, '0x02' AS algorithm, 'Binary File / PDF' AS file_type, 11 AS header_bytes, CAST(length(payload) // 2 AS BIGINT) AS payload_bytes,
+ CAST(4 * length(payload) AS BIGINT) AS logical_bits, 0 AS padding_bits FROM x""")
+def _(s, d):
+    st = archive.status(archive.pack(lossless.encode(T.items(s, d), LZ78), LZ78).select("blob_id", "archive"))
+    return st.select(
+        "blob_id", F.concat(F.lit("0x"), F.lpad(F.hex(F.col("algorithm_id").cast("long")), 2, "0")).alias("algorithm"), F.col("file_type_label").alias("file_type"), "header_bytes",
+        F.col("payload_bytes").cast("long").alias("payload_bytes"), F.col("logical_bits").cast("long").alias("logical_bits"), "padding_bits",
+    )
+
+
+@query("audio_archive_status", """SELECT vec_id AS id, 4 AS bits, 2 AS sampling_factor, 8000::BIGINT AS sample_rate, 64::BIGINT AS original_length, 1 AS n_channels, 24::BIGINT AS payload_bytes, 192::BIGINT AS logical_bits FROM embeddings""")
+def _(s, d):
+    sig = T.signals(s, d).select(F.col("sig_id").alias("id"), F.format_string("sig%d.wav", "sig_id").alias("name"), "sample_rate", "signal", F.size("signal").alias("original_length"))
+    st = archive.status(archive.pack_audio(audio.encode(sig, PCM, sampling_factor=2, bits=4), PCM, sampling_factor=2, bits=4).select("id", "archive"))
+    return st.select("id", "bits", "sampling_factor", "sample_rate", "original_length", "n_channels", F.col("payload_bytes").cast("long").alias("payload_bytes"), F.col("logical_bits").cast("long").alias("logical_bits"))
+
+
+# files
+
+
+def _item_archives(s, d):
+    b = T.items(s, d).select("blob_id", "name", "content")
+    return archive.pack(lossless.encode(b, HUFFMAN), HUFFMAN).select("name", "archive")
+
+
+@query("archive_files", "SELECT 'item' || item_id || '.txt.abc' AS name, 1 AS file_type, 1 AS algorithm_id, 'txt' AS extension, 11 AS header_bytes, md5(text) AS digest, CAST(NULL AS VARCHAR) AS error FROM benchmark".replace("1 AS file_type", "2 AS file_type"))
+def _(s, d):
+    """Archives written as files, scanned again and decoded."""
+    from bitloom.sources import arc
+    from bitloom.streaming.runs import shared_folder
+
+    arc.register(s)
+    out = shared_folder(s, "archives")
+    _item_archives(s, d).write.format("arc").mode("append").save(out)
+    a = s.read.format("arc").load(out)
+    r = archive.restore(a.select("name", "archive")).select("name", F.md5("restored").alias("digest"))
+    return a.join(r, "name").select("name", "file_type", "algorithm_id", "extension", "header_bytes", "digest", "error")
+
+
+@query("restored_files", "SELECT 'item' || item_id || '_restored.txt' AS name, CAST(octet_length(encode(text)) AS BIGINT) AS length, md5(text) AS digest FROM benchmark")
+def _(s, d):
+    """Restored files in a folder under their own names, read again as uploads."""
+    from bitloom.sources import arc
+    from bitloom.streaming.runs import shared_folder
+
+    arc.register(s)
+    out = shared_folder(s, "restored")
+    archives = _item_archives(s, d).withColumn("name", F.concat(N.stem(F.col("name")), F.lit(".abc")))
+    archive.restore(archives).select("restored_name", "restored").write.format("restored").mode("append").save(out)
+    return media.read_blobs(s, out).select("name", "length", F.md5("content").alias("digest"))
+
+
+@query("png_files", "SELECT 'item' || item_id || '_restored.png' AS name, 1 AS h, CAST(octet_length(encode(text)) // 3 AS INTEGER) AS w, 3 AS channels, left(hex(encode(text)), CAST(octet_length(encode(text)) // 3 * 6 AS INTEGER)) AS pixels, CAST(NULL AS VARCHAR) AS error FROM benchmark")
+def _(s, d):
+    """RGB pictures coded at 8 bits, restored as PNG files and read by the JVM's picture reader."""
+    from bitloom.sources import arc
+    from bitloom.streaming.runs import shared_folder
+
+    arc.register(s)
+    out = shared_folder(s, "pictures")
+    flat, shapes = T.rgb_samples(s, d)
+    packed = archive.pack_image(image.encode(flat, shapes, 8).withColumn("name", F.format_string("item%d.png", "img_id")))
+    archives = packed.select(F.concat(N.stem(F.col("name")), F.lit(".abc")).alias("name"), "archive")
+    archive.restore(archives).select("restored_name", "restored").write.format("restored").mode("append").save(out)
+    return image.read_images(s, out).select(F.substring_index("origin", "/", -1).alias("name"), "h", "w", "channels", F.hex("pixels").alias("pixels"), "error")
+
+
 @query("archive_restore_mixed", """SELECT vec_id AS id, 'audio' AS kind, 'sig' || vec_id || '_restored.wav' AS restored_name, CAST(44 + 2 * 64 AS BIGINT) AS n_bytes FROM embeddings
  UNION ALL SELECT item_id, 'bytes', 'item' || item_id || '_restored.txt', octet_length(encode(text)) FROM benchmark""")
 def _(s, d):
@@ -366,6 +457,22 @@ def _(s, d):
     return image.encode(p, T.shapes(p), 4).select("img_id", F.hex("payload").alias("payload"))
 
 
+@query("rle_payload_rgb", f"""WITH q AS (SELECT img_id, 3 * pos + c AS pos, (CASE c WHEN 0 THEN {_R} WHEN 1 THEN {_G} ELSE {_B} END >> 4) << 4 AS v FROM ({_RGB}), range(3) u(c)),
+f AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS fresh FROM q WINDOW w AS (PARTITION BY img_id ORDER BY pos)),
+n AS (SELECT img_id, v, sum(fresh) OVER (PARTITION BY img_id ORDER BY pos) - 1 AS run FROM f), r AS (SELECT img_id, run, any_value(v) AS v, count(*) AS n FROM n GROUP BY img_id, run)
+SELECT img_id, printf('%08X%08X', 1, CAST(sum(n) // 3 AS BIGINT)) || '0304' || printf('%08X%08X', CAST(sum(n) AS BIGINT), count(*)) || '00' || string_agg(printf('%02X%04X', CAST(v AS BIGINT), n), '' ORDER BY run) AS payload FROM r GROUP BY img_id""")
+def _(s, d):
+    flat, shapes = T.rgb_samples(s, d)
+    return image.encode(flat, shapes, 4).select("img_id", F.hex("payload").alias("payload"))
+
+
+@query("rle_roundtrip_rgb", f"SELECT img_id, array_to_string(list(printf('%02X%02X%02X', CAST(({_R} >> 3) << 3 AS BIGINT), CAST(({_G} >> 3) << 3 AS BIGINT), CAST(({_B} >> 3) << 3 AS BIGINT)) ORDER BY pos), '') AS pixels, 3 AS channels FROM ({_RGB}) GROUP BY img_id")
+def _(s, d):
+    flat, shapes = T.rgb_samples(s, d)
+    r = image.decode(image.encode(flat, shapes, 5))
+    return r.select("img_id", F.array_join(F.transform("v", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), "").alias("pixels"), F.col("channels").cast("int").alias("channels"))
+
+
 @query("rle_roundtrip", f"SELECT img_id, array_to_string(list(printf('%02X', (v >> 3) << 3) ORDER BY pos), '') AS pixels FROM ({_IMG}) GROUP BY img_id")
 def _(s, d):
     p = T.pictures(s, d)
@@ -480,7 +587,10 @@ def _(s, d):
     return x.select("sig_id", F.round(audio.sqnr(F.col("signal"), audio.pcm_values(F.col("k"), 6, F.col("r.low"), F.col("r.high"))), 4).alias("sqnr"))
 
 
-@query("pcm_event_sqnr", None)
+_EVENTS = "SELECT user_id AS sig_id, list(CAST(value / 500 AS FLOAT) ORDER BY ts, event_id) AS s FROM events GROUP BY user_id"
+
+
+@query("pcm_event_sqnr", _pcm_sql(8).replace(_SIG, _EVENTS) + f", y AS (SELECT sig_id, s, list_transform(k, lambda i: {_LEVEL.format(l=256)}) AS y FROM p) SELECT sig_id, len(s) AS n, round({_sqnr_sql('y[j]')}, 4) AS sqnr FROM y")
 def _(s, d):
     """Kernel path over the longer event signals."""
     sig = T.event_signals(s, d).withColumn("original_length", F.size("signal"))
@@ -488,6 +598,17 @@ def _(s, d):
     return r.select("sig_id", F.col("original_length").cast("long").alias("n"), F.round(audio.sqnr(F.col("signal"), F.col("restored")), 4).alias("sqnr"))
 
 
+@query("audio_panel", _pcm_sql(4) + f""", y AS (SELECT sig_id, s, list_transform(k, lambda i: {_LEVEL.format(l=16)}) AS y FROM p), q AS (SELECT sig_id, {_sqnr_sql('y[j]')} AS q FROM y)
+SELECT sig_id, printf('%.2f dB', q) AS sqnr, 'Quality: ' || CASE WHEN q >= 40 THEN 'Excellent' WHEN q >= 30 THEN 'Good' WHEN q >= 20 THEN 'Acceptable' ELSE 'Distorted' END AS quality, '25.84 dB' AS theory, printf('%+.2f dB vs theory', q - 25.84) AS against_theory,
+ printf('%.4f×', 40 / 172) AS ratio, '-' || printf('%.2f%%', (1 - 40 / 172) * 100) || ' saved' AS savings,
+ CASE WHEN q >= 40 THEN 'Excellent quality — indistinguishable from original.' WHEN q >= 30 THEN 'Good quality — minor quantization noise.' WHEN q >= 20 THEN 'Acceptable — noticeable distortion.' ELSE 'Low quality — heavy quantization distortion.' END AS band, 64::BIGINT AS n_samples FROM q""")
+def _(s, d):
+    sig = T.signals(s, d).select("sig_id", "sample_rate", "signal", F.size("signal").alias("original_length"), F.octet_length(media.export_audio("signal", "sample_rate")).alias("original_bytes"))
+    e = audio.encode(sig, PCM, bits=4).withColumn("payload_bytes", F.octet_length("payload"))
+    r = audio.decode(e, PCM, bits=4)
+    return audio.panel(r.select("sig_id", F.lit(PCM).alias("algorithm_id"), F.lit(4).alias("bits"), audio.sqnr(F.col("signal"), F.col("restored")).alias("sqnr"), F.col("original_length").alias("n_samples"), "original_bytes", "payload_bytes"))
+
+
 @query("theoretical_sqnr", "SELECT b AS bits, round(6.02 * b + 1.76, 2)::DOUBLE AS sqnr FROM range(1, 25) t(b)")
 def _(s, d):
     return s.range(1, 25).select(F.col("id").alias("bits"), F.round(audio.theoretical_sqnr(F.col("id")), 2).alias("sqnr"))
@@ -713,7 +834,20 @@ def _(s, d):
     return w.select("sig_id", F.round("max_error", 5).alias("max_error"), "within_delta", "slope_overload")
 
 
-@query("sim_sine_report")
+_SINE = "SELECT 0 AS sig_id, list(CAST(sin(i * (2 * 3.141592653589793 / 49)) AS FLOAT) ORDER BY i) AS s FROM range(50) t(i)"
+_SIM_SQNR = "10 * log10(list_sum(list_transform(s, lambda v: (v * v)::DOUBLE)) / list_sum(list_transform(range(1, len(s) + 1), lambda j: ((s[j] - {y}[j]) * (s[j] - {y}[j]))::DOUBLE)))"
+
+
+def _sine_sql(delta: str) -> str:
+    dm, dpcm = (x.replace(_SIG, _SINE).replace("WITH RECURSIVE ", "") for x in (_SIM_DM.replace("0.1::DOUBLE", f"{delta}::DOUBLE"), _SIM_DPCM))
+    dpcm = dpcm.replace("g AS (" + _SINE + "),", "").replace("r AS", "r2 AS").replace("FROM r ", "FROM r2 ").replace("z AS", "z2 AS")
+    return f"WITH RECURSIVE {dm}, {dpcm}, w AS (SELECT z.s, z.ys AS dm, z2.ys AS dpcm FROM z JOIN z2 USING (sig_id)) "
+
+
+_SINE_ROW = "SELECT * FROM ({w} SELECT {d}::DOUBLE AS delta, round({a}, 4) AS dm_sqnr, round({b}, 4) AS dpcm_sqnr, round(m, 4) AS max_error, m <= {d} AS within_delta, m > 2 * {d} AS slope_overload FROM (SELECT *, list_max(list_transform(range(1, 51), lambda j: abs(s[j] - dm[j])))::DOUBLE AS m FROM w))"
+
+
+@query("sim_sine_report", " UNION ALL ".join(_SINE_ROW.format(w=_sine_sql(x), d=x, a=_SIM_SQNR.format(y="dm"), b=_SIM_SQNR.format(y="dpcm")) for x in ("0.01", "0.1", "0.4")))
 def _(s, d):
     """The sine under several step sizes: SQNR of both coders, largest error and flags."""
     one = simulate.signal_of(simulate.sine(s))
@@ -724,22 +858,38 @@ def _(s, d):
     return out
 
 
-@query("sim_waveform_table")
+@query("sim_waveform_table", _sine_sql("0.1") + "SELECT 0 AS sig_id, CAST(j - 1 AS INTEGER) AS n, round(s[j]::DOUBLE, 5) + 0.0::DOUBLE AS signal, round(dm[j]::DOUBLE, 5) + 0.0::DOUBLE AS dm, round(dpcm[j]::DOUBLE, 5) + 0.0::DOUBLE AS dpcm FROM w, range(1, 51) t(j)")
+def _(s, d):
+    t = simulate.waveform_table(simulate.waveform(simulate.signal_of(simulate.sine(s)), 0.1, 0.9))
+    return t.select("sig_id", "n", *((F.col(c) + 0.0).alias(c) for c in ("signal", "dm", "dpcm")))
+
+
+@query("sim_sqnr", _SIM_DM + f"SELECT sig_id, round({_SIM_SQNR.format(y='ys')}, 4) AS sqnr FROM z")
 def _(s, d):
-    return simulate.waveform_table(simulate.waveform(simulate.signal_of(simulate.sine(s)), 0.1, 0.9))
+    return simulate.waveform(T.signals(s, d), 0.1, 0.9).select("sig_id", F.round("dm_sqnr", 4).alias("sqnr"))
 
 
 # streams
 
 
-@query("stream_dm")
+@query("stream_dm", f"""WITH RECURSIVE g AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids, list(CAST(CAST(value / 500 AS FLOAT) AS DOUBLE) ORDER BY ts, event_id) AS s FROM events GROUP BY user_id),
+r AS (SELECT user_id, ids, s, 0 AS i, 0::BIGINT AS seq, 0 AS code, 0::DOUBLE AS y FROM g
+ UNION ALL SELECT user_id, ids, s, i + 1, ids[i + 1], CASE WHEN s[i + 1] > y THEN 1 ELSE 0 END, CASE WHEN s[i + 1] > y THEN least(1, y + 0.05::DOUBLE) ELSE greatest(-1, y - 0.05::DOUBLE) END FROM r WHERE i < len(s))
+SELECT user_id AS key, seq, code, y FROM r WHERE i > 0""")
 def _(s, d):
     from bitloom.streaming import runs
 
     return runs.dm_of_events(s, d)
 
 
-@query("stream_lz78")
+#: Events of one session, up to a purchase; the session of a user that has not ended keeps its open phrase.
+@query("stream_lz78", """WITH RECURSIVE o AS (SELECT user_id, ts, event_id, event_type, 1 + coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session FROM events),
+g AS (SELECT user_id, CAST(session AS BIGINT) AS session, string_agg(event_type || ';', '' ORDER BY ts, event_id) AS t, bool_or(event_type = 'purchase') AS ended FROM o GROUP BY user_id, session),
+r AS (SELECT user_id, session, t, ended, 0 AS pos, '' AS open, []::VARCHAR[] AS known, 0 AS idx, 0 AS num, '' AS ch, FALSE AS said FROM g
+ UNION ALL SELECT user_id, session, t, ended, pos + 1, CASE WHEN list_contains(known, p) THEN p ELSE '' END, CASE WHEN list_contains(known, p) THEN known ELSE list_append(known, p) END,
+  coalesce(list_position(known, open), 0), len(known) + 1, t[pos + 1], NOT list_contains(known, p) FROM (SELECT *, open || t[pos + 1] AS p FROM r WHERE pos < length(t)))
+SELECT CAST(user_id AS VARCHAR) AS key, session, CAST(num AS BIGINT) AS k, CAST(idx AS BIGINT) AS idx, ch FROM r WHERE said
+UNION ALL SELECT CAST(user_id AS VARCHAR), session, CAST(len(known) + 1 AS BIGINT), CAST(list_position(known, open) AS BIGINT), NULL FROM r WHERE pos = length(t) AND open <> '' AND ended""")
 def _(s, d):
     from bitloom.streaming import runs
 

@@ -12,9 +12,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files have fewer splits than there are (kernels work row by row); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One blob per document."""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return d.select(F.col("doc_id").alias("blob_id"), F.format_string("doc%d.txt", "doc_id").alias("name"), "lang", F.col("text").cast("binary").alias("content"))
 
 
@@ -50,3 +56,11 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("img_id"), F.posexplode(h).alias("pos", "x"))
     part = lambda k: F.conv(F.substring("x", 2 * k + 1, 2), 16, 10).cast("int")
     return t.select("img_id", "pos", part(0).alias("r"), part(1).alias("g"), part(2).alias("b"))
+
+
+def rgb_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same pixels as flat samples (img_id, pos, v) of pictures one pixel high, and their shapes."""
+    p = rgb(spark, sf_dir)
+    flat = p.select("img_id", (3 * F.col("pos")).alias("at"), F.posexplode(F.array("r", "g", "b")).alias("c", "v")).select("img_id", (F.col("at") + F.col("c")).alias("pos"), "v")
+    shapes = p.groupBy("img_id").agg(F.lit(1).alias("h"), F.count(F.lit(1)).cast("int").alias("w"), F.lit(3).alias("channels"))
+    return flat, shapes

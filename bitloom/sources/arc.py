@@ -1,7 +1,8 @@
-"""The ``arc`` data source: archives as rows, one file each.
+"""The ``arc`` and ``restored`` data sources: one file a row.
 
 Read: ``spark.read.format("arc").load(dir)`` gives name, header fields, payload and error. Write: rows (name, archive)
-become files. Paths are reached through Python on driver and executors, so the folder has to be mounted on all of
+become files that end in ``.abc``. ``restored`` only writes: rows (restored_name, restored) become files of just those
+names; rows without content are left out; of rows with one name the last written stays. Paths are reached through Python on driver and executors, so the folder has to be mounted on all of
 them; elsewhere read with ``binaryFile`` and parse with ``functions.header``.
 """
 
@@ -64,20 +65,23 @@ class Written(WriterCommitMessage):
 class ArcWriter(DataSourceWriter):
     """Files get their names only when the whole job has succeeded."""
 
-    def __init__(self, options: dict, columns: list[str], overwrite: bool):
-        self.root, self.columns, self.overwrite = _local(options["path"]), columns, overwrite
+    def __init__(self, options: dict, columns: list[str], overwrite: bool, name: str = "name", content: str = "archive", suffix: str = ".abc"):
+        self.root, self.overwrite, self.suffix = _local(options["path"]), overwrite, suffix
+        self.at = columns.index(name), columns.index(content)
 
     def write(self, rows) -> Written:
         from pyspark import TaskContext
 
         os.makedirs(self.root, exist_ok=True)
-        at, task, out = (self.columns.index("name"), self.columns.index("archive")), TaskContext.get().taskAttemptId(), []
+        at, task, out = self.at, TaskContext.get().taskAttemptId(), []
         for k, row in enumerate(rows):
-            name = os.path.basename(row[at[0]] or "unnamed")
-            final = os.path.join(self.root, name if name.lower().endswith(".abc") else f"{name}.abc")
+            if row[at[1]] is None and not self.suffix:
+                continue
+            name = os.path.basename(row[at[0]] or "") or "unnamed"
+            final = os.path.join(self.root, name if name.lower().endswith(self.suffix) else f"{name}{self.suffix}")
             part = f"{final}.{task}-{k}.part"
             with open(part, "wb") as f:
-                f.write(bytes(row[at[1]]))
+                f.write(bytes(row[at[1]] or b""))
             out.append((part, final))
         return Written(out)
 
@@ -86,7 +90,7 @@ class ArcWriter(DataSourceWriter):
         if self.overwrite:
             new = {final for _, final in written}
             for f in os.listdir(self.root) if os.path.isdir(self.root) else []:
-                if f.endswith(".abc") and os.path.join(self.root, f) not in new:
+                if f.endswith(self.suffix) and os.path.join(self.root, f) not in new:
                     os.remove(os.path.join(self.root, f))
         for part, final in written:
             os.replace(part, final)
@@ -113,5 +117,18 @@ class Arc(DataSource):
         return ArcWriter(self.options, schema.fieldNames(), overwrite)
 
 
+class Restored(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "restored"
+
+    def schema(self) -> str:
+        return "restored_name string, restored binary"
+
+    def writer(self, schema, overwrite: bool) -> ArcWriter:
+        return ArcWriter(self.options, schema.fieldNames(), overwrite, "restored_name", "restored", "")
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Arc)
+    spark.dataSource.register(Restored)

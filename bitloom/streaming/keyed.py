@@ -1,8 +1,8 @@
 """Waveform and dictionary coding over streams: one state per key, kept by the state store.
 
 Rows of a key have to arrive in order between batches; within a batch they are sorted by (ts, seq). State: the
-staircase, the step and the last bit (delta modulations), the last reconstruction (DPCM) or the open phrase and the
-dictionary (LZ78), so a stream cut into any batches gives the bits of the whole signal.
+staircase, the step and the last bit (delta modulations), the last reconstruction (DPCM) or the open phrase, the
+dictionary and the session's number (LZ78), so a stream cut into any batches gives the bits of the whole signal.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from bitloom.functions.constants import ADM_STEP_MAX, ADM_STEP_MIN, DPCM_HIGH, D
 
 WAVE_SCHEMA = "key bigint, seq bigint, code int, y double"
 STATE = "s double, d double, prev int, n bigint"
-TOKEN_SCHEMA = "key string, k bigint, idx bigint, ch string"
+TOKEN_SCHEMA = "key string, session bigint, k bigint, idx bigint, ch string"
 
 
 class Wave(StatefulProcessor):
@@ -82,26 +82,33 @@ class Dpcm(Wave):
 
 
 class Lz78(StatefulProcessor):
-    """Rows (key, ts, seq, text) to tokens; the phrase that is still open stays in the state."""
+    """Rows (key, ts, seq, text, last) to tokens. A row with last ends its session: the phrase that is still open becomes a token
+    without character, and the next row begins with an empty dictionary. Without such a row the open phrase stays in the state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "phrase bigint, n bigint")
+        self.open = handle.getValueState("open", "phrase bigint, n bigint, session bigint")
         self.known = handle.getMapState("known", "at bigint, ch string", "phrase bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        at, n = self.open.get() if self.open.exists() else (0, 0)
+        at, n, session = self.open.get() if self.open.exists() else (0, 0, 1)
         frame = pd.concat(list(rows)).sort_values(["ts", "seq"])
         out = []
-        for c in "".join(frame["text"]):
-            if self.known.containsKey((at, c)):
-                at = self.known.getValue((at, c))[0]
-            else:
-                n += 1
-                self.known.updateValue((at, c), (n,))
-                out.append((key[0], n, at, c))
-                at = 0
-        self.open.update((at, n))
-        yield pd.DataFrame(out, columns=["key", "k", "idx", "ch"])
+        for text, last in zip(frame["text"], frame["last"], strict=True):
+            for c in text or "":
+                if self.known.containsKey((at, c)):
+                    at = self.known.getValue((at, c))[0]
+                else:
+                    n += 1
+                    self.known.updateValue((at, c), (n,))
+                    out.append((key[0], session, n, at, c))
+                    at = 0
+            if last:
+                if at:
+                    out.append((key[0], session, n + 1, at, None))
+                self.known.clear()
+                at, n, session = 0, 0, session + 1
+        self.open.update((at, n, session))
+        yield pd.DataFrame(out, columns=["key", "session", "k", "idx", "ch"])
 
     def close(self) -> None:
         pass
@@ -113,5 +120,5 @@ def code_stream(stream: DataFrame, processor: Wave) -> DataFrame:
 
 
 def token_stream(stream: DataFrame) -> DataFrame:
-    """stream (key, ts, seq, text) to LZ78 tokens."""
+    """stream (key, ts, seq, text, last) to LZ78 tokens."""
     return stream.groupBy("key").transformWithStateInPandas(Lz78(), outputStructType=TOKEN_SCHEMA, outputMode="append", timeMode="none")

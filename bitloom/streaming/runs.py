@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,8 +16,12 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{tempfile.gettempdir()}/bitloom-streams-{os.getpid()}"
+    """A new folder under spark.checkpoint.dir, or one of this machine where that is unset and nobody else needs it (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = f"{tempfile.gettempdir()}/bitloom-streams-{os.getpid()}"
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -49,6 +54,6 @@ def dm_of_events(spark: SparkSession, sf_dir: str, delta: float = 0.05) -> DataF
 
 
 def lz78_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LZ78 tokens of each user's event types."""
-    e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"), F.concat("event_type", F.lit(";")).alias("text"))
+    """LZ78 tokens of each user's event types; a purchase ends a session."""
+    e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"), F.concat("event_type", F.lit(";")).alias("text"), (F.col("event_type") == "purchase").alias("last"))
     return run_to_end(spark, token_stream(e), TOKEN_SCHEMA, "stream-lz78")

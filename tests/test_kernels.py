@@ -102,3 +102,12 @@ def test_errors():
     for f in (lambda: K.compress(b"x", 4), lambda: K.decompress(b"x", 9, 0), lambda: K.dm_encode([0.1], 0), lambda: K.adm_encode([0.1], 0.1, 1.0), lambda: K.dpcm_encode([0.1], 9, 0.9), lambda: K.dpcm_encode([0.1], 4, 1.5), lambda: K.pcm_encode([0.1], 0, 4), lambda: K.pcm_decode(b"123", 0, 4, 1), lambda: K.image_decode(b"123"), lambda: K.image_decode(bytes.fromhex("000000010000000202080000000000000000" + "00"))):
         with pytest.raises(K.CodecError):
             f()
+
+
+def test_claims_are_checked():
+    assert K.huffman_decode(bytes.fromhex("0001410000000400"), 4) == b"AAAA"
+    with pytest.raises(K.CodecError, match="symbols"):
+        K.huffman_decode(bytes.fromhex("000141ffffffff"), 0)
+    with pytest.raises(K.CodecError, match="no picture"):
+        K.bgr_to_rgb(b"", -1, -1, -1)
+    assert K.bgr_to_rgb(bytes([1, 2, 3, 9, 4, 5, 6, 9]), 1, 2, 4) == bytes([3, 2, 1, 6, 5, 4]) and K.bgr_to_rgb(b"\7", 1, 1, 1) == b"\7\7\7"

@@ -90,8 +90,10 @@ def test_images_are_read_as_rgb(spark, tmp_path):
 
     p = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
     (tmp_path / "x.png").write_bytes(kernels.png(p))
-    r = image.read_images(spark, str(tmp_path)).first()
-    assert (r.h, r.w, r.channels, bytes(r.pixels)) == (2, 4, 3, p.tobytes())
+    (tmp_path / "y.png").write_bytes(b"no picture")
+    r, broken = image.read_images(spark, str(tmp_path)).orderBy("origin").collect()
+    assert (r.h, r.w, r.channels, bytes(r.pixels), r.error) == (2, 4, 3, p.tobytes(), None)
+    assert (broken.h, broken.pixels) == (None, None) and broken.error
 
 
 def test_broken_payloads_give_errors(spark):
@@ -100,3 +102,30 @@ def test_broken_payloads_give_errors(spark):
     rows = spark.createDataFrame([(1, bytearray(b"\x00"), 0), (2, None, 0)], "blob_id bigint, payload binary, padding_bits int")
     got = {r.blob_id: r.error for r in lossless.decode(rows, 1).collect()}
     assert got[1] and got[2] is None
+
+
+def test_restored_files_keep_their_names(spark, tmp_path):
+    from bitloom.sources import arc, media
+
+    arc.register(spark)
+    rows = spark.createDataFrame([("a.txt", bytearray(b"a")), ("dir/b", bytearray(b"bb")), ("gone", None), ("", bytearray())], "restored_name string, restored binary")
+    rows.write.format("restored").mode("append").save(str(tmp_path / "out"))
+    got = {r.name: bytes(r.content) for r in media.read_blobs(spark, str(tmp_path / "out")).collect()}
+    assert got == {"a.txt": b"a", "b": b"bb"}  # the reader of uploads has no rows for empty files
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["a.txt", "b", "unnamed"]
+
+
+def test_lz78_sessions(spark, tmp_path):
+    """Any cut of the stream into batches gives the tokens of whole sessions; the last one, not ended, keeps its open phrase."""
+    from pyspark.sql import functions as F
+
+    from bitloom.streaming import keyed, runs
+
+    texts = [("a", "abab", False), ("a", "aba", True), ("a", "ab", False), ("b", "xx", True), ("a", "ab", False)]
+    for k, (key, text, last) in enumerate(texts):
+        spark.createDataFrame([(key, k, k, text, last)], "key string, ts int, seq int, text string, last boolean").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ts int, seq int, text string, last boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = runs.run_to_end(spark, keyed.token_stream(stream), keyed.TOKEN_SCHEMA, "t").orderBy("key", "session", "k").collect()
+    assert [(r.key, r.session, r.idx, r.ch) for r in got] == [
+        ("a", 1, 0, "a"), ("a", 1, 0, "b"), ("a", 1, 1, "b"), ("a", 1, 3, "a"), ("a", 2, 0, "a"), ("a", 2, 0, "b"), ("a", 2, 1, "b"), ("b", 1, 0, "x"), ("b", 1, 1, None),
+    ]
