@@ -11,10 +11,12 @@ similarity is left out by bounds that follow from set sizes alone. Nothing is es
    can reach t / (1 + t) of the two sizes. Columns with more than ``DENSE`` rows aren't multiplied out: their rows
    are chained, which keeps every pair connected and makes one edge per row. Map tasks chain dense columns of
    their own batch already, so a shingle of a third of all documents never meets in one place.
-3. Candidate pairs are counted exactly with whole sets, by the smaller id. Components of the chains are cut into size bands
-   (sets in a ratio of t or more are in the same band or the next), bands into blocks of about ``BLOCK`` shingles, and every pair of blocks is multiplied exactly with whole
-   sets. Within a task pairs that are already connected need no count. Output: links that connect, at most one
-   per class and block pair.
+3. Candidate pairs are counted exactly with whole sets, by the smaller id. Components of the chains are cut into homes, by
+   size (sets in a ratio of t or more are in the same band or the next). Only pairs that no links connect so far have to be
+   counted: while a home has more than ``BLOCK`` shingles outside its largest connected part, a pivot from there is counted
+   exactly with all of the home, in parts of about BLOCK shingles (``ROUNDS`` times at most; one group of near copies is
+   connected by a few pivots). What is still outside is multiplied exactly with whole sets, in blocks, with the whole home.
+   Within a task pairs that are already connected need no count. Output: links that connect.
 4. Components of the links give component_id.
 
 Words: maximal runs of bytes other than space and U+0009 to U+000D, A-Z lower-cased; a set's shingles are hashes of
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import shuffle_partitions, staged
-from bitloom.llm.graph import UnionFind, components
+from bitloom.llm.graph import components
 from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes, tidy
 
 WORDS = 4
@@ -44,7 +46,9 @@ NUM, DEN = 85, 100
 Rate = tuple[int, int]
 DENSE = 48
 #: Shingles in a block of sets, about: it bounds what a task holds.
-BLOCK = 1_000_000
+BLOCK = 250_000
+#: Pivots of a home at most; each takes one pass over the home.
+ROUNDS = 6
 #: Shingles that are put last: a bound on what is broadcast, 8 bytes each.
 HOT = 400_000
 #: A batch calls shingles common that two of its documents have or more, the most frequent ones up to this number.
@@ -123,11 +127,6 @@ def prefix_length(n: int, rate: Rate = (NUM, DEN)) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def band(n: np.ndarray, rate: Rate = (NUM, DEN)) -> np.ndarray:
-    """Size bands: sizes in a ratio of num / den or more are in the same one or in neighbours."""
-    return np.floor(np.log(np.maximum(n, 1)) / math.log(rate[1] / rate[0]) + 1e-9).astype(np.int64)
-
-
 def _common(words: int):
     """Shingles that many documents of a batch have."""
 
@@ -302,8 +301,8 @@ def candidates(classes: DataFrame, rate: Rate = (NUM, DEN)) -> DataFrame:
     return whole.where(dense | (most * sum(rate) >= rate[0] * (F.col("na") + F.col("nb")))).select("a", "b", dense.alias("dense"))
 
 
-def link_block(ids: list[int], sets: list[np.ndarray], rate: Rate = (NUM, DEN)) -> list[tuple[int, int]]:
-    """Links that connect the sets of one block pair."""
+def link_block(ids: list[int], sets: list[np.ndarray], labels: list[int], rate: Rate = (NUM, DEN)) -> list[tuple[int, int]]:
+    """Links that connect the sets of one block pair; sets with one label are connected already."""
     n = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((np.array(ids), n))
     flat = np.concatenate([sets[i] for i in order])
@@ -314,31 +313,35 @@ def link_block(ids: list[int], sets: list[np.ndarray], rate: Rate = (NUM, DEN))
     by_token = np.argsort(token, kind="stable")
     owner_of = owner[by_token]
     start = np.concatenate([[0], np.cumsum(np.bincount(token))])
-    uf, out = UnionFind(len(order)), []
+    part = np.unique(np.array(labels)[order], return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+
+    def union(a: int, b: int) -> None:
+        if part[a] != part[b]:
+            part[part == part[a]] = part[b]
+            out.append((a, b))
+
     lowest = np.searchsorted(size * rate[1], size * rate[0], "left")  # sets from there on are large enough
     for i in range(1, len(order)):
         lo = int(lowest[i])
-        if lo >= i:
+        if not (part[lo:i] != part[i]).any():
             continue
         # neighbours first: in a group of near copies the set before is one of them
-        root = uf.find(i - 1)
         mine = flat[first[i] : first[i + 1]]
-        if all(uf.find(k) == root for k in range(lo, i)):
-            other = flat[first[i - 1] : first[i]]
-            if _similar(mine, other, rate):
-                if uf.union(i, i - 1):
-                    out.append((i, i - 1))
+        if part[i - 1] != part[i] and _similar(mine, flat[first[i - 1] : first[i]], rate):
+            union(i, i - 1)
+            if not (part[lo:i] != part[i]).any():
                 continue
         t = token[first[i] : first[i + 1]]
         rows = owner_of[starts_to_ranges(start[t], start[t + 1] - start[t])]
         rows = rows[(rows < i) & (rows >= lo)]
+        rows = rows[part[rows] != part[i]]
         if not len(rows):
             continue
         overlap = np.bincount(rows - lo, minlength=i - lo)
         hits = np.flatnonzero(overlap >= needed(size[i], size[lo:i], rate)) + lo
         for k in hits.tolist():
-            if uf.union(i, k):
-                out.append((i, k))
+            union(i, k)
     return [(ids[order[a]], ids[order[b]]) for a, b in out]
 
 
@@ -354,27 +357,28 @@ def link_star(center: int, ids: list[int], sets: list[np.ndarray], rate: Rate =
 
 
 def _verify(words: int, rate: Rate):
-    """Rows sorted by key: id, text. A key is a block pair, or the id of a class that is compared with its candidates ("star:id").
-    One key is in memory at a time."""
+    """Rows sorted by key: id, label, text. A key is a block pair, or holds the id of a class that is compared with all others of
+    the key ("star:id", "star:id:part"). One key is in memory at a time."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
+        key, ids, sets, labels = None, [], [], []
 
         def done():
-            links = link_star(int(key[5:]), ids, sets, rate) if key.startswith("star:") else link_block(ids, sets, rate) if len(ids) > 1 else []
+            links = link_star(int(key.split(":")[1]), ids, sets, rate) if key.startswith("star:") else link_block(ids, sets, labels, rate) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
-            keys, own = b.column("key").to_pylist(), b.column("id").to_pylist()
+            keys, own, known = b.column("key").to_pylist(), b.column("id").to_pylist(), b.column("label").to_pylist()
             for i, j in pieces(offsets):
                 for k, s in zip(range(i, j), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), strict=True):
                     if keys[k] != key:
                         if key is not None:
                             yield done()
-                        key, ids, sets = keys[k], [], []
+                        key, ids, sets, labels = keys[k], [], [], []
                     ids.append(own[k])
+                    labels.append(known[k])
                     sets.append(s)
         if key is not None:
             yield done()
@@ -382,6 +386,37 @@ def _verify(words: int, rate: Rate):
     return run
 
 
+def _inside(homes: DataFrame, links: DataFrame, verified) -> DataFrame:
+    """More links, so that all similar pairs within a home (id, n, home) are connected."""
+    found = links.where("false")
+    labels = homes.select("id", F.col("id").alias("label"))
+    for turn in range(ROUNDS + 1):
+        labelled = homes.join(labels.distinct(), "id")
+        sums = labelled.groupBy("home", "label").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("m"))
+        sums = sums.groupBy("home").agg(F.sum("w").alias("w"), F.sum("m").alias("m"), F.max(F.struct("w", "label")).alias("largest"))
+        # where all is connected, nothing is left to count
+        sums = sums.select("home", "w", (F.col("w") - F.col("largest.w")).alias("outside"), F.col("largest.label").alias("largest")).where("outside > 0")
+        state = staged(labelled.join(sums, "home").withColumn("out", F.col("label") != F.col("largest")), "labelled")
+        wide = state.where(F.col("outside") > BLOCK)
+        parts = F.ceil(F.col("w") / BLOCK)
+        if turn == ROUNDS or wide.isEmpty():
+            break
+        chosen = wide.where("out").groupBy("home").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("p"), F.max(parts).alias("parts")).select("home", F.col("p.id").alias("pivot"), "parts")
+        part = lambda c: F.concat_ws(":", F.lit("star"), "pivot", c)
+        all_of = wide.join(chosen, "home").where("id <> pivot").select("id", part(F.pmod(F.xxhash64("id"), F.col("parts"))).alias("key"))
+        pivots = chosen.select(F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"), "pivot").select("id", part("k").alias("key"))
+        found = found.unionByName(verified(all_of.unionByName(pivots).distinct().withColumn("label", F.col("id")), "pivots"))
+        comps = components(links.unionByName(found))
+        labels = homes.select("id").distinct().join(comps, F.col("id") == comps.node, "left").select("id", F.coalesce("comp", "id").alias("label"))
+    # what is outside, in blocks, with the whole home, in blocks
+    first = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("outside") / BLOCK))
+    second = F.pmod(F.xxhash64("id", F.lit(2)), parts)
+    key = lambda i, j: F.concat_ws(":", F.lit("block"), "home", i, j).alias("key")
+    asked = state.where("out").select("id", "label", "home", first.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j")).select("id", "label", key("i", "j"))
+    against = state.select("id", "label", "home", F.explode(F.sequence(F.lit(0), F.ceil(F.col("outside") / BLOCK) - 1)).alias("i"), second.alias("j")).select("id", "label", key("i", "j"))
+    return found.unionByName(verified(asked.unionByName(against).distinct(), "blocks"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rate: Rate = (NUM, DEN)) -> DataFrame:
     """id, n_shingles, component_id for each row of docs; shingles of so many words, similarity as a fraction (numerator, denominator)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -391,27 +426,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     firsts = named.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("id", "prefix")).alias("m"))
     edges = staged(candidates(firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix")), rate), "candidates")
     reps = staged(named.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
+    verified = lambda keyed, tag: staged(
+        rows.join(keyed, "id").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").select("key", "id", "label", "text").mapInArrow(_verify(words, rate), "a bigint, b bigint"), tag
+    )
     # pairs by themselves: each smaller id with its partners
     pairs = edges.where("not dense").select("a", "b")
     star = F.concat(F.lit("star:"), F.col("a").cast("string")).alias("key")
     stars = pairs.select(F.col("b").alias("id"), star).unionByName(pairs.select("a").distinct().select(F.col("a").alias("id"), star))
-    # dense columns: size bands and blocks of their components
+    links = verified(stars.withColumn("label", F.col("id")), "links")
+    # dense columns: size bands of their components, each with the one below
     near = components(edges.where("dense"))
     sized = near.join(reps.select(F.col("rep").alias("id"), "n"), near.node == F.col("id")).select("id", "n", "comp")
-    level = F.floor(F.ln(F.col("n")) / math.log(rate[1] / rate[0]) + F.lit(1e-9)).cast("long")
-    sized = staged(sized.withColumn("band", level), "sized")
-    counts = sized.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
-    # a band meets itself and the one below; where it has nobody of its own there is nothing to count
-    below = counts.select("comp", (F.col("band") + 1).alias("band"), F.col("m").alias("below"), F.col("w").alias("below_w"))
-    homes = counts.join(below, ["comp", "band"], "left").fillna(0, ["below", "below_w"]).where("m + below > 1")
-    homes = homes.select("comp", "band", F.ceil((F.col("w") + F.col("below_w")) / BLOCK).cast("int").alias("blocks"))
-    placed = sized.select("id", "comp", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).distinct().join(homes, ["comp", "band"])
-    block = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j"))))
-    blocks = placed.select("id", "comp", "band", pair.alias("p")).select("id", F.concat_ws(":", "comp", "band", "p.i", "p.j").alias("key"))
-    keyed = stars.unionByName(blocks)
-    spread = rows.join(keyed, "id").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    links = staged(spread.select("key", "id", "text").mapInArrow(_verify(words, rate), "a bigint, b bigint"), "links")
+    band = F.floor(F.ln(F.col("n")) / math.log(rate[1] / rate[0]) + F.lit(1e-9)).cast("long")
+    homes = staged(sized.select("id", "n", F.explode(F.array(*[F.concat_ws(":", F.col("comp"), band + k) for k in (0, 1)])).alias("home")), "homes")
+    links = links.unionByName(_inside(homes, links, verified))
     comps = components(links)
     labelled = reps.join(comps, reps.rep == comps.node, "left").select("n", "fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
     linked = named.select("id", "n", "fp1", "fp2").join(labelled, ["n", "fp1", "fp2"]).select("id", F.col("n").cast("long").alias("n_shingles"), "component_id")

@@ -88,6 +88,46 @@ def test_jaccard_join(docs, none, rows):
     assert jaccard_join.one_per_group(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [250_000, 600])
+def test_jaccard_join_of_large_groups(spark, monkeypatch, block):
+    """More near copies than a dense column has rows, chains of them, and one passage in all documents; blocks and pivots too."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(12)]
+    texts = []
+    for size, n in ((150, 60), (40, 90), (8, 30)):
+        base = [word() for _ in range(n)]
+        for k in range(size):
+            copy = base + passage if size == 8 else list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+    drift = [word() for _ in range(80)]
+    for k in range(70):  # each is a near copy of the one before
+        drift = drift[1:] + [word()] if k % 3 else drift[2:] + [word(), word()]
+        texts.append(list(drift))
+    texts += [[word() for _ in range(rng.randrange(60))] + passage for _ in range(90)]
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in texts]
+    comp = list(range(len(sets)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op6(d).collect()}
+    assert got == {k: (len(s), find(k)) for k, s in enumerate(sets)}
+
+
 def test_jaccard_bounds():
     for a in range(1, 120):
         for b in range(a, 120):
