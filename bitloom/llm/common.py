@@ -58,6 +58,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(spark: SparkSession, n_bytes: int | None, each: int) -> int:
+    """Shuffle partitions for so many bytes, of which a task that holds its partition should get `each` at most; the session's number at least."""
+    return max(shuffle_partitions(spark), -(-(n_bytes or 0) // each))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that clashes with none in df, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import shuffle_partitions, staged
+from bitloom.llm.common import partitions_for, shuffle_partitions, staged
 from bitloom.llm.graph import components
 from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes, tidy
 
@@ -47,6 +47,8 @@ Rate = tuple[int, int]
 DENSE = 48
 #: Shingles in a block of sets, about: it bounds what a task holds.
 BLOCK = 250_000
+#: Bytes of prefixes for a shuffle partition of postings.
+PART_BYTES = 64 << 20
 #: Pivots of a home at most; each takes one pass over the home.
 ROUNDS = 6
 #: Shingles that are put last: a bound on what is broadcast, 8 bytes each.
@@ -290,9 +292,8 @@ def _pairs(a, b, overlap, pos_a, pos_b, n_a, n_b) -> pa.RecordBatch:
     )
 
 
-def candidates(classes: DataFrame, rate: Rate = (NUM, DEN)) -> DataFrame:
+def candidates(classes: DataFrame, parts: int, rate: Rate = (NUM, DEN)) -> DataFrame:
     """a, b, dense from classes (id, n, prefix). Every similar pair is either a row that isn't dense or connected by dense rows."""
-    parts = shuffle_partitions(classes.sparkSession)
     blobs = classes.mapInArrow(_posting(parts), "part int, kind int, blob binary").repartition(parts, "part")
     pairs = blobs.mapInArrow(_multiply(rate), "a bigint, b bigint, overlap bigint, pos_a bigint, pos_b bigint, n_a bigint, n_b bigint")
     whole = pairs.groupBy("a", "b").agg(F.sum("overlap").alias("o"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"), F.max("n_a").alias("na"), F.max("n_b").alias("nb"))
@@ -424,7 +425,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     sketches = staged(rows.mapInArrow(_sketch(common, words, rate), "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary"), "sketches")
     named = sketches.where("n > 0 and id is not null")
     firsts = named.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("id", "prefix")).alias("m"))
-    edges = staged(candidates(firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix")), rate), "candidates")
+    # a task holds its postings: 25 bytes for each 8 of a prefix
+    parts = partitions_for(docs.sparkSession, sketches.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0], PART_BYTES)
+    edges = staged(candidates(firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix")), parts, rate), "candidates")
     reps = staged(named.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
     verified = lambda keyed, tag: staged(
         rows.join(keyed, "id").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").select("key", "id", "label", "text").mapInArrow(_verify(words, rate), "a bigint, b bigint"), tag

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import shuffle_partitions
+from bitloom.llm.common import partitions_for
 from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes, tidy
 
 LENGTH, GRAM = 50, 16
@@ -41,6 +41,8 @@ CONTEXT = LEFT + LENGTH
 #: Texts of one id get places this far apart.
 TEXT_SPAN = 1 << 40
 _PIECE = 1 << 20
+#: Bytes of text for a shuffle partition: its minimisers take a tenth more than that, the surroundings of repeats up to five times.
+PART_BYTES = 128 << 20
 _VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _ROW = np.random.default_rng(8).integers(1, 1 << 63, CONTEXT // 4, dtype=np.uint64) | np.uint64(1)
@@ -475,7 +477,8 @@ def _merge(spans: np.ndarray) -> np.ndarray:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text and removed (array of [start, end) byte runs, flattened) for each row of docs."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    # a task holds the minimisers, and then the surroundings, of so much text
+    parts = partitions_for(spark, docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0], PART_BYTES)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     rows = rows.withColumn("tk", F.substring(F.unhex(F.sha2(F.col("body"), 256)), 1, 16))
     nameless = rows.where("id is null")
