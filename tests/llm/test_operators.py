@@ -612,7 +612,7 @@ def test_oracles(spark):
     from bitloom.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, SF)
