@@ -1,7 +1,7 @@
 """Proportional stratified interleaving.
 
-Rows are shuffled within their source by a seeded hash and get the fractional rank (2 r - 1) / (2 n) of their rank r
-among the n rows of the source. Sorted by it, every stretch of the whole order holds the sources in the mixture's
+Rows are shuffled within their source by a seeded hash and get the fractional rank (r - o) / n of their rank r among the
+n rows of the source; o, between 0 and 1, is a hash of the source, so that many small sources don't meet in the middle. Sorted by it, every stretch of the whole order holds the sources in the mixture's
 proportion, so cutting the order into shards gives each shard the mixture. Law: ``rows`` (counts differ by one at most).
 
 Equal texts form groups, and a group goes to one shard as far as the law allows:
@@ -71,7 +71,8 @@ def interleaved(rows: DataFrame, weight: Column | None = None) -> DataFrame:
     digits = _digits(rows.count())
     parts = 16**digits
     ranked = _numbered(rows, F.substring("h", 1, digits), ["h", "text_key", "k"], ("source",), name="r")
-    ranked = ranked.withColumn("frac", (2 * F.col("r") + 1).cast("double") / (2 * F.col("r_n")).cast("double")).drop("r", "r_n")
+    offset = (F.pmod(F.xxhash64("source", F.lit("offset")), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    ranked = ranked.withColumn("frac", (F.col("r") + offset) / F.col("r_n")).drop("r", "r_n")
     return _numbered(ranked, F.least(F.floor(F.col("frac") * parts), F.lit(parts - 1)).cast("long"), ["frac", "source", "h", "text_key", "k"], weight=weight)
 
 
