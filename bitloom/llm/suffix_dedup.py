@@ -6,11 +6,11 @@ A suffix array of the whole corpus does not fit one machine, so it is kept spars
 of LENGTH bytes holds a minimiser: the least of its ``GRAM``-byte hashes. Equal windows have equal minimisers at equal
 offsets, so only suffixes that begin at minimisers (1 position in 18) are sorted, and only those whose GRAM bytes
 occur in several documents. They are dealt out by these bytes; each task sorts its suffixes, has the lengths of
-common prefixes of neighbours (the LCP array) and the same for the bytes in front of each suffix, read backwards.
-A repeat of LENGTH bytes around a minimiser is l bytes to the left and LENGTH - l to the right: the intervals of the
-common-prefix tree at depth LENGTH - l, split by their left extensions of l bytes, are the groups of equal windows,
-with all their occurrences. In a group all occurrences but those in its smallest document are covered.
-``repeat_groups`` gives the maximal repeats of a single text by the same tree (stack scan, left-diversity test).
+common prefixes of neighbours (the LCP array) and the same for the bytes in front of each suffix, read backwards. A stack
+scan of the LCP array gives the nodes of the common-prefix tree. A node of depth b whose occurrences share exactly a bytes
+on the left (they are diverse in front of them) is a maximal repeat of a + b bytes, and all its occurrences but those in
+its smallest document are covered, if that is LENGTH or more. Where they are diverse sooner, the node is split by the left
+sides. ``repeat_groups`` gives the maximal repeats of a single text by the same scan.
 
 Equal whole texts are settled by their digest before all this: only the smallest document of each goes on. What is
 decided within a map batch (a gram that meets itself there, a surrounding that equals that of a smaller document)
@@ -385,9 +385,48 @@ def _tell(out: list[list], doc: np.ndarray, place: np.ndarray, start: np.ndarray
             c.append(x)
 
 
+def interval_nodes(lcp: list[int], facts: list[list[int]], least: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the common-prefix tree of sorted suffixes that are at least so deep, by a stack scan of the LCP array: rows
+    (first, end, depth, depth of the parent or least - 1), and for each the least of every list of facts over its suffixes."""
+    n, width = len(lcp) - 1, len(facts)
+    nodes: list[int] = []
+    lows: list[int] = []
+    stack: list[list] = []  # depth, first, the least facts below
+    for i, own in enumerate(zip(*facts), 1):
+        now, first, below = lcp[i] if i < n else -1, i - 1, own
+        while stack and now < stack[-1][0]:
+            depth, first, low = stack.pop()
+            below = tuple(map(min, low, below))
+            nodes += (first, i, depth, max(now, stack[-1][0] if stack else -1, least - 1))
+            lows += below
+        if stack and now == stack[-1][0]:
+            stack[-1][2] = tuple(map(min, stack[-1][2], below))
+        elif now >= least:
+            stack.append([now, first, below])
+    return np.array(nodes, np.int64).reshape(-1, 4), np.array(lows, np.int64).reshape(-1, width)
+
+
+def _range_least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least of values[lo:hi] for each pair, none of them empty."""
+    table, step = [values], 1
+    while 2 * step <= len(values):
+        table.append(np.minimum(table[-1][:-step], table[-1][step:]))
+        step *= 2
+    level = np.floor(np.log2(np.maximum(hi - lo, 1))).astype(np.int64)
+    out = np.empty(len(lo), values.dtype)
+    for k in np.unique(level).tolist():
+        rows = np.flatnonzero(level == k)
+        out[rows] = np.minimum(table[k][lo[rows]], table[k][hi[rows] - (1 << k)])
+    return out
+
+
 def covered(ctx: np.ndarray, la: np.ndarray, ra: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each surrounding the least and greatest l whose window (l bytes before the minimiser, LENGTH - l from it on) also
-    occurs around a minimiser of a smaller document; least > greatest where there is none."""
+    occurs around a minimiser of a smaller document; least > greatest where there is none.
+
+    A node of the tree of right sides, of depth b, whose occurrences share a bytes on the left and differ in front of them
+    is a maximal repeat of a + b bytes: with LENGTH or more of them it is told as one group with all its occurrences. Where
+    the left sides differ sooner, the node's occurrences are split by their l bytes on the left, for every l that is left."""
     n = len(ctx)
     lo, hi = np.full(n, LENGTH, np.int64), np.full(n, -1, np.int64)
 
@@ -404,17 +443,44 @@ def covered(ctx: np.ndarray, la: np.ndarray, ra: np.ndarray, doc: np.ndarray) ->
 
     right, right_lcp = tree(ctx[:, LEFT:])
     left, left_lcp = tree(ctx[:, :LEFT][:, ::-1])
-    near_r, near_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    near_r[right] = np.maximum(right_lcp[:-1], right_lcp[1:])
-    near_l[left] = np.maximum(left_lcp[:-1], left_lcp[1:])
-    interval, front = np.empty(n, np.int64), np.empty(n, np.int64)
+    at_left = np.empty(n, np.int64)
+    at_left[left] = np.arange(n)
+    by_right = doc[right]
+    ranks = np.unique(by_right, return_inverse=True)[1]
+    facts = (ranks, -ranks, at_left[right], -at_left[right], la[right], ra[right])
+    nodes, low = interval_nodes(right_lcp.tolist(), [x.tolist() for x in facts])
+    several = low[:, 0] < -low[:, 1]
+    nodes, low = nodes[several], low[several]
+    if not len(nodes):
+        return lo, hi
+    first, end, depth, above = nodes.T
+    shared = np.minimum(_range_least(left_lcp, low[:, 2] + 1, np.maximum(1 - low[:, 3], low[:, 2] + 2)), low[:, 4])
+    reach = np.minimum(depth, low[:, 5])
+    whole = np.flatnonzero(shared + reach >= LENGTH)
+    spread = np.cumsum(end[whole] - first[whole])
+    for part in np.split(whole, np.searchsorted(spread, np.arange(1 << 20, int(spread[-1]) if len(whole) else 0, 1 << 20))):
+        size = end[part] - first[part]
+        rows, node = starts_to_ranges(first[part], size), np.repeat(part, size)
+        later = ranks[rows] > low[node, 0]
+        rows, node = right[rows[later]], node[later]
+        np.minimum.at(lo, rows, LENGTH - reach[node])
+        np.maximum.at(hi, rows, shared[node])
+    # windows of nodes that are no group as a whole: their l and the places of their suffixes
+    ranges = ((LENGTH - depth, np.minimum(LENGTH - reach, LENGTH - above)), (np.maximum(shared + 1, LENGTH - depth), LENGTH - above))
+    front = np.empty(n, np.int64)
     for l in range(LEFT + 1):
-        use = np.flatnonzero((near_r >= LENGTH - l) & (near_l >= l) & (la >= l) & (ra >= LENGTH - l))
+        open_ = np.zeros(n + 1, np.int64)
+        for start, stop in ranges:
+            here = np.flatnonzero((start <= l) & (l < stop))
+            np.add.at(open_, first[here], 1)
+            np.add.at(open_, end[here], -1)
+        use = right[np.flatnonzero(np.cumsum(open_[:-1]) > 0)]
+        use = use[(la[use] >= l) & (ra[use] >= LENGTH - l)]
         if len(use) < 2:
             continue
-        # intervals of the tree at this depth, and their left extensions
-        interval[right] = np.cumsum(right_lcp[:-1] < LENGTH - l)
         front[left] = np.cumsum(left_lcp[:-1] < l) if l else 0
+        interval = np.empty(n, np.int64)
+        interval[right] = np.cumsum(right_lcp[:-1] < LENGTH - l)
         group = interval[use] * (n + 1) + front[use]
         order = np.argsort(group, kind="stable")
         use, group = use[order], group[order]

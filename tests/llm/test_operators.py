@@ -70,6 +70,62 @@ def test_repeat_groups():
         assert {(n, tuple(p)) for n, p in suffix_dedup.repeat_groups(s, 2)} == want
 
 
+def test_covered_equals_brute_force():
+    """Surroundings with common and diverse sides, cut ones too: the windows that a smaller document also has."""
+    left, length, width = suffix_dedup.LEFT, suffix_dedup.LENGTH, suffix_dedup.CONTEXT
+    rng = np.random.default_rng(1)
+    for _ in range(120):
+        n = int(rng.integers(1, 40))
+        ctx = rng.integers(0, 3, (3, width)).astype(np.uint8)[rng.integers(0, 3, n)].copy()
+        for i in range(n):
+            if rng.random() < 0.7:
+                ctx[i, : rng.integers(0, left)] = rng.integers(0, 3)
+            if rng.random() < 0.7:
+                ctx[i, rng.integers(left + 10, width) :] = rng.integers(0, 3)
+        la, ra = np.where(rng.random(n) < 0.7, left, rng.integers(0, left + 1, n)), np.where(rng.random(n) < 0.7, length, rng.integers(16, length + 1, n))
+        at = np.arange(width)
+        ctx[(at < left - la[:, None]) | (at >= left + ra[:, None])] = 0
+        doc = rng.integers(0, 6, n)
+        want = [[] for _ in range(n)]
+        for l in range(left + 1):
+            fit = [i for i in range(n) if la[i] >= l and ra[i] >= length - l]
+            least = {}
+            for i in fit:
+                key = ctx[i, left - l : left + length - l].tobytes()
+                least[key] = min(least.get(key, 99), doc[i])
+            for i in fit:
+                if least[ctx[i, left - l : left + length - l].tobytes()] < doc[i]:
+                    want[i].append(l)
+        lo, hi = suffix_dedup.covered(ctx, la, ra, doc)
+        assert [(a, b) if a <= b else None for a, b in zip(lo.tolist(), hi.tolist())] == [(min(w), max(w)) if w else None for w in want]
+
+
+def test_suffix_dedup_of_a_common_passage(spark):
+    """One passage in all documents, null ids, one id with several texts."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, other = prose(60), prose(14)
+    rows = [(k, f"{prose(rng.randrange(12))} {passage if rng.random() < 0.8 else passage[rng.randrange(200):]} {prose(rng.randrange(12))} {other if k % 3 else ''}") for k in range(120)]
+    rows += [(5, prose(20) + other), (5, passage[20:200]), (None, passage), (None, None)]
+    first, want = {}, []
+    named = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    for i, text in named:
+        for p in range(len(text) - 49):
+            first.setdefault(text[p : p + 50], i)
+    for i, text in named:
+        gone = bytearray(len(text))
+        for p in range(len(text) - 49):
+            if first[text[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(text.encode(), gone) if not g)
+        want.append((i, len(text), len(text) - len(kept), hashlib.sha256(kept).hexdigest()))
+    want += [(None, len(t or ""), 0, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows if i is None]
+    got = suffix_dedup.op1(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1], x[3])
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=order) == sorted(want, key=order)
+
+
 def test_jaccard_join(docs, none, rows):
     sets = {}
     for i, text, *_ in rows:
