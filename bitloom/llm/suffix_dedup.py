@@ -41,8 +41,9 @@ CONTEXT = LEFT + LENGTH
 #: Texts of one id get places this far apart.
 TEXT_SPAN = 1 << 40
 _PIECE = 1 << 20
-#: Bytes of text for a shuffle partition: its minimisers take a tenth more than that, the surroundings of repeats up to five times.
-PART_BYTES = 128 << 20
+#: Bytes of text for a shuffle partition, and for a part of it: a partition is sorted by parts, and a task holds one of them at a
+#: time. Its minimisers take a tenth more than that, the surroundings of repeats up to five times.
+PARTITION_BYTES, PART_BYTES = 1 << 30, 16 << 20
 _VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _ROW = np.random.default_rng(8).integers(1, 1 << 63, CONTEXT // 4, dtype=np.uint64) | np.uint64(1)
@@ -178,25 +179,40 @@ def _dealt(rows: np.ndarray, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(rows[order[cut[p] : cut[p + 1]]].tobytes(), 1) for p in full.tolist()], pa.binary())], ["part", "blob"])
 
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of one part after the other; they come sorted by part, their first column."""
+    held, part = [], None
+    for b in batches:
+        parts = b.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for lo, hi in zip(cut, cut[1:]):
+            if hi > lo:
+                if held and parts[lo] != part:
+                    yield held
+                    held = []
+                part = parts[lo]
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield held
+
+
 def _by_document(width: int):
     """Dealt rows (document, text, numbers ...) -> one row for each text: doc, text, blob of its numbers."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(-1, width) for b in batches for x in b.column(1)]
-        if not blobs:
-            return
-        rows = np.concatenate(blobs)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
-        begin = np.concatenate([[0], cut])
-        ends = [*cut.tolist(), len(rows)]
-        body = np.ascontiguousarray(rows[:, 2:])
-        for lo in range(0, len(begin), 5000):
-            at = begin[lo : lo + 5000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[at, 0]), pa.array(rows[at, 1].astype(np.int32)), pa.array([body[x:y].tobytes() for x, y in zip(at.tolist(), ends[lo : lo + 5000], strict=True)], pa.binary())], ["doc", "text", "blob"]
-            )
+        for held in _by_part(batches):
+            rows = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(-1, width) for b in held for x in b.column(1)])
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
+            begin = np.concatenate([[0], cut])
+            ends = [*cut.tolist(), len(rows)]
+            body = np.ascontiguousarray(rows[:, 2:])
+            for lo in range(0, len(begin), 5000):
+                at = begin[lo : lo + 5000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[at, 0]), pa.array(rows[at, 1].astype(np.int32)), pa.array([body[x:y].tobytes() for x, y in zip(at.tolist(), ends[lo : lo + 5000], strict=True)], pa.binary())], ["doc", "text", "blob"]
+                )
 
     return run
 
@@ -272,9 +288,10 @@ def _match(parts: int):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(_matches(batches))
-        if found:
-            yield _dealt(np.concatenate(found), parts)
+        for held in _by_part(batches):
+            found = list(_matches(held))
+            if found:
+                yield _dealt(np.concatenate(found), parts)
 
     return run
 
@@ -497,9 +514,10 @@ def _sorted_task(parts: int):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(_covered_spans(batches))
-        if found:
-            yield _dealt(np.concatenate(found), parts)
+        for held in _by_part(batches):
+            found = list(_covered_spans(held))
+            if found:
+                yield _dealt(np.concatenate(found), parts)
 
     return run
 
@@ -543,8 +561,9 @@ def _merge(spans: np.ndarray) -> np.ndarray:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text and removed (array of [start, end) byte runs, flattened) for each row of docs."""
     spark = docs.sparkSession
-    # a task holds the minimisers, and then the surroundings, of so much text
-    parts = partitions_for(spark, docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0], PART_BYTES)
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0]
+    partitions, parts = (partitions_for(spark, n_bytes, each) for each in (PARTITION_BYTES, PART_BYTES))
+    deal = lambda df: df.repartition(partitions, "part").sortWithinPartitions("part")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     rows = rows.withColumn("tk", F.substring(F.unhex(F.sha2(F.col("body"), 256)), 1, 16))
     nameless = rows.where("id is null")
@@ -555,12 +574,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     named = known.groupBy("id", "tk").agg(F.count(F.lit(1)).alias("m")).join(least, "tk").select("id", "tk", (F.col("id") > F.col("first")).alias("copy"))
     firsts = named.where(~F.col("copy")).select("id", "tk", (F.row_number().over(Window.partitionBy("id").orderBy("tk")) - 1).cast("int").alias("text"))
     texts = rows.join(firsts, ["id", "tk"])
-    posted = texts.select("id", "text", "body").mapInArrow(_post(parts), _OUT).repartition(parts, "part")
+    posted = deal(texts.select("id", "text", "body").mapInArrow(_post(parts), _OUT))
     dealt, texts_of = "part int, blob binary", "doc bigint, text int, blob binary"
-    places = posted.mapInArrow(_match(parts), dealt).repartition(parts, "part").mapInArrow(_by_document(3), texts_of)
+    places = deal(posted.mapInArrow(_match(parts), dealt)).mapInArrow(_by_document(3), texts_of)
     keyed = places.withColumnRenamed("doc", "id").join(firsts, ["id", "text"])
-    around = rows.join(keyed, ["id", "tk"]).select("id", "text", "body", "blob").mapInArrow(_surround(parts), _OUT).repartition(parts, "part")
-    found = around.mapInArrow(_sorted_task(parts), dealt).repartition(parts, "part").mapInArrow(_by_document(4), texts_of)
+    around = deal(rows.join(keyed, ["id", "tk"]).select("id", "text", "body", "blob").mapInArrow(_surround(parts), _OUT))
+    found = deal(around.mapInArrow(_sorted_task(parts), dealt)).mapInArrow(_by_document(4), texts_of)
     found = found.withColumnRenamed("doc", "id").join(firsts, ["id", "text"]).select("id", "tk", F.lit(False).alias("copy"), "blob")
     copies = named.where("copy").select("id", "tk", "copy", F.lit(None).cast("binary").alias("blob"))
     settled = found.unionByName(copies)

@@ -100,8 +100,10 @@ def test_covered_equals_brute_force():
         assert [(a, b) if a <= b else None for a, b in zip(lo.tolist(), hi.tolist())] == [(min(w), max(w)) if w else None for w in want]
 
 
-def test_suffix_dedup_of_a_common_passage(spark):
-    """One passage in all documents, null ids, one id with several texts."""
+@pytest.mark.parametrize("part_bytes", [16 << 20, 1000])
+def test_suffix_dedup_of_a_common_passage(spark, monkeypatch, part_bytes):
+    """One passage in all documents, null ids, one id with several texts; many parts in a partition too."""
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", part_bytes)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
     prose = lambda n: " ".join(word() for _ in range(n))
@@ -631,6 +633,46 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in P.run(spark, SF).select("doc_id").collect()} == ids
 
 
+def test_pipeline_equals_brute_force(spark):
+    """Rows of the last stage: each stage's decision by plain Python, over whole texts."""
+    import sentencepiece
+
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id: r.text or "" for r in P.language(spark, docs, SF).collect()}
+    told = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.train(docs.where(~langid.held_out()))).collect()}
+    assert set(kept) == {i for i, (lang, score) in told.items() if lang != "und" and score >= P.LEAST_SHARE}
+    best = {}
+    for i, t in kept.items():
+        best[t] = max(i, best.get(t, i))
+    kept = {i: t for t, i in best.items()}
+    sets = {}
+    for i, t in kept.items():
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    comp = {i: i for i in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    kept = {i: t for i, t in kept.items() if find(i) == i}
+    items = decontam.Items([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()], decontam.SIMILARITY)
+    fold = lambda t: decontam.fold(np.frombuffer(t.encode(), np.uint8)).tobytes()
+    dirty = {i for i, t in kept.items() for k, p in enumerate(items.texts) if decontam.best_match(p, fold(t), items.masks[k])[0] <= items.limit[k]}
+    sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_fst.model_file())
+    want = {i: sp.encode(t) for i, t in kept.items() if i not in dirty}
+    assert dirty and {r.doc_id: r.ids for r in P.run(spark, SF).collect()} == want
+
+
 def test_pipeline_columns_and_nothing(spark, rows, none):
     import corpus_pipeline as P
 
