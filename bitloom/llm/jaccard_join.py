@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.common import partitions_for, shuffle_partitions, staged
 from bitloom.llm.graph import components
-from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes, tidy
+from bitloom.llm.packed import by_part, mix64, pieces, starts_to_ranges, text_bytes, tidy
 
 WORDS = 4
 #: Similarity as a fraction, so that bounds are exact.
@@ -47,8 +47,8 @@ Rate = tuple[int, int]
 DENSE = 48
 #: Shingles in a block of sets, about: it bounds what a task holds.
 BLOCK = 250_000
-#: Bytes of prefixes for a shuffle partition of postings.
-PART_BYTES = 64 << 20
+#: Bytes of prefixes for a shuffle partition of postings, and for a part of it: a partition is sorted by parts, and a task holds one at a time.
+PARTITION_BYTES, PART_BYTES = 256 << 20, 16 << 20
 #: Pivots of a home at most; each takes one pass over the home.
 ROUNDS = 6
 #: Shingles that are put last: a bound on what is broadcast, 8 bytes each.
@@ -229,11 +229,10 @@ _ALWAYS = 1 << 40
 
 
 def _multiply(rate: Rate):
-    """Overlaps of pairs over the columns of this task: a < b, overlap, last shared place in either, sizes."""
+    """Overlaps of pairs over the columns of each part: a < b, overlap, last shared place in either, sizes."""
     num, den = rate
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         chains = []
         for batch in batches:
@@ -283,6 +282,11 @@ def _multiply(rate: Rate):
             lo, hi = edges.min(1), edges.max(1)
             yield _pairs(lo, hi, none + _ALWAYS, none, none, none, none)
 
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_part(batches):
+            yield from columns(held)
+
     return run
 
 
@@ -292,9 +296,9 @@ def _pairs(a, b, overlap, pos_a, pos_b, n_a, n_b) -> pa.RecordBatch:
     )
 
 
-def candidates(classes: DataFrame, parts: int, rate: Rate = (NUM, DEN)) -> DataFrame:
+def candidates(classes: DataFrame, partitions: int, parts: int, rate: Rate = (NUM, DEN)) -> DataFrame:
     """a, b, dense from classes (id, n, prefix). Every similar pair is either a row that isn't dense or connected by dense rows."""
-    blobs = classes.mapInArrow(_posting(parts), "part int, kind int, blob binary").repartition(parts, "part")
+    blobs = classes.mapInArrow(_posting(parts), "part int, kind int, blob binary").repartition(partitions, "part").sortWithinPartitions("part")
     pairs = blobs.mapInArrow(_multiply(rate), "a bigint, b bigint, overlap bigint, pos_a bigint, pos_b bigint, n_a bigint, n_b bigint")
     whole = pairs.groupBy("a", "b").agg(F.sum("overlap").alias("o"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"), F.max("n_a").alias("na"), F.max("n_b").alias("nb"))
     most = F.col("o") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
@@ -426,8 +430,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     named = sketches.where("n > 0 and id is not null")
     firsts = named.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("id", "prefix")).alias("m"))
     # a task holds its postings: 25 bytes for each 8 of a prefix
-    parts = partitions_for(docs.sparkSession, sketches.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0], PART_BYTES)
-    edges = staged(candidates(firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix")), parts, rate), "candidates")
+    n_bytes = sketches.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0]
+    partitions, parts = (partitions_for(docs.sparkSession, n_bytes, each) for each in (PARTITION_BYTES, PART_BYTES))
+    edges = staged(candidates(firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix")), partitions, parts, rate), "candidates")
     reps = staged(named.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
     verified = lambda keyed, tag: staged(
         rows.join(keyed, "id").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").select("key", "id", "label", "text").mapInArrow(_verify(words, rate), "a bigint, b bigint"), tag

@@ -32,6 +32,23 @@ def tidy(kernel: Kernel) -> Kernel:
     return run
 
 
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of one part after the other; they come sorted by part, their first column."""
+    held, part = [], None
+    for b in batches:
+        parts = b.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for lo, hi in zip(cut, cut[1:]):
+            if hi > lo:
+                if held and parts[lo] != part:
+                    yield held
+                    held = []
+                part = parts[lo]
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield held
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

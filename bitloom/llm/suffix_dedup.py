@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import partitions_for
-from bitloom.llm.packed import mix64, pieces, starts_to_ranges, text_bytes, tidy
+from bitloom.llm.packed import by_part, mix64, pieces, starts_to_ranges, text_bytes, tidy
 
 LENGTH, GRAM = 50, 16
 LEFT = LENGTH - GRAM  # bytes in front of a minimiser that a window can have
@@ -179,29 +179,12 @@ def _dealt(rows: np.ndarray, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(rows[order[cut[p] : cut[p + 1]]].tobytes(), 1) for p in full.tolist()], pa.binary())], ["part", "blob"])
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """The rows of one part after the other; they come sorted by part, their first column."""
-    held, part = [], None
-    for b in batches:
-        parts = b.column(0).to_numpy()
-        cut = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
-        for lo, hi in zip(cut, cut[1:]):
-            if hi > lo:
-                if held and parts[lo] != part:
-                    yield held
-                    held = []
-                part = parts[lo]
-                held.append(b.slice(lo, hi - lo))
-    if held:
-        yield held
-
-
 def _by_document(width: int):
     """Dealt rows (document, text, numbers ...) -> one row for each text: doc, text, blob of its numbers."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_part(batches):
+        for held in by_part(batches):
             rows = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(-1, width) for b in held for x in b.column(1)])
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
@@ -288,7 +271,7 @@ def _match(parts: int):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_part(batches):
+        for held in by_part(batches):
             found = list(_matches(held))
             if found:
                 yield _dealt(np.concatenate(found), parts)
@@ -514,7 +497,7 @@ def _sorted_task(parts: int):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_part(batches):
+        for held in by_part(batches):
             found = list(_covered_spans(held))
             if found:
                 yield _dealt(np.concatenate(found), parts)

@@ -150,6 +150,7 @@ def test_jaccard_join(docs, none, rows):
 def test_jaccard_join_of_large_groups(spark, monkeypatch, block):
     """More near copies than a dense column has rows, chains of them, and one passage in all documents; blocks and pivots too."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 40 * block)
     rng = random.Random(7)
     word = lambda: f"w{rng.randrange(5000)}"
     passage = [word() for _ in range(12)]
