@@ -14,7 +14,7 @@ similarity is left out by bounds that follow from set sizes alone. Nothing is es
 3. Candidate pairs are counted exactly with whole sets, by the smaller id. Components of the chains are cut into homes, by
    size (sets in a ratio of t or more are in the same band or the next). Only pairs that no links connect so far have to be
    counted: while a home has more than ``BLOCK`` shingles outside its largest connected part, a pivot from there is counted
-   exactly with all of the home, in parts of about BLOCK shingles (``ROUNDS`` times at most; one group of near copies is
+   exactly with all of the home, in parts of about BLOCK shingles (``PIVOTS`` at once, ``ROUNDS`` times at most; one group of near copies is
    connected by a few pivots). What is still outside is multiplied exactly with whole sets, in blocks, with the whole home.
    Within a task pairs that are already connected need no count. Output: links that connect.
 4. Components of the links give component_id.
@@ -49,8 +49,10 @@ DENSE = 48
 BLOCK = 250_000
 #: Bytes of prefixes for a shuffle partition of postings, and for a part of it: a partition is sorted by parts, and a task holds one at a time.
 PARTITION_BYTES, PART_BYTES = 256 << 20, 16 << 20
-#: Pivots of a home at most; each takes one pass over the home.
-ROUNDS = 6
+#: Pivots of a home in one round, and rounds; each pivot takes one pass over the home.
+PIVOTS, ROUNDS = 4, 3
+#: The members of a pivot meet its label in so many places.
+SALT = 16
 #: Shingles that are put last: a bound on what is broadcast, 8 bytes each.
 HOT = 400_000
 #: A batch calls shingles common that two of its documents have or more, the most frequent ones up to this number.
@@ -391,6 +393,16 @@ def _verify(words: int, rate: Rate):
     return run
 
 
+def _labels(found: DataFrame) -> DataFrame:
+    """node, least: a label for every node of the pivots' links (a: pivot, b). Nodes of one label are connected; not all that are
+    connected get one label, which costs a count but no link."""
+    of_member = found.groupBy("b").agg(F.min("a").alias("m"))
+    of_pivot = found.join(of_member, "b").groupBy("a").agg(F.least(F.min("m"), F.col("a")).alias("m"))
+    spread = of_pivot.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    again = found.withColumn("place", F.pmod(F.xxhash64("b"), F.lit(SALT))).join(spread, ["a", "place"]).select(F.col("b").alias("node"), "m")
+    return again.unionByName(of_pivot.select(F.col("a").alias("node"), "m")).groupBy("node").agg(F.min("m").alias("least"))
+
+
 def _inside(homes: DataFrame, links: DataFrame, verified) -> DataFrame:
     """More links, so that all similar pairs within a home (id, n, home) are connected."""
     found = links.where("false")
@@ -406,13 +418,13 @@ def _inside(homes: DataFrame, links: DataFrame, verified) -> DataFrame:
         parts = F.ceil(F.col("w") / BLOCK)
         if turn == ROUNDS or wide.isEmpty():
             break
-        chosen = wide.where("out").groupBy("home").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("p"), F.max(parts).alias("parts")).select("home", F.col("p.id").alias("pivot"), "parts")
+        lot = F.xxhash64("id", F.lit(turn))
+        chosen = wide.where("out").groupBy("home", F.pmod(lot, F.lit(PIVOTS))).agg(F.min(F.struct(lot, "id")).alias("p"), F.max(parts).alias("parts")).select("home", F.col("p.id").alias("pivot"), "parts")
         part = lambda c: F.concat_ws(":", F.lit("star"), "pivot", c)
         all_of = wide.join(chosen, "home").where("id <> pivot").select("id", part(F.pmod(F.xxhash64("id"), F.col("parts"))).alias("key"))
         pivots = chosen.select(F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"), "pivot").select("id", part("k").alias("key"))
         found = found.unionByName(verified(all_of.unionByName(pivots).distinct().withColumn("label", F.col("id")), "pivots"))
-        comps = components(links.unionByName(found))
-        labels = homes.select("id").distinct().join(comps, F.col("id") == comps.node, "left").select("id", F.coalesce("comp", "id").alias("label"))
+        labels = homes.select("id").distinct().join(_labels(found), F.col("id") == F.col("node"), "left").select("id", F.coalesce("least", "id").alias("label"))
     # what is outside, in blocks, with the whole home, in blocks
     first = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("outside") / BLOCK))
     second = F.pmod(F.xxhash64("id", F.lit(2)), parts)
