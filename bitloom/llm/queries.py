@@ -26,6 +26,7 @@ ORACLES: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
     "op3_chat_formatting": chat.ORACLE,
     "op4_url_filters": url_filter.ORACLE,
+    "op5_sharding": sharding.ORACLE,
     "op6_ngram_jaccard_join": jaccard_join.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

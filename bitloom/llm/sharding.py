@@ -71,7 +71,8 @@ def interleaved(rows: DataFrame, weight: Column | None = None) -> DataFrame:
     digits = _digits(rows.count())
     parts = 16**digits
     ranked = _numbered(rows, F.substring("h", 1, digits), ["h", "text_key", "k"], ("source",), name="r")
-    offset = (F.pmod(F.xxhash64("source", F.lit("offset")), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    digits_of = F.substring(F.md5(F.concat(F.lit("offset:"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 5)
+    offset = (F.conv(digits_of, 16, 10).cast("long") + 0.5) / (1 << 20)
     ranked = ranked.withColumn("frac", (F.col("r") + offset) / F.col("r_n")).drop("r", "r_n")
     return _numbered(ranked, F.least(F.floor(F.col("frac") * parts), F.lit(parts - 1)).cast("long"), ["frac", "source", "h", "text_key", "k"], weight=weight)
 
@@ -154,3 +155,23 @@ def op5(docs: DataFrame) -> DataFrame:
     return interleave(docs).select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
     )
+
+
+#: The same placement where every group is packed (up to 100 rows a shard) and every piece fits where it is put: groups one by one
+#: into the emptiest shard, then single rows in the interleaved order. CRC-32 by its table.
+ORACLE = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc_of),
+d AS (SELECT doc_id, source, coalesce(text, '') AS body, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, sha256(coalesce(text, '')) AS t, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+n AS (SELECT count(*) AS n, greatest(1, count(*) // {N_SHARDS}) AS most FROM d),
+g AS (SELECT t, count(*) AS g FROM d GROUP BY t HAVING count(*) > 1),
+q AS (SELECT row_number() OVER (ORDER BY size DESC, t, start) AS k, * FROM (SELECT t, start, least(most, g - start) AS size FROM (SELECT t, g, most, unnest(range(0, g, most)) AS start FROM g, n))),
+r AS (SELECT 0::BIGINT AS k, list_transform(range(0, {N_SHARDS}), lambda s: n * (s + 1) // {N_SHARDS} - n * s // {N_SHARDS}) AS room, -1::BIGINT AS shard FROM n
+ UNION ALL SELECT q.k, list_transform(range(0, {N_SHARDS}), lambda s: room[s + 1] - CASE WHEN s = best THEN q.size ELSE 0 END), best FROM (SELECT *, list_position(room, list_max(room)) - 1 AS best FROM r) r JOIN q ON q.k = r.k + 1),
+packed AS (SELECT d.*, r.shard FROM (SELECT d.*, row_number() OVER (PARTITION BY t ORDER BY h) - 1 AS pos FROM d JOIN g USING (t)) d JOIN q ON q.t = d.t AND pos >= q.start AND pos < q.start + q.size JOIN r ON r.k = q.k),
+ends AS (SELECT list_transform(range(1, {N_SHARDS} + 1), lambda s: list_sum(room[1:s])) AS ends FROM r ORDER BY k DESC LIMIT 1),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, t) - 1 + (('0x' || md5('offset:' || coalesce(source, ''))[1:5])::INTEGER + 0.5::DOUBLE) / 1048576) / count(*) OVER (PARTITION BY source) AS frac FROM d WHERE t NOT IN (SELECT t FROM g)),
+single AS (SELECT *, row_number() OVER (ORDER BY frac, source NULLS FIRST, h, t) - 1 AS p FROM ranked),
+placed AS (SELECT doc_id, source, body, size, t, h, shard FROM packed UNION ALL SELECT doc_id, source, body, size, t, h, len(list_filter(ends, lambda e: e <= p)) FROM single, ends)
+SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, crc_of[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
+ 'rows' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY h, t) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM placed, crc
+"""
