@@ -49,7 +49,7 @@ DENSE = 48
 BLOCK = 250_000
 #: Bytes of prefixes for a shuffle partition of postings, and for a part of it: a partition is sorted by parts, and a task holds one at a time.
 PARTITION_BYTES, PART_BYTES = 256 << 20, 16 << 20
-#: Pivots of a home in one round, and rounds; each pivot takes one pass over the home.
+#: Pivots of a home in one round, and rounds; each round takes one pass over the home.
 PIVOTS, ROUNDS = 4, 3
 #: The members of a pivot meet its label in so many places.
 SALT = 16
@@ -357,22 +357,22 @@ def _similar(a: np.ndarray, b: np.ndarray, rate: Rate = (NUM, DEN)) -> bool:
     return rate[1] * both >= rate[0] * (len(a) + len(b) - both)
 
 
-def link_star(center: int, ids: list[int], sets: list[np.ndarray], rate: Rate = (NUM, DEN)) -> list[tuple[int, int]]:
-    """Links of one class with the others."""
-    mine = [s for i, s in zip(ids, sets, strict=True) if i == center]
-    return [(center, i) for i, s in zip(ids, sets, strict=True) if i != center and any(_similar(m, s, rate) for m in mine)]
+def link_star(centers: set[int], ids: list[int], sets: list[np.ndarray], rate: Rate = (NUM, DEN)) -> list[tuple[int, int]]:
+    """Links of some classes with all others."""
+    mine = [(i, s) for i, s in zip(ids, sets, strict=True) if i in centers]
+    return [(c, i) for i, s in zip(ids, sets, strict=True) for c, m in mine if i != c and _similar(m, s, rate)]
 
 
 def _verify(words: int, rate: Rate):
-    """Rows sorted by key: id, label, text. A key is a block pair, or holds the id of a class that is compared with all others of
-    the key ("star:id", "star:id:part"). One key is in memory at a time."""
+    """Rows sorted by key: id, label, text. A key is a block pair, or holds the ids of classes that are compared with all others of
+    the key ("star:id", "star:id,id:part"). One key is in memory at a time."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets, labels = None, [], [], []
 
         def done():
-            links = link_star(int(key.split(":")[1]), ids, sets, rate) if key.startswith("star:") else link_block(ids, sets, labels, rate) if len(ids) > 1 else []
+            links = link_star({int(c) for c in key.split(":")[1].split(",")}, ids, sets, rate) if key.startswith("star:") else link_block(ids, sets, labels, rate) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
         for b in batches:
@@ -419,10 +419,11 @@ def _inside(homes: DataFrame, links: DataFrame, verified) -> DataFrame:
         if turn == ROUNDS or wide.isEmpty():
             break
         lot = F.xxhash64("id", F.lit(turn))
-        chosen = wide.where("out").groupBy("home", F.pmod(lot, F.lit(PIVOTS))).agg(F.min(F.struct(lot, "id")).alias("p"), F.max(parts).alias("parts")).select("home", F.col("p.id").alias("pivot"), "parts")
-        part = lambda c: F.concat_ws(":", F.lit("star"), "pivot", c)
-        all_of = wide.join(chosen, "home").where("id <> pivot").select("id", part(F.pmod(F.xxhash64("id"), F.col("parts"))).alias("key"))
-        pivots = chosen.select(F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"), "pivot").select("id", part("k").alias("key"))
+        chosen = wide.where("out").groupBy("home", F.pmod(lot, F.lit(PIVOTS))).agg(F.min(F.struct(lot, "id")).alias("p"), F.max(parts).alias("parts"))
+        chosen = chosen.groupBy("home").agg(F.sort_array(F.collect_set("p.id")).alias("pivots"), F.max("parts").alias("parts"))
+        part = lambda c: F.concat_ws(":", F.lit("star"), F.array_join(F.col("pivots").cast("array<string>"), ","), c)
+        all_of = wide.join(chosen, "home").where(~F.array_contains("pivots", F.col("id"))).select("id", part(F.pmod(F.xxhash64("id"), F.col("parts"))).alias("key"))
+        pivots = chosen.select("pivots", F.explode("pivots").alias("id"), "parts").select("id", "pivots", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("id", part("k").alias("key"))
         found = found.unionByName(verified(all_of.unionByName(pivots).distinct().withColumn("label", F.col("id")), "pivots"))
         labels = homes.select("id").distinct().join(_labels(found), F.col("id") == F.col("node"), "left").select("id", F.coalesce("least", "id").alias("label"))
     # what is outside, in blocks, with the whole home, in blocks
