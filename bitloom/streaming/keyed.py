@@ -18,6 +18,7 @@ from bitloom.functions.constants import ADM_STEP_MAX, ADM_STEP_MIN, DPCM_HIGH, D
 WAVE_SCHEMA = "key bigint, seq bigint, code int, y double"
 STATE = "s double, d double, prev int, n bigint"
 TOKEN_SCHEMA = "key string, session bigint, k bigint, idx bigint, ch string"
+APPENDED = 10_000  # phrases in one message to the state store
 
 
 class Wave(StatefulProcessor):
@@ -87,26 +88,35 @@ class Lz78(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "phrase bigint, n bigint, session bigint")
-        self.known = handle.getMapState("known", "at bigint, ch string", "phrase bigint")
+        self.told = handle.getListState("told", "at bigint, ch string")  # the dictionary of the open session: phrase k stands in place k
 
     def handleInputRows(self, key, rows, timerValues):
-        at, n, session = self.open.get() if self.open.exists() else (0, 0, 1)
+        # every call of the state is a message to the JVM: the dictionary is read once and what is new is added once
+        at, n, session = self.open.get() or (0, 0, 1)
+        kept = n
+        known = {tuple(p): k for k, p in enumerate(self.told.get(), 1)} if n else {}
         frame = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        out = []
+        out, new = [], []
         for text, last in zip(frame["text"], frame["last"], strict=True):
             for c in text or "":
-                if self.known.containsKey((at, c)):
-                    at = self.known.getValue((at, c))[0]
-                else:
+                phrase = known.get((at, c))
+                if phrase is None:
                     n += 1
-                    self.known.updateValue((at, c), (n,))
+                    known[at, c] = n
+                    new.append((at, c))
                     out.append((key[0], session, n, at, c))
                     at = 0
+                else:
+                    at = phrase
             if last:
                 if at:
                     out.append((key[0], session, n + 1, at, None))
-                self.known.clear()
-                at, n, session = 0, 0, session + 1
+                if kept:
+                    self.told.clear()
+                known, new = {}, []
+                at, n, session, kept = 0, 0, session + 1, 0
+        for k in range(0, len(new), APPENDED):
+            self.told.appendList(new[k : k + APPENDED])
         self.open.update((at, n, session))
         yield pd.DataFrame(out, columns=["key", "session", "k", "idx", "ch"])
 

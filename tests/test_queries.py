@@ -129,3 +129,43 @@ def test_lz78_sessions(spark, tmp_path):
     assert [(r.key, r.session, r.idx, r.ch) for r in got] == [
         ("a", 1, 0, "a"), ("a", 1, 0, "b"), ("a", 1, 1, "b"), ("a", 1, 3, "a"), ("a", 2, 0, "a"), ("a", 2, 0, "b"), ("a", 2, 1, "b"), ("b", 1, 0, "x"), ("b", 1, 1, None),
     ]
+
+
+def test_lz78_stream_calls_the_state_a_few_times_a_key(monkeypatch):
+    """Each call of the state is a message to the JVM: their number follows from keys and batches, not from characters."""
+    import pandas as pd
+
+    from bitloom.operators import kernels
+    from bitloom.streaming import keyed
+
+    class State:
+        def __init__(self):
+            self.held, self.calls = None, 0
+
+        def called(self, value=None):
+            self.calls += 1
+            return value
+
+        exists = lambda self: self.called(bool(self.held))
+        get = lambda self: self.called(iter(list(self.held or [])) if isinstance(self.held, list) else self.held)
+        clear = lambda self: self.called(setattr(self, "held", None))
+        update = lambda self, v: self.called(setattr(self, "held", v))
+        appendList = lambda self, v: self.called(setattr(self, "held", [*(self.held or []), *v]))
+        containsKey = lambda self, k: self.called(k in (self.held or {}))
+        getValue = lambda self, k: self.called(self.held[k])
+        updateValue = lambda self, k, v: self.called(setattr(self, "held", {**(self.held or {}), k: v}))
+
+    made = [State(), State()]
+
+    class Handle:
+        getValueState = getListState = getMapState = lambda self, *a: made[a[0] != "open"]
+
+    monkeypatch.setattr(keyed, "APPENDED", 50)
+    p = keyed.Lz78()
+    p.init(Handle())
+    text, out = "abracadabra;" * 40, []
+    for batch in range(3):
+        rows = pd.DataFrame({"ts": [batch], "seq": [batch], "text": [text], "last": [batch == 2]})
+        out += [tuple(r) for f in p.handleInputRows(("a",), iter([rows]), None) for r in f[["idx", "ch"]].itertuples(index=False)]
+    assert [(i, None if c is None else ord(c)) for i, c in out] == kernels.lz78_tokens((text * 3).encode())
+    assert sum(s.calls for s in made) <= 30
