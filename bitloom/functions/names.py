@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,37 @@ from bitloom.functions.bits import byte_list
 from bitloom.functions.constants import AUDIO_EXTENSIONS, IMAGE_EXTENSIONS
 
 
+def _past_half(x: Column, n: Column, scale: int) -> Column:
+    """Sign of x * scale - (n + 1/2), exactly, for 0 <= x < 2^53 and a scale below 2^26: x is split in halves whose products are exact."""
+    t = x * F.lit(134217729.0)
+    high = t - (t - x)
+    return (high * F.lit(float(scale)) - (n + 0.5)) + (x - high) * F.lit(float(scale))
+
+
 def fixed(x: Column, places: int, form: str = "%.{n}f") -> Column:
-    """A number in print with so many places; exact ties go to the even digit."""
-    return F.format_string(form.replace("{n}", str(places)), F.bround(x, places))
+    """A number in print with so many places, as C's printf: the binary value is rounded, exact ties go to the even digit. Places: 7 at most."""
+    head, flag, tail = re.fullmatch(r"([^%]*)%(\+?)\.\{n\}f(.*)", form).groups()
+    scale, big = 10**places, 2.0**53
+
+    def shown(b: Column) -> Column:
+        whole = F.when(b["x"] < big, F.floor(b["x"])).otherwise(F.lit(0))
+        part = F.when(b["x"] < big, b["x"] - whole.cast("double")).otherwise(F.lit(0.0))
+        return F.struct(whole.alias("whole"), part.alias("part"), F.floor(part * float(scale)).alias("n"), b["x"].alias("x"), b["sign"].alias("sign"))
+
+    def printed(b: Column) -> Column:
+        past = _past_half(b["part"], b["n"].cast("double"), scale)
+        n = b["n"] + F.when((past > 0) | ((past == 0) & (b["n"] % 2 == 1)), 1).otherwise(0)
+        carried = F.when(n >= scale, 1).otherwise(0)
+        digits = F.concat((b["whole"] + carried).cast("string"), F.lit("."), F.lpad((n - carried * scale).cast("string"), places, "0"))
+        return F.concat(b["sign"], F.when(b["x"] < big, digits).otherwise(F.format_string(f"%.{places}f", b["x"])))
+
+    value = x.cast("double")
+    sign = F.when(value.cast("string").startswith("-"), "-").otherwise(F.lit(flag))
+    # each step is bound by an array of one, so that what follows reads its result instead of working it out again
+    one = F.transform(F.transform(F.array(F.struct(F.abs(value).alias("x"), sign.alias("sign"))), shown), printed)[0]
+    odd = F.concat(sign, F.when(F.isnan(value), "nan").otherwise("inf"))
+    text = F.when(F.isnan(value) | (F.abs(value) == float("inf")), odd).otherwise(one)
+    return F.when(value.isNotNull(), F.concat(F.lit(head), text, F.lit(tail.replace("%%", "%"))))
 
 
 def size_metrics(content: Column) -> Column:

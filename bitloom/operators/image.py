@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bitloom.functions import names as N
 from bitloom.functions.bits import big_endian, byte_list, unsigned
 from bitloom.functions.constants import MAX_RUN
 from bitloom.functions.udfs import rgb_pixels
@@ -105,7 +106,7 @@ def errors(original: DataFrame, restored: DataFrame, payload_bytes: DataFrame) -
     psnr = F.when(F.col("mse") > 0, 10.0 * F.log10(F.lit(65025.0) / F.col("mse")))
     out = m.join(payload_bytes, "img_id").withColumn("psnr", psnr)
     return out.select(
-        "img_id", "mse", "psnr", F.coalesce(F.format_string("%.4f dB", "psnr"), F.lit("Infinity")).alias("psnr_str"),
+        "img_id", "mse", "psnr", F.coalesce(N.fixed(F.col("psnr"), 4, "%.{n}f dB"), F.lit("Infinity")).alias("psnr_str"),
         F.when((F.col("raw_bytes") > 0) & (F.col("payload_bytes") > 0), F.col("payload_bytes") / F.col("raw_bytes")).otherwise(0.0).alias("compression_ratio"),
         "n_pixels", (F.col("mse") == 0).alias("is_lossless"),
     ).withColumn("psnr_str", F.when(F.col("mse") > 0, F.col("psnr_str")).otherwise("Infinity"))
