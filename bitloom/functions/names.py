@@ -44,6 +44,20 @@ def fixed(x: Column, places: int, form: str = "%.{n}f") -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(head), text, F.lit(tail.replace("%%", "%"))))
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """A double rounded as SQL engines in C do: scaled, halves away from zero, scaled back; the sign of zero stays."""
+    scale = float(10**places)
+
+    def back(v: Column) -> Column:
+        size = F.abs(v) * scale
+        low = F.floor(size).cast("double")
+        near = F.when(size < 2.0**52, low + F.when(size - low >= 0.5, 1.0).otherwise(0.0)).otherwise(size) / scale
+        return F.when(v.cast("string").startswith("-"), -near).otherwise(near)
+
+    value = (F.col(x) if isinstance(x, str) else x).cast("double")
+    return F.when(F.isnan(value) | (F.abs(value) * scale == float("inf")), value).otherwise(F.transform(F.array(value), back)[0])
+
+
 def size_metrics(content: Column) -> Column:
     n = F.octet_length(content).cast("long")
     return F.struct(n.alias("bytes"), (n / 1024.0).alias("kb"), (n / 1048576.0).alias("mb"))

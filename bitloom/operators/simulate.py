@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.functions import names as N
 from bitloom.functions.udfs import SimLz78
 from bitloom.operators.image import runs
 
@@ -106,7 +107,7 @@ def waveform(signals: DataFrame, delta: float, alpha: float) -> DataFrame:
 def waveform_table(signals: DataFrame, id_col: str = "sig_id") -> DataFrame:
     """One row per sample, values to five places."""
     z = signals.select(id_col, F.posexplode(F.arrays_zip("signal", "dm", "dpcm")).alias("n", "z"))
-    return z.select(id_col, "n", *(F.round(F.col(f"z.{c}").cast("double"), 5).alias(c) for c in ("signal", "dm", "dpcm")))
+    return z.select(id_col, "n", *(N.rounded(F.col(f"z.{c}").cast("double"), 5).alias(c) for c in ("signal", "dm", "dpcm")))
 
 
 def signal_of(samples: DataFrame) -> DataFrame:

@@ -50,13 +50,13 @@ t AS (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id) AS m FROM c), e AS (SE
 
 @query("entropy_by_doc", _ENTROPY + "SELECT d.doc_id AS blob_id, round(coalesce(e.x, 0), 6) + 0.0 AS entropy FROM documents d LEFT JOIN e USING (doc_id)")
 def _(s, d):
-    return T.blobs(s, d).select("blob_id", histogram("content").alias("h")).select("blob_id", (F.round(lossless.entropy(F.col("h")), 6) + 0.0).alias("entropy"))
+    return T.blobs(s, d).select("blob_id", histogram("content").alias("h")).select("blob_id", (N.rounded(lossless.entropy(F.col("h")), 6) + 0.0).alias("entropy"))
 
 
 @query("entropy_by_lang", _ENTROPY + "SELECT lang, count(*) AS n, round(avg(coalesce(e.x, 0)), 6) AS entropy FROM documents d LEFT JOIN e USING (doc_id) GROUP BY lang")
 def entropy_by_lang(s, d):
     b = T.blobs(s, d).select("lang", histogram("content").alias("h")).select("lang", lossless.entropy(F.col("h")).alias("e"))
-    return b.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("e"), 6).alias("entropy"))
+    return b.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), N.rounded(F.avg("e"), 6).alias("entropy"))
 
 
 @query("distinct_symbols", f"SELECT doc_id AS blob_id, octet_length(encode(any_value(text))) AS n_symbols, count(DISTINCT h) AS n_unique FROM (SELECT doc_id, text, {_BYTES} FROM documents) GROUP BY doc_id")
@@ -101,7 +101,7 @@ def _(s, d):
 def _(s, d):
     e = lossless.encode(T.items(s, d), HUFFMAN)
     n = F.octet_length("payload").cast("long")
-    return e.select("blob_id", n.alias("payload_bytes"), F.round(lossless.average_code_length(F.octet_length("content"), n, F.col("padding_bits")), 6).alias("avg_code_length"))
+    return e.select("blob_id", n.alias("payload_bytes"), N.rounded(lossless.average_code_length(F.octet_length("content"), n, F.col("padding_bits")), 6).alias("avg_code_length"))
 
 
 @query(
@@ -113,7 +113,7 @@ CASE WHEN h / l >= 0.95 THEN 'Near-optimal.' WHEN h / l >= 0.8 THEN 'Good effici
 def _(s, d):
     a = lossless.analyze(lossless.encode(T.items(s, d), HUFFMAN))
     return a.select(
-        "blob_id", F.round("entropy", 6).alias("entropy"), F.round("efficiency", 6).alias("efficiency"), F.round(F.col("avg_code_length") - F.col("entropy"), 6).alias("gap"),
+        "blob_id", N.rounded("entropy", 6).alias("entropy"), N.rounded("efficiency", 6).alias("efficiency"), N.rounded(F.col("avg_code_length") - F.col("entropy"), 6).alias("gap"),
         "n_symbols", F.col("n_unique").cast("long").alias("n_unique"), N.efficiency_band(F.least(F.col("efficiency"), F.lit(100.0))).alias("band"),
     )
 
@@ -214,8 +214,8 @@ def flagship(s, d):
     out = lossless.compare(T.blobs(s, d).select("blob_id", "lang", "content")).withColumn("algorithm", H.algorithm_label(F.col("algorithm_id")))
     size = F.sum("payload_bytes")
     return out.groupBy("algorithm", "lang").agg(
-        F.count(F.lit(1)).alias("blobs"), F.sum("n_symbols").alias("raw_bytes"), size.alias("payload_bytes"), F.round(size / F.sum("n_symbols"), 6).alias("ratio"),
-        F.round(F.avg("entropy"), 6).alias("entropy"), F.round(F.avg("avg_code_length"), 6).alias("avg_code_length"), F.round(F.avg("efficiency"), 4).alias("efficiency"),
+        F.count(F.lit(1)).alias("blobs"), F.sum("n_symbols").alias("raw_bytes"), size.alias("payload_bytes"), N.rounded(size / F.sum("n_symbols"), 6).alias("ratio"),
+        N.rounded(F.avg("entropy"), 6).alias("entropy"), N.rounded(F.avg("avg_code_length"), 6).alias("avg_code_length"), N.rounded(F.avg("efficiency"), 4).alias("efficiency"),
     )
 
 
@@ -293,7 +293,7 @@ def _(s, d):
     n = F.col("blob_id")
     h = H.serialize_audio(n % 4 + 5, n % 8, F.lit("wav"), F.pow(F.lit(2), n % 3).cast("int"), n % 8 + 1, n / 100.0, n / 100.0, n + 44100, F.lit(8000), F.lit(1))
     p = T.items(s, d).select(n.alias("item_id"), H.parse_audio(h).alias("h"))
-    return p.select("item_id", "h.algorithm_id", "h.sampling_factor", "h.bits", F.round("h.delta_step", 4).alias("delta_step"), F.round("h.alpha", 4).alias("alpha"), "h.original_length", "h.sample_rate", "h.total_size")
+    return p.select("item_id", "h.algorithm_id", "h.sampling_factor", "h.bits", N.rounded("h.delta_step", 4).alias("delta_step"), N.rounded("h.alpha", 4).alias("alpha"), "h.original_length", "h.sample_rate", "h.total_size")
 
 
 _BROKEN = ["", "41524348010103", "41524349010103006E", "4152434809010300", "4152434801090300", "4152434801010800", "41524348010103036E67", "4152434801010302C3A9", "4152434801010303706E67"]
@@ -506,7 +506,7 @@ def _image_errors(s, d, q):
 
 @query("image_mse_psnr", _mse_sql(5) + "SELECT img_id, round(mse, 4) AS mse, round(psnr, 4) AS psnr, coalesce(printf('%.4f dB', psnr), 'Infinity') AS psnr_str, n_pixels, mse = 0 AS is_lossless FROM p")
 def _(s, d):
-    return _image_errors(s, d, 5).select("img_id", F.round("mse", 4).alias("mse"), F.round("psnr", 4).alias("psnr"), "psnr_str", "n_pixels", "is_lossless")
+    return _image_errors(s, d, 5).select("img_id", N.rounded("mse", 4).alias("mse"), N.rounded("psnr", 4).alias("psnr"), "psnr_str", "n_pixels", "is_lossless")
 
 
 _PSNR = "CASE WHEN psnr IS NULL THEN 'Lossless (∞)' WHEN psnr >= 40 THEN 'Excellent' WHEN psnr >= 35 THEN 'Very Good' WHEN psnr >= 30 THEN 'Good' WHEN psnr >= 25 THEN 'Acceptable' ELSE 'Distorted' END"
@@ -569,7 +569,7 @@ _LEVEL = "CAST(list_min(s)::DOUBLE + (i + 0.5) * ((list_max(s)::DOUBLE - list_mi
 def _(s, d):
     sig = T.signals(s, d).withColumn("original_length", F.size("signal"))
     r = audio.decode(audio.encode(sig, PCM, sampling_factor=2, bits=4), PCM, sampling_factor=2, bits=4)
-    return r.select("sig_id", F.transform("restored", lambda v: F.round(v.cast("double"), 5)).alias("x"))
+    return r.select("sig_id", F.transform("restored", lambda v: N.rounded(v.cast("double"), 5)).alias("x"))
 
 
 @query("upsample", "SELECT vec_id AS sig_id, list_transform(range(66), lambda j: CASE WHEN j < 64 THEN embedding[j // 2 * 2 + 1] ELSE 0 END) AS x FROM embeddings")
@@ -584,7 +584,7 @@ def _sqnr_sql(y: str) -> str:
 @query("pcm_sqnr", _pcm_sql(6) + f", y AS (SELECT sig_id, s, list_transform(k, lambda i: {_LEVEL.format(l=64)}) AS y FROM p) SELECT sig_id, round({_sqnr_sql('y[j]')}, 4) AS sqnr FROM y")
 def _(s, d):
     x = T.signals(s, d).withColumn("k", audio.pcm_indices(F.col("signal"), 6)).withColumn("r", audio.value_range(F.col("signal")))
-    return x.select("sig_id", F.round(audio.sqnr(F.col("signal"), audio.pcm_values(F.col("k"), 6, F.col("r.low"), F.col("r.high"))), 4).alias("sqnr"))
+    return x.select("sig_id", N.rounded(audio.sqnr(F.col("signal"), audio.pcm_values(F.col("k"), 6, F.col("r.low"), F.col("r.high"))), 4).alias("sqnr"))
 
 
 _EVENTS = "SELECT user_id AS sig_id, list(CAST(value / 500 AS FLOAT) ORDER BY ts, event_id) AS s FROM events GROUP BY user_id"
@@ -595,7 +595,7 @@ def _(s, d):
     """Kernel path over the longer event signals."""
     sig = T.event_signals(s, d).withColumn("original_length", F.size("signal"))
     r = audio.decode(audio.encode(sig, PCM, bits=8), PCM, bits=8)
-    return r.select("sig_id", F.col("original_length").cast("long").alias("n"), F.round(audio.sqnr(F.col("signal"), F.col("restored")), 4).alias("sqnr"))
+    return r.select("sig_id", F.col("original_length").cast("long").alias("n"), N.rounded(audio.sqnr(F.col("signal"), F.col("restored")), 4).alias("sqnr"))
 
 
 @query("audio_panel", _pcm_sql(4) + f""", y AS (SELECT sig_id, s, list_transform(k, lambda i: {_LEVEL.format(l=16)}) AS y FROM p), q AS (SELECT sig_id, {_sqnr_sql('y[j]')} AS q FROM y)
@@ -611,7 +611,7 @@ def _(s, d):
 
 @query("theoretical_sqnr", "SELECT b AS bits, round(6.02 * b + 1.76, 2)::DOUBLE AS sqnr FROM range(1, 25) t(b)")
 def _(s, d):
-    return s.range(1, 25).select(F.col("id").alias("bits"), F.round(audio.theoretical_sqnr(F.col("id")), 2).alias("sqnr"))
+    return s.range(1, 25).select(F.col("id").alias("bits"), N.rounded(audio.theoretical_sqnr(F.col("id")), 2).alias("sqnr"))
 
 
 _DM = """WITH RECURSIVE g AS ({sig}), r AS (SELECT sig_id, s, 0 AS i, 0::DOUBLE AS y, '' AS bits, []::FLOAT[] AS ys FROM g
@@ -631,7 +631,7 @@ _YS = "SELECT sig_id, list_transform(ys, lambda v: round(v::DOUBLE, 5) + 0::DOUB
 
 
 def _rounded(s, d, values):
-    return T.signals(s, d).select("sig_id", F.transform(values, lambda v: F.round(v.cast("double"), 5) + 0.0).alias("y"))
+    return T.signals(s, d).select("sig_id", F.transform(values, lambda v: N.rounded(v.cast("double"), 5) + 0.0).alias("y"))
 
 
 @query("dm_bits", _DM + "SELECT sig_id, bits FROM z")
@@ -683,14 +683,14 @@ def _(s, d):
     x = F.col("signal")
     ys = {"ADM": audio.adm_values(audio.adm_bits(x, 0.05), 0.05), "DM": audio.dm_values(audio.dm_bits(x, 0.05), 0.05), "DPCM": audio.dpcm_values(audio.dpcm_codes(x, 4, 0.9), 4, 0.9)}
     t = T.signals(s, d).select(F.explode(F.array(*[F.struct(F.lit(k).alias("codec"), audio.sqnr(x, y).alias("q")) for k, y in ys.items()])).alias("c"))
-    return t.groupBy("c.codec").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c.q"), 4).alias("sqnr"), F.round(F.min("c.q"), 4).alias("least"), F.round(F.max("c.q"), 4).alias("most"))
+    return t.groupBy("c.codec").agg(F.count(F.lit(1)).alias("n"), N.rounded(F.avg("c.q"), 4).alias("sqnr"), N.rounded(F.min("c.q"), 4).alias("least"), N.rounded(F.max("c.q"), 4).alias("most"))
 
 
 @query("sqnr_vs_theory", _pcm_sql(4) + f", y AS (SELECT sig_id, s, list_transform(k, lambda i: {_LEVEL.format(l=16)}) AS y FROM p) SELECT sig_id, round({_sqnr_sql('y[j]')} - 25.84, 4) AS against_theory FROM y")
 def _(s, d):
     x = T.signals(s, d).withColumn("k", audio.pcm_indices(F.col("signal"), 4)).withColumn("r", audio.value_range(F.col("signal")))
     q = audio.sqnr(F.col("signal"), audio.pcm_values(F.col("k"), 4, F.col("r.low"), F.col("r.high")))
-    return x.select("sig_id", F.round(audio.against_theory(F.lit(PCM), F.lit(4), q), 4).alias("against_theory"))
+    return x.select("sig_id", N.rounded(audio.against_theory(F.lit(PCM), F.lit(4), q), 4).alias("against_theory"))
 
 
 @query("sqnr_bands", _DM + f", q AS (SELECT {_sqnr_sql('ys[j]')} AS x FROM z) SELECT CASE WHEN x >= 40 THEN 'Excellent' WHEN x >= 30 THEN 'Good' WHEN x >= 20 THEN 'Acceptable' ELSE 'Distorted' END AS label, count(*) AS n FROM q GROUP BY ALL")
@@ -709,7 +709,7 @@ def _(s, d):
 @query("wav_roundtrip", "SELECT vec_id AS sig_id, 8000 AS sample_rate, list_transform(embedding, lambda v: round(trunc((v * 32767::FLOAT)::DOUBLE) / 32768, 5) + 0::DOUBLE) AS x, CAST(NULL AS VARCHAR) AS error FROM embeddings")
 def _(s, d):
     w = T.signals(s, d).select("sig_id", media.load_audio(media.export_audio("signal", "sample_rate"), F.lit("wav")).alias("w"))
-    return w.select("sig_id", "w.sample_rate", F.transform("w.signal", lambda v: F.round(v.cast("double"), 5) + 0.0).alias("x"), "w.error")
+    return w.select("sig_id", "w.sample_rate", F.transform("w.signal", lambda v: N.rounded(v.cast("double"), 5) + 0.0).alias("x"), "w.error")
 
 
 # names, sizes, labels
@@ -746,7 +746,7 @@ def _(s, d):
 @query("size_metrics", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, round(octet_length(encode(text)) / 1024, 6) AS kb, round(octet_length(encode(text)) / 1048576, 6) AS mb FROM documents")
 def _(s, d):
     t = T.read(s, d, "documents").select("doc_id", N.size_metrics(F.col("text").cast("binary")).alias("m"))
-    return t.select("doc_id", "m.bytes", F.round("m.kb", 6).alias("kb"), F.round("m.mb", 6).alias("mb"))
+    return t.select("doc_id", "m.bytes", N.rounded("m.kb", 6).alias("kb"), N.rounded("m.mb", 6).alias("mb"))
 
 
 @query("hex_dump", "SELECT item_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: '0x' || x), ' ') AS dump FROM benchmark")
@@ -758,7 +758,7 @@ def _(s, d):
 def _(s, d):
     low, high, _ = PARAMETERS["bits"]
     b = s.range(int(low), int(high) + 1).select(F.col("id").cast("int").alias("bits"))
-    step = F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda x: F.round(x * 0.05, 2)))
+    step = F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda x: N.rounded(x * 0.05, 2)))
     return b.select("bits", step.alias("delta_step")).select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("sampling_factor"))
 
 
@@ -807,7 +807,7 @@ def _(s, d):
 
 @query("sim_sine", "SELECT CAST(i AS INTEGER) AS n, round(sin(i * (2 * 3.141592653589793 / 49)), 5) + 0.0 AS x FROM range(50) t(i)")
 def _(s, d):
-    return simulate.sine(s).select("n", (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x"))
+    return simulate.sine(s).select("n", (N.rounded(F.col("x").cast("double"), 5) + 0.0).alias("x"))
 
 
 _SIM_DM = """WITH RECURSIVE g AS ({sig}), r AS (SELECT sig_id, s, 0 AS i, 0::DOUBLE AS y, []::FLOAT[] AS ys FROM g
@@ -831,7 +831,7 @@ def _(s, d):
 @query("sim_sqnr_flags", _SIM_DM + ", e AS (SELECT sig_id, list_max(list_transform(range(1, len(s) + 1), lambda j: abs(s[j] - ys[j])))::DOUBLE AS m FROM z) SELECT sig_id, round(m, 5) AS max_error, m <= 0.1 AS within_delta, m > 0.2 AS slope_overload FROM e")
 def _(s, d):
     w = simulate.waveform(T.signals(s, d), 0.1, 0.9)
-    return w.select("sig_id", F.round("max_error", 5).alias("max_error"), "within_delta", "slope_overload")
+    return w.select("sig_id", N.rounded("max_error", 5).alias("max_error"), "within_delta", "slope_overload")
 
 
 _SINE = "SELECT 0 AS sig_id, list(CAST(sin(i * (2 * 3.141592653589793 / 49)) AS FLOAT) ORDER BY i) AS s FROM range(50) t(i)"
@@ -853,7 +853,7 @@ def _(s, d):
     one = simulate.signal_of(simulate.sine(s))
     out = None
     for delta in (0.01, 0.1, 0.4):
-        w = simulate.waveform(one, delta, 0.9).select(F.lit(delta).alias("delta"), F.round("dm_sqnr", 4).alias("dm_sqnr"), F.round("dpcm_sqnr", 4).alias("dpcm_sqnr"), F.round("max_error", 4).alias("max_error"), "within_delta", "slope_overload")
+        w = simulate.waveform(one, delta, 0.9).select(F.lit(delta).alias("delta"), N.rounded("dm_sqnr", 4).alias("dm_sqnr"), N.rounded("dpcm_sqnr", 4).alias("dpcm_sqnr"), N.rounded("max_error", 4).alias("max_error"), "within_delta", "slope_overload")
         out = w if out is None else out.unionByName(w)
     return out
 
@@ -866,7 +866,7 @@ def _(s, d):
 
 @query("sim_sqnr", _SIM_DM + f"SELECT sig_id, round({_SIM_SQNR.format(y='ys')}, 4) AS sqnr FROM z")
 def _(s, d):
-    return simulate.waveform(T.signals(s, d), 0.1, 0.9).select("sig_id", F.round("dm_sqnr", 4).alias("sqnr"))
+    return simulate.waveform(T.signals(s, d), 0.1, 0.9).select("sig_id", N.rounded("dm_sqnr", 4).alias("sqnr"))
 
 
 # streams

@@ -171,8 +171,8 @@ def test_lz78_stream_calls_the_state_a_few_times_a_key(monkeypatch):
     assert sum(s.calls for s in made) <= 30
 
 
-def test_numbers_in_print_equal_sql(spark):
-    """Values beside a half: the binary value decides, as in C."""
+def test_numbers_in_print_and_rounded_equal_sql(spark):
+    """Values beside a half: the binary value decides, as in C; the sign of zero stays."""
     import numpy as np
 
     from bitloom.functions import names as N
@@ -182,7 +182,7 @@ def test_numbers_in_print_equal_sql(spark):
     near = np.concatenate([(r.integers(0, 10**6, 300) + 0.5) / 10**4, (r.integers(0, 10**9, 300) + 0.5) / 10**5, r.normal(0, 100, 100), [0.0, -0.0, -1e-6, 0.99996, 9999.99995, 2.0**40 + 0.00005, 1e-20, 0.125, 0.375, 1.00625]])
     x = np.concatenate([near, -near, np.nextafter(near, np.inf)]).tolist()
     con = duckdb.connect()
-    want = con.execute("SELECT i, printf('%.4f×', x), printf('%+.2f%% y', x) FROM (SELECT unnest($1) AS x, generate_subscripts($1, 1) AS i) ORDER BY i", [x]).fetchall()
+    want = con.execute("SELECT i, printf('%.4f×', x), printf('%+.2f%% y', x), round(x, 5), round(x, 4) FROM (SELECT unnest($1) AS x, generate_subscripts($1, 1) AS i) ORDER BY i", [x]).fetchall()
     v = F.col("x")
-    got = spark.createDataFrame([*enumerate(x, 1)], "i int, x double").select("i", N.fixed(v, 4, "%.{n}f×"), N.fixed(v, 2, "%+.{n}f%% y")).orderBy("i").collect()
+    got = spark.createDataFrame([*enumerate(x, 1)], "i int, x double").select("i", N.fixed(v, 4, "%.{n}f×"), N.fixed(v, 2, "%+.{n}f%% y"), N.rounded(v, 5), N.rounded("x", 4)).orderBy("i").collect()
     assert [repr(tuple(g)) for g in got] == [repr(w) for w in want]
