@@ -55,9 +55,10 @@ def value_range(signal: Column) -> Column:
 
 def pcm_indices(signal: Column, bits: int, k: int = 1) -> Column:
     """Level of each kept sample."""
-    x = downsample(signal, k)
-    r = value_range(x)
-    return F.transform(x, lambda v: quantize(v, 1 << bits, r["low"], r["high"]))
+    x = signal if k == 1 else downsample(signal, k)
+    # signal and range are bound by arrays of one: named inside the map they would be worked out again for every sample
+    ranged = F.transform(F.array(x), lambda y: F.struct(y.alias("y"), value_range(y).alias("r")))
+    return F.transform(ranged, lambda b: F.transform(b["y"], lambda v: quantize(v, 1 << bits, b["r"]["low"], b["r"]["high"])))[0]
 
 
 def pcm_values(indices: Column, bits: int, low: Column, high: Column) -> Column:
