@@ -1,15 +1,17 @@
 """Arrow kernels as column functions, and their names in SQL.
 
-A kernel takes whole Arrow batches; a blob that the format doesn't allow gives an error text beside a null result
+A kernel takes Arrow batches; those on blobs hold and return about PART bytes of a batch at a time. A blob that the format doesn't allow gives an error text beside a null result
 instead of failing the job. ``strict=True`` raises.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,6 @@ _TEXT, _BIN, _INT, _LONG, _SHORT = T.StringType(), T.BinaryType(), T.IntegerType
 ENCODED = struct(payload=_BIN, padding_bits=_INT, error=_TEXT)
 DECODED = struct(content=_BIN, error=_TEXT)
 SIGNAL = struct(signal=T.ArrayType(T.FloatType()), error=_TEXT)
-TOKENS = T.ArrayType(struct(idx=_LONG, ch=_SHORT))
 
 
 def _each(kernel, columns, out: list[str], strict: bool = False) -> pd.DataFrame:
@@ -53,37 +54,109 @@ def _each(kernel, columns, out: list[str], strict: bool = False) -> pd.DataFrame
     return frame
 
 
-def encoder(algorithm: int, strict: bool = False):
-    @pandas_udf(ENCODED)
-    def encode(content: pd.Series) -> pd.DataFrame:
-        return _each(lambda b: K.compress(b, algorithm), [content], ["payload", "padding_bits"], strict)
+#: Bytes of blobs, and rows, that a kernel works on at a time.
+PART, PART_ROWS = 1 << 20, 256
+
+
+def _parts(columns: tuple[pa.Array, ...]) -> Iterator[list[pa.Array]]:
+    """One Arrow batch in slices; the first column has the blobs."""
+    blobs = columns[0]
+    n = np.asarray(pc.fill_null(pc.binary_length(blobs), 0), np.int64)
+    group = (np.cumsum(n) - n) // PART
+    cuts = {0, len(blobs), *range(0, len(blobs), PART_ROWS), *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist()}
+    at = sorted(cuts)
+    for i, j in zip(at, at[1:], strict=False):
+        yield [c.slice(i, j - i) for c in columns]
+
+
+def on_blobs(part: Callable[..., pa.Array], returns: T.DataType):
+    """A column function from one on slices of columns."""
+
+    def run(batches):
+        for columns in batches:
+            for x in _parts(columns if isinstance(columns, tuple) else (columns,)):
+                yield part(*x)
+
+    return F.arrow_udf(run, returns, F.ArrowUDFType.SCALAR_ITER)
 
-    return encode
+
+def on_each(kernel: Callable[..., tuple], returns: T.StructType, strict: bool = False):
+    """A column function from a kernel on the values of one row that gives all fields but the last, the error of a blob that the format
+    does not allow."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, names, nothing = to_arrow_type(returns), returns.names, [None] * (len(returns) - 1)
+
+    def part(*columns: pa.Array) -> pa.Array:
+        rows = []
+        for args in zip(*(c.to_pylist() for c in columns), strict=True):
+            try:
+                rows.append(dict(zip(names, (*kernel(*args), None), strict=True)))
+            except K.CodecError as e:
+                if strict:
+                    raise
+                rows.append(dict(zip(names, (*nothing, str(e)), strict=True)))
+        return pa.array(rows, kind)
+
+    return on_blobs(part, returns)
+
+
+def encoder(algorithm: int, strict: bool = False):
+    return on_each(lambda b: (None, None) if b is None else K.compress(b, algorithm), ENCODED, strict)
 
 
 def decoder(algorithm: int, strict: bool = False):
-    @pandas_udf(DECODED)
-    def decode(payload: pd.Series, padding: pd.Series) -> pd.DataFrame:
-        return _each(lambda b, p: K.decompress(b, algorithm, int(p)), [payload, padding], ["content"], strict)
+    return on_each(lambda b, p: (None,) if b is None or p is None else (K.decompress(b, algorithm, p),), DECODED, strict)
 
-    return decode
 
+def _known(algorithm: int | None) -> int:
+    if algorithm not in K.ENCODERS:
+        raise K.CodecError(f"no byte codec {'null' if algorithm is None else algorithm}")
+    return algorithm
 
-@pandas_udf(T.ArrayType(_LONG))
-def histogram(content: pd.Series) -> pd.Series:
-    """Counts of the 256 byte values."""
-    return pd.Series([None if b is None else K.histogram(b) for b in content])
 
+def any_encoder():
+    """Of (content, algorithm): each row by the codec that it names."""
+    return on_each(lambda b, a: K.compress(b, a) if _known(a) and b is not None else (None, None), ENCODED)
 
-@pandas_udf(T.ArrayType(struct(sym=_SHORT, code=_TEXT)))
-def code_table(content: pd.Series) -> pd.Series:
-    """Huffman code of each byte value that occurs."""
-    return pd.Series([None if b is None else [{"sym": s, "code": c} for s, c in sorted(K.huffman_codes(K.counts_of(b)).items())] for b in content])
 
+def any_decoder():
+    """Of (payload, algorithm, padding)."""
+    return on_each(lambda b, a, p: (K.decompress(b, a, p),) if _known(a) and b is not None and p is not None else (None,), DECODED)
 
-@pandas_udf(TOKENS)
-def lz78_tokens(content: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else [{"idx": i, "ch": c} for i, c in K.lz78_tokens(b)] for b in content])
+
+def _counts(content: pa.Array) -> pa.Array:
+    blobs = content.to_pylist()
+    held = [K.histogram(b) for b in blobs if b is not None]
+    ends = np.cumsum([0, *(256 * (b is not None) for b in blobs)]).astype(np.int32)
+    values = pa.array(np.concatenate(held) if held else np.empty(0, np.int64), pa.int64())
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([b is None for b in blobs]))
+
+
+#: Counts of the 256 byte values.
+histogram = on_blobs(_counts, T.ArrayType(_LONG))
+
+
+def _listed(kernel: Callable[[bytes], list[dict]], element: T.StructType):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(T.ArrayType(element))
+    return on_blobs(lambda c: pa.array([None if b is None else kernel(b) for b in c.to_pylist()], kind), T.ArrayType(element))
+
+
+#: Huffman code of each byte value that occurs.
+code_table = _listed(lambda b: [{"sym": s, "code": c} for s, c in sorted(K.huffman_codes(K.counts_of(b)).items())], struct(sym=_SHORT, code=_TEXT))
+lz78_tokens = _listed(lambda b: [{"idx": i, "ch": c} for i, c in K.lz78_tokens(b)], struct(idx=_LONG, ch=_SHORT))
+
+
+def _sizes(b: bytes) -> list[dict]:
+    phrases = K.lz78_encode(b)
+    coded = {1: K.huffman_encode(b), 2: phrases, 3: K.huffman_encode(phrases[0])}
+    return [{"algorithm_id": a, "payload_bytes": len(p), "padding_bits": pad} for a, (p, pad) in coded.items()]
+
+
+#: Payload size and padding of a blob under each byte codec, the chained one from the LZ78 payload at hand.
+coded_sizes = _listed(_sizes, struct(algorithm_id=_INT, payload_bytes=_LONG, padding_bits=_INT))
 
 
 def audio_encoder(algorithm: int, strict: bool = False, **params):
@@ -138,18 +211,6 @@ def rgb_pixels(data: pd.Series, h: pd.Series, w: pd.Series, channels: pd.Series)
     return _each(K.bgr_to_rgb, [data, h, w, channels], ["pixels"])
 
 
-@pandas_udf(T.ArrayType(struct(algorithm_id=_INT, payload_bytes=_LONG, padding_bits=_INT)))
-def coded_sizes(content: pd.Series) -> pd.Series:
-    """Payload size and padding of a blob under each byte codec, the chained one from the LZ78 payload at hand."""
-
-    def sizes(b: bytes) -> list[dict]:
-        phrases = K.lz78_encode(b)
-        coded = {1: K.huffman_encode(b), 2: phrases, 3: K.huffman_encode(phrases[0])}
-        return [{"algorithm_id": a, "payload_bytes": len(p), "padding_bits": pad} for a, (p, pad) in coded.items()]
-
-    return pd.Series([None if b is None else sizes(b) for b in content])
-
-
 @udtf(returnType=struct(k=_INT, idx=_LONG, ch=_SHORT))
 class Lz78Tokens:
     """Tokens of one blob as rows: SELECT * FROM t, LATERAL lz78_token_rows(content)."""
