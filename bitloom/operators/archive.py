@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import header as H
 from bitloom.functions import names as N
 from bitloom.functions.constants import ADM, AUDIO, BINARY_FILE, BYTE_ALGORITHMS, DM, DPCM, PCM, PICTURE, RLE_QUANT
-from bitloom.functions.udfs import DECODED, decoder, image_decoder
+from bitloom.functions.udfs import DECODED, on_each
 from bitloom.operators import kernels as K
 from bitloom.sources.media import wav_bytes
 
@@ -58,37 +57,22 @@ def _widen(h):
     return F.struct(*(h[c].alias(c) for c in ("file_type", "algorithm_id", "padding_bits", "extension", "total_size")), *(F.lit(None).cast(t).alias(c) for c, t in extra.items()), h["error"].alias("error"))
 
 
-@F.pandas_udf(DECODED)
-def _waves(payload: pd.Series, h: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for b, p, a, sf, bits, d, al, n, rate in zip(payload, *(h[c] for c in h.columns), strict=True):
-        try:
-            out.append((wav_bytes(K.audio_decode(b, p, a, n, sf, bits, d, alpha=al), rate), None))
-        except K.CodecError as e:
-            out.append((None, str(e)))
-    return pd.DataFrame(out, columns=["content", "error"])
-
-
-def restore(archives: DataFrame, content: str = "archive", name: str = "name") -> DataFrame:
-    """Every archive through its own decoder: archives with kind, restored (bytes; pictures as PNG, waveforms as WAV), restored_name and
-    error. Rows are split by decoder so that each kernel runs on its own rows only."""
-    read = status(archives, content).withColumn("payload", F.expr(f"substring({content}, header_bytes + 1)"))
-    keep = [*archives.columns, "kind", "extension", "algorithm", "restored", "error"]
-    parts = []
-    for a in BYTE_ALGORITHMS:
-        x = read.where((F.col("kind") == "bytes") & (F.col("algorithm_id") == a)).withColumn("d", decoder(a)("payload", "padding_bits"))
-        parts.append(x.select(*keep[:-2], F.col("d.content").alias("restored"), F.col("d.error").alias("error")))
-    x = read.where(F.col("kind") == "image").withColumn("d", image_decoder("payload"))
-    parts.append(x.select(*keep[:-2], F.col("d.png").alias("restored"), F.col("d.error").alias("error")))
-
-    x = read.where((F.col("kind") == "audio") & F.col("algorithm_id").isin(PCM, DM, ADM, DPCM))
-    x = x.withColumn("d", _waves("payload", F.struct("padding_bits", "algorithm_id", "sampling_factor", "bits", "delta_step", "alpha", "original_length", "sample_rate")))
-    parts.append(x.select(*keep[:-2], F.col("d.content").alias("restored"), F.col("d.error").alias("error")))
-    done = F.col("header_error").isNull() & (((F.col("kind") == "bytes") & F.col("algorithm_id").isin(*BYTE_ALGORITHMS)) | (F.col("kind") == "image") | ((F.col("kind") == "audio") & F.col("algorithm_id").isin(PCM, DM, ADM, DPCM)))
-    parts.append(read.where(~F.coalesce(done, F.lit(False))).select(*keep[:-2], F.lit(None).cast("binary").alias("restored"), F.coalesce("header_error", F.lit("no decoder")).alias("error")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def _restored(b, header_error, kind, a, padding, factor, bits, delta, alpha, n, rate) -> tuple[bytes | None]:
+    if header_error is None and kind == "bytes" and a in BYTE_ALGORITHMS:
+        return (None if b is None else K.decompress(b, a, padding),)
+    if header_error is None and kind == "image":
+        return (None if b is None else K.png(K.image_decode(b)),)
+    if header_error is None and kind == "audio" and a in (PCM, DM, ADM, DPCM):
+        return (None if b is None else wav_bytes(K.audio_decode(b, padding, a, n, factor, bits, delta, alpha=alpha), rate),)
+    raise K.CodecError(header_error or "no decoder")
+
+
+def restore(archives: DataFrame, content: str = "archive", name: str = "name", also: tuple[str, ...] = ()) -> DataFrame:
+    """Every archive through its own decoder: archives with kind, restored (bytes; pictures as PNG, waveforms as WAV), error, the columns of
+    the status record in also, and restored_name. One pass: the kernel takes the decoder that a row's header names."""
+    read = status(archives, content).withColumn("__p", F.expr(f"substring({content}, header_bytes + 1)"))
+    given = ("header_error", "kind", "algorithm_id", "padding_bits", "sampling_factor", "bits", "delta_step", "alpha", "original_length", "sample_rate")
+    out = read.withColumn("__d", on_each(_restored, DECODED)("__p", *given))
+    kept = [*archives.columns, "kind", "extension", "algorithm", *also]
+    out = out.select(*kept, F.col("__d.content").alias("restored"), F.col("__d.error").alias("error"))
     return out.withColumn("restored_name", F.when(F.col("error").isNull(), N.restored_name(F.col(name), F.col("kind"), F.col("extension"))))
-
-

@@ -340,8 +340,7 @@ def _(s, d):
 def _(s, d):
     b = T.blobs(s, d).select("blob_id", "name", "content")
     a = archive.pack(lossless.encode(b, LZ78), LZ78).select("blob_id", F.concat(N.stem(F.col("name")), F.lit(".abc")).alias("name"), "archive")
-    st = archive.status(a).select("blob_id", "file_type_label", "header_bytes")
-    return archive.restore(a).join(st, "blob_id").select("blob_id", "kind", "algorithm", "file_type_label", "extension", "header_bytes", F.md5("restored").alias("digest"), "restored_name")
+    return archive.restore(a, also=("file_type_label", "header_bytes")).select("blob_id", "kind", "algorithm", "file_type_label", "extension", "header_bytes", F.md5("restored").alias("digest"), "restored_name")
 
 
 @query("archive_internals", _LZ_HEX + """SELECT item_id AS blob_id, '0x02' AS algorithm, 'Binary File / PDF' AS file_type, 11 AS header_bytes, CAST(length(payload) // 2 AS BIGINT) AS payload_bytes,

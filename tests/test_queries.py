@@ -186,3 +186,35 @@ def test_numbers_in_print_and_rounded_equal_sql(spark):
     v = F.col("x")
     got = spark.createDataFrame([*enumerate(x, 1)], "i int, x double").select("i", N.fixed(v, 4, "%.{n}f×"), N.fixed(v, 2, "%+.{n}f%% y"), N.rounded(v, 5), N.rounded("x", 4)).orderBy("i").collect()
     assert [repr(tuple(g)) for g in got] == [repr(w) for w in want]
+
+
+@pytest.mark.parametrize("name, kernels", [("codec_report", 2), ("byte_histogram", 1), ("codec_router", 2), ("archive_status", 2)])
+def test_kernels_run_once(spark, name, kernels):
+    """No kernel stands in a plan a second time, below an inferred filter or in another branch, and nothing is joined."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == kernels and "Join" not in plan
+
+
+def test_kernels_take_a_batch_in_parts():
+    import pyarrow as pa
+
+    from bitloom.functions import udfs
+
+    blobs = pa.array([b"a" * 700_000, None, b"b" * 700_000, b"c" * 3_000_000, b"", *[b"d"] * 600])
+    parts = [p.to_pylist() for (p,) in udfs._parts((blobs,))]
+    assert [b for p in parts for b in p] == blobs.to_pylist()
+    assert max(map(len, parts)) <= udfs.PART_ROWS and all(len(p) == 1 or sum(len(b or b"") for b in p[:-1]) <= udfs.PART for p in parts)
+
+
+def test_what_is_bound_once_is_named_once(spark):
+    """The range of a signal and the total of counts stand once, not in the body of the map or fold that reads them."""
+    from bitloom.operators import audio, lossless
+    from pyspark.sql import functions as F
+
+    t = spark.createDataFrame([([0.0, 1.0, 0.5], [1, 3, 0])], "x array<float>, h array<bigint>")
+    q = t.select(audio.pcm_indices(F.col("x"), 3).alias("k"), audio.pcm_indices(F.col("x").cast("array<float>"), 1, 2).alias("d"), lossless.entropy(F.col("h")).alias("e"))
+    assert tuple(q.first()) == ([0, 7, 4], [0, 1], pytest.approx(0.8112781244591328))
+    plan = t.select(audio.pcm_indices(F.col("x"), 3))._jdf.queryExecution().optimizedPlan().toString()
+    # every mention of the smallest sample is inside the one binding struct
+    assert "array_min(x#" not in plan
+    assert spark.createDataFrame([(None, None)], "x array<float>, h array<bigint>").select(audio.pcm_indices(F.col("x"), 3).alias("k")).first().k is None
