@@ -718,3 +718,21 @@ def test_oracles(spark):
         want = con.execute(sql)
         names = [d[0] for d in want.description]
         assert sorted(map(str, df.select(*names).collect())) == sorted(str(r) for r in spark.createDataFrame(want.fetchall(), df.select(*names).schema).collect())
+
+
+def test_chat_loss_is_read_under_the_mask(spark, monkeypatch):
+    """The spans decide what the loss columns hold, and characters beyond the first plane keep their place."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from bitloom.llm import chat
+
+    rows = [(1, 0, "user", "hé 😀"), (1, 1, "assistant", "ab\\c 😀<|im_end|>"), (1, 2, "user", ""), (1, 3, "assistant", "last 中")]
+    t = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    said = rows[1][3] + rows[3][3]
+    got = chat.op3(spark, t).where("conv_id = 1").first()
+    assert (got.loss_chars, got.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    whole = chat.format_turns
+    monkeypatch.setattr(chat, "format_turns", lambda x: whole(x).withColumn("loss_spans", F.slice("loss_spans", 2, 1)))
+    assert chat.op3(spark, t).where("conv_id = 1").first().loss_chars == len(rows[3][3])
