@@ -13,6 +13,8 @@ method allows; empty tables give empty results; columns beside the named ones ar
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.75
-#: Tokens of a URL that are mined, its host's labels and then the first path segments: it bounds the mined sets (2^n). Rules are matched with all tokens.
-MINED_TOKENS = 12
+#: Mined sets are 2^n of a URL's n tokens. Where URLs have more than so many, tokens that can stand in no rule are left out of them and
+#: tokens that always stand together are named as one; neither changes a confidence.
+LONG = 12
 MAX_RULES_BROADCAST = 50_000
 SALT = 32
 BAD = "label:bad"
@@ -46,11 +49,58 @@ def tokens(host: Column, path: Column) -> Column:
     ))
 
 
+def _needed(items: DataFrame, min_support: float) -> int:
+    return max(1, math.ceil(min_support * items.count()))
+
+
+def _often(items: DataFrame, needed: int) -> dict[str, int]:
+    """Tokens of long URLs that enough bad pages have, with the number of pages that have them: mean tokens by 1 / min_support at most."""
+    seen = items.where(F.size("tokens") > LONG).select(F.explode("tokens").alias("token")).distinct()
+    each = items.select(F.explode("tokens").alias("token"), "bad").join(seen, "token", "left_semi").groupBy("token")
+    n = each.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("b")).where(F.col("b") >= needed)
+    return {r.token: r.n for r in n.collect()}
+
+
+def _listed(tokens: list[str]) -> Column:
+    return F.array(*map(F.lit, tokens)).cast("array<string>")
+
+
+def labelled(urls: DataFrame) -> DataFrame:
+    return urls.where(F.col("bad").isNotNull() & (F.size("tokens") > 0))
+
+
+def together(urls: DataFrame, min_support: float = MIN_SUPPORT) -> dict[str, str]:
+    """Token -> the first of the tokens that stand in the same labelled URLs, all of them; empty without long URLs. A set has the same
+    counts with either, so a rule holds for both."""
+    items = labelled(urls)
+    if items.where(F.size("tokens") > LONG).isEmpty():
+        return {}
+    often = _often(items, _needed(items, min_support))
+    kept = items.select(F.array_sort(F.array_intersect("tokens", _listed([*often]))).alias("t")).where(F.size("t") > 1)
+    pair = kept.select("t", F.explode("t").alias("first")).select("first", F.explode(F.filter("t", lambda x: x > F.col("first"))).alias("second"))
+    pairs = pair.groupBy("first", "second").count().collect()
+    out: dict[str, str] = {}
+    for r in pairs:
+        if r["count"] == often[r.first] == often[r.second]:
+            out[r.second] = min(r.first, out.get(r.second, r.first))
+    return out
+
+
+def named(tokens: Column, same: dict[str, str]) -> Column:
+    """Tokens with those that always stand together under one name."""
+    if not same:
+        return tokens
+    names = F.create_map(*(F.lit(x) for pair in same.items() for x in pair))
+    return F.array_distinct(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(names, t), t)))
+
+
 def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """antecedent (tokens), confidence, support of the rules that end in a bad label. urls: tokens, bad (boolean)."""
-    items = urls.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(
-        F.concat(F.slice("tokens", 1, MINED_TOKENS), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
-    )
+    """antecedent (tokens), confidence, support of the rules that end in a bad label, from all tokens. urls: tokens, bad (boolean)."""
+    items, tokens = labelled(urls), F.col("tokens")
+    if not items.where(F.size("tokens") > LONG).isEmpty():
+        often = _often(items, _needed(items, min_support))
+        tokens = F.when(F.size("tokens") > LONG, F.array_intersect("tokens", _listed([*often]))).otherwise(tokens)
+    items = items.select(F.concat(tokens, F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     schema = "antecedent array<string>, confidence double, support double"
     if items.isEmpty():
         return urls.sparkSession.createDataFrame([], schema)
@@ -102,7 +152,9 @@ def op4(pages: DataFrame, labels: DataFrame) -> DataFrame:
     read = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     read = read.withColumn("tokens", tokens(F.col("host"), F.col("path"))).withColumn("s", stated(F.col("host"), F.col("path")))
     said = labels.groupBy("doc_id").agg(F.max((F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)).alias("bad"))
-    known = read.join(said, read.page_id == said.doc_id, "left").select("page_id", "tokens", "bad")
+    bad = lambda pages: pages.join(said, pages.page_id == said.doc_id, "left").select("page_id", "tokens", "bad")
+    read = read.withColumn("tokens", named(F.col("tokens"), together(bad(read))))
+    known = bad(read)
     rules_index = index(mine(known), read)
     # token sets, not pages, are matched: urls repeat, and so do page ids
     hits = match(read.select("tokens", F.col("tokens").alias("met")).distinct(), rules_index, "met")

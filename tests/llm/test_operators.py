@@ -736,3 +736,20 @@ def test_chat_loss_is_read_under_the_mask(spark, monkeypatch):
     whole = chat.format_turns
     monkeypatch.setattr(chat, "format_turns", lambda x: whole(x).withColumn("loss_spans", F.slice("loss_spans", 2, 1)))
     assert chat.op3(spark, t).where("conv_id = 1").first().loss_chars == len(rows[3][3])
+
+
+def test_url_rules_come_from_all_tokens(spark):
+    """Only the last of many segments tells bad pages; a long URL that repeats has one name for what always stands together."""
+    from bitloom.llm import url_filter
+
+    seg = "/".join(f"s{chr(97 + k)}" for k in range(13))
+    rows = [(k, f"http://h.net/{seg}/{'ill' if k % 2 else 'well'}") for k in range(12)]
+    fixed = "/".join(f"r{chr(97 + k)}" for k in range(26))
+    rows += [(100 + k, f"http://x.net/{fixed}/{fixed.upper()}") for k in range(6)]
+    rows += [(201, "http://y.net/ill"), (202, "http://y.net/well"), (203, "http://y.net/rz"), (204, "http://y.net/sa")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(p, 1, int(p % 2 if p < 100 else 1)) for p, _ in rows if p < 200], "doc_id bigint, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.confidence) for r in url_filter.op4(pages, labels).collect()}
+    assert {got[k] for k in range(0, 12, 2)} == {("allow", None)} and {got[k] for k in range(1, 12, 2)} == {("block", 1.0)}
+    assert got[201] == ("block", 1.0) and got[202] == ("allow", None) and got[203] == ("block", 1.0) and got[204] == ("allow", None)
+    assert {got[100 + k] for k in range(6)} == {("block", 1.0)}
