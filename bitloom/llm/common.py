@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,22 @@ def partitions_for(spark: SparkSession, n_bytes: int | None, each: int) -> int:
     return max(shuffle_partitions(spark), -(-(n_bytes or 0) // each))
 
 
+#: Bits of a filter for each id, bits of a Spark bitmap, and most bits of a filter (32 MB). With more ids it lets more others through, and that is all.
+BITS_EACH, BITMAP, MOST_BITS = 16, 1 << 15, 1 << 28
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id (bigint) is one of ids, and a few others: what a join by id has to shuffle of rows. The filter is a bitmap of
+    hashed ids, which is broadcast."""
+    bits = min(max(BITMAP, 1 << (BITS_EACH * ids.count()).bit_length()), MOST_BITS)
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    bucket, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    marks = ids.select(bucket.alias("_bucket"), at.alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(marks), (bucket == F.col("_bucket")) & marked, "left_semi")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that clashes with none in df, whatever its case."""
     taken = {c.lower() for c in df.columns}

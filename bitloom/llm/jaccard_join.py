@@ -11,7 +11,9 @@ similarity is left out by bounds that follow from set sizes alone. Nothing is es
    can reach t / (1 + t) of the two sizes. Columns with more than ``DENSE`` rows aren't multiplied out: their rows
    are chained, which keeps every pair connected and makes one edge per row. Map tasks chain dense columns of
    their own batch already, so a shingle of a third of all documents never meets in one place.
-3. Candidate pairs are counted exactly with whole sets, by the smaller id. Components of the chains are cut into homes, by
+3. Each set has a bitmap of one to two bits a shingle. A bit that only one of two sets has stands for a shingle at least that the other lacks,
+   so pairs whose bitmaps leave too small an overlap go. The other candidate pairs are counted exactly with whole sets, by the smaller id. Of the
+   texts only those that are asked for are shuffled, whatever the size of the table. Components of the chains are cut into homes, by
    size (sets in a ratio of t or more are in the same band or the next). Only pairs that no links connect so far have to be
    counted: while a home has more than ``BLOCK`` shingles outside its largest connected part, a pivot from there is counted
    exactly with all of the home, in parts of about BLOCK shingles (``PIVOTS`` at once, ``ROUNDS`` times at most; one group of near copies is
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import partitions_for, shuffle_partitions, staged
+from bitloom.llm.common import among, partitions_for, shuffle_partitions, staged
 from bitloom.llm.graph import components
 from bitloom.llm.packed import by_part, mix64, pieces, starts_to_ranges, text_bytes, tidy
 
@@ -131,6 +133,36 @@ def prefix_length(n: int, rate: Rate = (NUM, DEN)) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The low bits of the shingles as places in a bitmap, whose length is a power of two of at least their number."""
+    marks = np.zeros(max(64, 1 << (len(s) - 1).bit_length()), bool)
+    marks[(s & np.uint64(len(marks) - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def may_link(n_a: int, n_b: int, bits_a: bytes, bits_b: bytes, rate: Rate = (NUM, DEN)) -> bool:
+    """False if the bitmaps of two sets rule a link out."""
+    a, b = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
+    if len(a) != len(b):  # folding the longer one gives what it would be at the other's length
+        size = min(len(a), len(b))
+        a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    only_a, only_b = int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum())
+    return min(n_a - only_a, n_b - only_b) >= needed(n_a, n_b, rate)
+
+
+def _may_link(rate: Rate):
+    """a, b of the pairs that their bitmaps don't rule out."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_a, n_b = b.column("n_a").to_pylist(), b.column("n_b").to_pylist()
+            keep = [may_link(x, y, s.as_buffer(), t.as_buffer(), rate) for x, y, s, t in zip(n_a, n_b, b.column("bits_a"), b.column("bits_b"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _common(words: int):
     """Shingles that many documents of a batch have."""
 
@@ -156,26 +188,27 @@ def common_shingles(rows: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def _sketch(common, words: int, rate: Rate):
-    """Size, fingerprint and the posted part of each set: its first shingles in the order, the common ones last."""
+    """Size, fingerprint, bitmap and the posted part of each set: its first shingles in the order, the common ones last."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = common.value
         for b in batches:
             data, offsets = text_bytes(b.column(1))
-            n, sums, mixes, prefixes = [], [], [], []
+            n, sums, mixes, prefixes, bits = [], [], [], [], []
             for i, j in pieces(offsets):
                 for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words):
                     n.append(len(s))
                     sums.append(int(s.sum(dtype=np.uint64)) if len(s) else 0)
                     mixes.append(int(mix64(s ^ np.uint64(_BASE)).sum(dtype=np.uint64)) if len(s) else 0)
+                    bits.append(bitmap(s) if len(s) else b"")
                     if len(late) and len(s):
                         is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                         s = np.concatenate([s[~is_late], s[is_late]])
                     prefixes.append(s[: prefix_length(len(s), rate)].tobytes())
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(n, pa.int32()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(mixes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()),
-            ], ["id", "n", "fp1", "fp2", "prefix"])
+                b.column(0), pa.array(n, pa.int32()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(mixes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary()),
+            ], ["id", "n", "fp1", "fp2", "prefix", "bits"])
 
     return run
 
@@ -308,6 +341,14 @@ def candidates(classes: DataFrame, partitions: int, parts: int, rate: Rate = (NU
     return whole.where(dense | (most * sum(rate) >= rate[0] * (F.col("na") + F.col("nb")))).select("a", "b", dense.alias("dense"))
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, rate: Rate = (NUM, DEN)) -> DataFrame:
+    """The pairs (a, b) that the bitmaps of their sets (id, n, bits) don't rule out. An id may have several sets."""
+    known = among(sketches, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    for c in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_link(rate), "a bigint, b bigint").distinct()
+
+
 def link_block(ids: list[int], sets: list[np.ndarray], labels: list[int], rate: Rate = (NUM, DEN)) -> list[tuple[int, int]]:
     """Links that connect the sets of one block pair; sets with one label are connected already."""
     n = np.array([len(s) for s in sets], np.int64)
@@ -439,7 +480,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     """id, n_shingles, component_id for each row of docs; shingles of so many words, similarity as a fraction (numerator, denominator)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
-    sketches = staged(rows.mapInArrow(_sketch(common, words, rate), "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary"), "sketches")
+    sketches = staged(rows.mapInArrow(_sketch(common, words, rate), "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary, bits binary"), "sketches")
     named = sketches.where("n > 0 and id is not null")
     firsts = named.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("id", "prefix")).alias("m"))
     # a task holds its postings: 25 bytes for each 8 of a prefix
@@ -447,11 +488,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     partitions, parts = (partitions_for(docs.sparkSession, n_bytes, each) for each in (PARTITION_BYTES, PART_BYTES))
     edges = staged(candidates(firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix")), partitions, parts, rate), "candidates")
     reps = staged(named.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
-    verified = lambda keyed, tag: staged(
-        rows.join(keyed, "id").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").select("key", "id", "label", "text").mapInArrow(_verify(words, rate), "a bigint, b bigint"), tag
-    )
+
+    def verified(keyed: DataFrame, tag: str) -> DataFrame:
+        asked = staged(keyed.select("id", "key", "label"), "asked")
+        dealt = among(rows, asked).join(asked, "id").repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+        return staged(dealt.select("key", "id", "label", "text").mapInArrow(_verify(words, rate), "a bigint, b bigint"), tag)
+
     # pairs by themselves: each smaller id with its partners
-    pairs = edges.where("not dense").select("a", "b")
+    pairs = staged(possible(edges.where("not dense").select("a", "b"), named, rate), "pairs")
     star = F.concat(F.lit("star:"), F.col("a").cast("string")).alias("key")
     stars = pairs.select(F.col("b").alias("id"), star).unionByName(pairs.select("a").distinct().select(F.col("a").alias("id"), star))
     links = verified(stars.withColumn("label", F.col("id")), "links")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bitloom.llm import chat, decontam, exact_dedup, html_extract, jaccard_join, langid, sentencepiece_fst, sharding, suffix_dedup, url_filter
+from bitloom.llm import chat, common, decontam, exact_dedup, html_extract, jaccard_join, langid, sentencepiece_fst, sharding, suffix_dedup, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, text_crc32 string, id string, shard int"
@@ -753,3 +753,58 @@ def test_url_rules_come_from_all_tokens(spark):
     assert {got[k] for k in range(0, 12, 2)} == {("allow", None)} and {got[k] for k in range(1, 12, 2)} == {("block", 1.0)}
     assert got[201] == ("block", 1.0) and got[202] == ("allow", None) and got[203] == ("block", 1.0) and got[204] == ("allow", None)
     assert {got[100 + k] for k in range(6)} == {("block", 1.0)}
+
+
+def test_jaccard_bitmaps_rule_out_no_link():
+    rng, ruled_out, far = np.random.default_rng(5), 0, 0
+    for k in range(600):
+        n = int(rng.integers(1, 700))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        kept = a[rng.random(len(a)) > (k % 12) / 20]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 6))).astype(np.uint64)]))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        link = 100 * both >= 85 * (len(a) + len(b) - both)
+        may = jaccard_join.may_link(len(a), len(b), jaccard_join.bitmap(a), jaccard_join.bitmap(b))
+        assert may or not link
+        assert may == jaccard_join.may_link(len(b), len(a), jaccard_join.bitmap(b), jaccard_join.bitmap(a))
+        if 2 * both < len(a) + len(b) - both:
+            far, ruled_out = far + 1, ruled_out + (not may)
+    assert far > 100 and ruled_out > 0.8 * far
+
+
+def test_among(spark):
+    rows = spark.range(-3000, 3000).select(F.when(F.col("id") != 7, F.col("id")).alias("id"), F.lit("x").alias("text"))
+    for ids in ([], [-2999], [*range(-3000, 3000, 50), 1 << 40, -(1 << 62)]):
+        got = [r.id for r in common.among(rows, spark.createDataFrame([(i,) for i in ids], "id bigint")).collect()]
+        assert len(got) == len(set(got)) and set(got) >= {i for i in ids if -3000 <= i < 3000} and len(got) <= len(ids) + 1000
+    assert common.among(rows, rows.where("id between -3000 and 2999").select("id")).where("id is not null").count() == 5999
+
+
+def test_jaccard_join_shuffles_only_texts_that_are_asked_for(spark):
+    """Two in a hundred texts are near copies, but no join is small enough to be broadcast by itself."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(400)) for _ in range(1000)]
+    d = spark.createDataFrame([doc(i, t) for i, t in enumerate([*texts, *(t + " end" for t in texts[:20])])], DOCS)
+
+    def written():
+        store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, None)
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    try:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(k, "-1")
+        before = written()
+        got = {r.doc_id: r.component_id for r in jaccard_join.op6(d).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        largest = max(v for k, v in written().items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known[0])
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        if known[1] is not None:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", known[1])
+    assert got == {i: i if i < 1000 else i - 1000 for i in range(1020)}
+    assert largest < sum(map(len, texts)) / 2
