@@ -4,11 +4,14 @@ The document by shingle incidence matrix is multiplied with its transpose in blo
 similarity is left out by bounds that follow from set sizes alone. Nothing is estimated: every link counts.
 
 1. Documents with equal shingle sets are one class; its smallest id stands for it. Only classes go on.
-2. Shingles are ordered by their hash, but those that map batches met often come last (``HOT`` of them at most; any order
-   is right, this one keeps common passages out of the posted part). Two sets with Jaccard t or more share one of the first n - ceil(t n) + 1
-   shingles of either (size bound), so only those are posted. The product of the posted columns is accumulated
-   per pair; a pair goes on only if its overlap so far plus what is left behind the last shared shingle of both
-   can reach t / (1 + t) of the two sizes. Columns with more than ``DENSE`` rows aren't multiplied out: their rows
+2. Shingles are ordered by their hash, but those that are met often come last (any order is right, this one keeps common passages out of
+   the posted part): first those that map batches met often (``HOT`` of them at most), then, for what single batches can't see, those that
+   more than ``FEW`` classes have among the first shingles of this order (and of those for which that leaves too few, among all),
+   counted over all classes and known to the tasks as a bitmap of hashes. Two sets with Jaccard t or more share one of the first n - ceil(t n) + 1
+   shingles of either (size bound), so only those are posted; each set keeps ``SPARE`` more of them, so that few texts have to be read again
+   for the second order. The product of the posted columns is accumulated
+   per pair; a pair goes on only if the shingles before and behind each shared one, and its overlap so far plus what is left behind the last
+   shared shingle of both can reach t / (1 + t) of the two sizes. Columns with more than ``DENSE`` rows aren't multiplied out: their rows
    are chained, which keeps every pair connected and makes one edge per row. Map tasks chain dense columns of
    their own batch already, so a shingle of a third of all documents never meets in one place.
 3. Each set has a bitmap of one to two bits a shingle. A bit that only one of two sets has stands for a shingle at least that the other lacks,
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import among, partitions_for, shuffle_partitions, staged
+from bitloom.llm.common import BITMAP, BITS_EACH, MOST_BITS, among, partitions_for, shuffle_partitions, staged
 from bitloom.llm.graph import components
 from bitloom.llm.packed import by_part, mix64, pieces, starts_to_ranges, text_bytes, tidy
 
@@ -57,6 +60,10 @@ PIVOTS, ROUNDS = 4, 3
 SALT = 16
 #: Shingles that are put last: a bound on what is broadcast, 8 bytes each.
 HOT = 400_000
+#: A shingle that more classes have among their first ones comes later in the order.
+FEW = 4
+#: Shingles behind the posted part that a set keeps: so many, and a quarter of the posted part.
+SPARE = 8
 #: A batch calls shingles common that two of its documents have or more, the most frequent ones up to this number.
 COMMON_MOST = 20_000
 
@@ -187,32 +194,148 @@ def common_shingles(rows: DataFrame, words: int = WORDS) -> np.ndarray:
     return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _sketch(common, words: int, rate: Rate):
-    """Size, fingerprint, bitmap and the posted part of each set: its first shingles in the order, the common ones last."""
+def kept_length(n: int, rate: Rate = (NUM, DEN)) -> int:
+    p = prefix_length(n, rate)
+    return min(n, p + p // 4 + SPARE) if n else 0
+
+
+def is_marked(marks: bytes | None, s: np.ndarray) -> np.ndarray:
+    """Which of the shingles the bitmap holds; there may be a few others."""
+    if not marks:
+        return np.zeros(len(s), bool)
+    held = np.frombuffer(marks, np.uint8)
+    slot = (s & np.uint64(8 * len(held) - 1)).astype(np.int64)
+    return (held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sketch(common, words: int, rate: Rate, marks=None):
+    """Size, fingerprint, bitmap and the first shingles in the order of each set, the common ones and those of marks last. early: how many
+    of them are neither."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = common.value
+        late, marked = common.value, marks.value if marks else None
         for b in batches:
             data, offsets = text_bytes(b.column(1))
-            n, sums, mixes, prefixes, bits = [], [], [], [], []
+            n, sums, mixes, prefixes, bits, early = [], [], [], [], [], []
             for i, j in pieces(offsets):
                 for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words):
                     n.append(len(s))
                     sums.append(int(s.sum(dtype=np.uint64)) if len(s) else 0)
                     mixes.append(int(mix64(s ^ np.uint64(_BASE)).sum(dtype=np.uint64)) if len(s) else 0)
                     bits.append(bitmap(s) if len(s) else b"")
+                    is_late = is_marked(marked, s)
                     if len(late) and len(s):
-                        is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                        s = np.concatenate([s[~is_late], s[is_late]])
-                    prefixes.append(s[: prefix_length(len(s), rate)].tobytes())
+                        is_late |= late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+                    kept = kept_length(len(s), rate)
+                    early.append(min(kept, len(s) - int(is_late.sum())))
+                    prefixes.append(np.concatenate([s[~is_late], s[is_late]])[:kept].tobytes())
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(n, pa.int32()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(mixes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary()),
-            ], ["id", "n", "fp1", "fp2", "prefix", "bits"])
+                b.column(0), pa.array(n, pa.int32()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(mixes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary()), pa.array(early, pa.int32()),
+            ], ["id", "n", "fp1", "fp2", "prefix", "bits", "early"])
+
+    return run
+
+
+_SKETCH = "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary, bits binary, early int"
+
+
+def _deal(parts: int, words: int = 0):
+    """(part, blob) rows: the low halves of first shingles (prefix), dealt by the high ones. With words those of whole texts."""
+
+    def dealt(token: np.ndarray) -> pa.RecordBatch:
+        part = (token >> np.uint64(32)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        at, low = np.searchsorted(part[order], np.arange(parts + 1)), token[order].astype(np.uint32)
+        full = np.flatnonzero(np.diff(at)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([low[at[p] : at[p + 1]].tobytes() for p in full], pa.binary())], ["part", "blob"])
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_bytes(b.column(0))
+            if not words:
+                yield dealt(np.frombuffer(data.tobytes(), np.uint64))
+                continue
+            for i, j in pieces(offsets):
+                yield dealt(np.concatenate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)))
 
     return run
 
 
+@tidy
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The low halves that a part has more than FEW times."""
+    for held in by_part(batches):
+        low, count = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for b in held for x in b.column(1)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(low[count > FEW].astype(np.int64))], ["low"])
+
+
+def frequent(sets: DataFrame, partitions: int, parts: int, words: int = 0) -> DataFrame:
+    """Low halves of the shingles that more than FEW rows of sets have (see _deal)."""
+    dealt = sets.mapInArrow(_deal(parts, words), "part int, blob binary").repartition(partitions, "part").sortWithinPartitions("part")
+    return staged(dealt.mapInArrow(_frequent, "low bigint"), "frequent")
+
+
+def marks_of(low: DataFrame) -> bytes:
+    """A bitmap of shingles, empty if there are none. It is put together in the cluster and has MOST_BITS bits at most: with more shingles
+    it puts others last too, which is right as well."""
+    n = low.count()
+    if not n:
+        return b""
+    bits = min(max(BITMAP, 1 << (BITS_EACH * n).bit_length()), MOST_BITS)
+    slot = F.col("low").bitwiseAND(bits - 1)
+    pages = low.groupBy(F.shiftright(slot, BITMAP.bit_length() - 1).alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND(BITMAP - 1)).alias("marks")).toArrow()
+    out = np.zeros((bits // BITMAP, BITMAP // 8), np.uint8)
+    for page, marks in zip(pages.column("page").to_pylist(), pages.column("marks").to_pylist(), strict=True):
+        out[page] = np.frombuffer(marks, np.uint8)
+    return out.tobytes()
+
+
+def _choose(marks, rate: Rate):
+    """The posted part of each class under the order in which marks come late; null where the kept shingles don't tell."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prefixes = []
+            for n, early, kept in zip(b.column("n").to_pylist(), b.column("early").to_pylist(), b.column("prefix"), strict=True):
+                s, p = np.frombuffer(kept.as_buffer(), np.uint64), prefix_length(n, rate)
+                late = is_marked(marks.value, s)
+                late[early:] = True
+                if len(s) - int(late.sum()) >= p or len(s) == n:
+                    prefixes.append(np.concatenate([s[~late], np.sort(s[late])])[:p].tobytes())
+                else:
+                    prefixes.append(None)
+            i = b.schema.get_field_index("prefix")
+            yield b.set_column(i, "prefix", pa.array(prefixes, pa.binary())).select(["id", "n", "fp1", "fp2", "prefix"])
+
+    return run
+
+
+def posted(rows: DataFrame, classes: DataFrame, common, partitions: int, parts: int, words: int, rate: Rate) -> DataFrame:
+    """id, n and posted part (prefix) of classes (id, n, fp1, fp2, prefix, early). The texts of those whose kept shingles don't tell are
+    read again: all their shingles are counted, and then their posted part is taken."""
+    share = classes.sparkSession.sparkContext.broadcast
+    kept = classes.select("id", "n", "fp1", "fp2", "prefix", "early")
+    choose = lambda marks: kept.mapInArrow(_choose(marks, rate), "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary")
+    unsure_of = lambda told: staged(told.where("prefix is null").select("id", "n", "fp1", "fp2").distinct(), "unsure")
+    low = frequent(classes.select("prefix"), partitions, parts)
+    marks = share(marks_of(low))
+    told = choose(marks)
+    unsure = unsure_of(told)
+    if unsure.isEmpty():
+        return told.select("id", "n", "prefix")
+    more = frequent(among(rows, unsure).select("text"), partitions, parts, words)
+    marks = share(marks_of(low.unionByName(more)))
+    told = choose(marks)
+    unsure = unsure_of(told)
+    again = among(rows, unsure).mapInArrow(_sketch(common, words, rate, marks), _SKETCH).join(unsure, ["id", "n", "fp1", "fp2"], "left_semi")
+    length = F.expr(f"cast(8 * (n - ({rate[0]}L * n + {rate[1] - 1}L) div {rate[1]}L + 1) as int)")
+    again = again.select("id", "n", F.substring("prefix", F.lit(1), length).alias("prefix"))
+    return told.where("prefix is not null").select("id", "n", "prefix").unionByName(again)
+
+
 def _posting(parts: int):
     """(part, blob) rows: postings sorted by shingle, and chains of the columns that are dense in a batch."""
 
@@ -301,6 +424,10 @@ def _multiply(rate: Rate):
                 right = left + gap
                 ok = n[left].astype(np.int64) * den >= n[right].astype(np.int64) * num
                 ok &= doc[left] != doc[right]
+                left, right = left[ok], right[ok]
+                # other shared shingles are before this one in both sets or behind it in both
+                most = np.minimum(pos[left], pos[right]) + np.minimum(n[left] - pos[left], n[right] - pos[right])
+                ok = most >= needed(n[left].astype(np.int64), n[right].astype(np.int64), rate)
                 found.append(np.stack([left[ok], right[ok]], 1))
             if found and sum(map(len, found)):
                 left, right = np.concatenate(found).T
@@ -480,14 +607,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     """id, n_shingles, component_id for each row of docs; shingles of so many words, similarity as a fraction (numerator, denominator)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
-    sketches = staged(rows.mapInArrow(_sketch(common, words, rate), "id bigint, n int, fp1 bigint, fp2 bigint, prefix binary, bits binary"), "sketches")
+    sketches = staged(rows.mapInArrow(_sketch(common, words, rate), _SKETCH), "sketches")
     named = sketches.where("n > 0 and id is not null")
-    firsts = named.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("id", "prefix")).alias("m"))
+    reps = staged(named.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
+    # a few rows that don't stand for their class may pass: they are linked with the one that does
+    classes = among(named, reps.select(F.col("rep").alias("id")))
     # a task holds its postings: 25 bytes for each 8 of a prefix
     n_bytes = sketches.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0]
     partitions, parts = (partitions_for(docs.sparkSession, n_bytes, each) for each in (PARTITION_BYTES, PART_BYTES))
-    edges = staged(candidates(firsts.select(F.col("m.id").alias("id"), "n", F.col("m.prefix").alias("prefix")), partitions, parts, rate), "candidates")
-    reps = staged(named.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
+    edges = staged(candidates(posted(rows, classes, common, partitions, parts, words, rate), partitions, parts, rate), "candidates")
 
     def verified(keyed: DataFrame, tag: str) -> DataFrame:
         asked = staged(keyed.select("id", "key", "label"), "asked")

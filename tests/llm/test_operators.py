@@ -808,3 +808,35 @@ def test_jaccard_join_shuffles_only_texts_that_are_asked_for(spark):
             spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", known[1])
     assert got == {i: i if i < 1000 else i - 1000 for i in range(1020)}
     assert largest < sum(map(len, texts)) / 2
+
+
+def test_jaccard_join_finds_common_passages_that_no_batch_sees_twice(spark, monkeypatch):
+    """Passages in more documents than a dense column has rows, one document a batch: they chain nobody, and links are found."""
+    rng = random.Random(3)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    short, long = prose(9), prose(45)
+    texts = [prose(40) + short for _ in range(120)] + [prose(15) + long + prose(10) for _ in range(80)]
+    texts += [[*t[:-1], "other"] for t in texts[:200:9]]
+    sets = [{tuple(t[i : i + 4]) for i in range(len(t) - 3)} for t in texts]
+    least = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                least = [least[a] if x == least[b] else x for x in least]
+    assert len(set(least)) < len(least)
+    count, staged = {}, jaccard_join.staged
+
+    def counted(df, tag):
+        out = staged(df, tag)
+        count[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+        got = {r.doc_id: r.component_id for r in jaccard_join.op6(d).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == dict(enumerate(least))
+    assert not count["homes"]
