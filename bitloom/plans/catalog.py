@@ -61,7 +61,7 @@ def entropy_by_lang(s, d):
 
 @query("distinct_symbols", f"SELECT doc_id AS blob_id, octet_length(encode(any_value(text))) AS n_symbols, count(DISTINCT h) AS n_unique FROM (SELECT doc_id, text, {_BYTES} FROM documents) GROUP BY doc_id")
 def _(s, d):
-    return T.blobs(s, d).select("blob_id", F.octet_length("content").cast("long").alias("n_symbols"), F.size(nonzero(histogram("content"))).cast("long").alias("n_unique"))
+    return lossless.distinct_symbols(T.blobs(s, d))
 
 
 _TABLE = f"""WITH c AS (SELECT item_id, h, count(*) AS n FROM (SELECT item_id, {_BYTES} FROM benchmark) GROUP BY ALL) """

@@ -218,3 +218,12 @@ def test_what_is_bound_once_is_named_once(spark):
     # every mention of the smallest sample is inside the one binding struct
     assert "array_min(x#" not in plan
     assert spark.createDataFrame([(None, None)], "x array<float>, h array<bigint>").select(audio.pcm_indices(F.col("x"), 3).alias("k")).first().k is None
+
+
+def test_distinct_symbols_of_empty_texts_and_repeated_ids(spark, tmp_path):
+    texts = [(1, "abca"), (2, ""), (3, None), (4, "ab"), (4, "cd"), (5, "éé\n"), (6, bytes(range(1, 128)).decode()), (6, "x" * 127)]
+    spark.createDataFrame([(i, "en", t) for i, t in texts], "doc_id bigint, lang string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, want = QUERIES["distinct_symbols"](spark, str(tmp_path)), con.execute(ORACLES["distinct_symbols"])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([c[0] for c in want.description], want.fetchall())
