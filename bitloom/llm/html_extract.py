@@ -44,6 +44,8 @@ FILTER_BITS = 1 << 23
 _SLICE = 256
 #: A suffix of the array is posted by many pages if it is common; its group is split so many times in the join.
 _SALT = 16
+#: Covers of so many bytes in memory at most are broadcast.
+_SMALL = 4 << 20
 
 # quoted values are bounded and nothing is read twice, so hostile pages take linear time
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^\"'<>]++|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S)
@@ -249,10 +251,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     repeated = staged(posts.where("lo < hi").select("suffix"), "repeats")
     bits = pages.sparkSession.sparkContext.broadcast(_filter(repeated))
     asked = read.mapInArrow(_look_up(bits), "suffix bigint, page bigint, place int").withColumn("salt", F.pmod("page", F.lit(_SALT)))
-    known = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1)).cast("array<bigint>")))
+    # the planner goes by the size of the file and would broadcast, through the driver, what is _SALT times as much
+    known = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1)).cast("array<bigint>"))).hint("merge")
     # written first, so that where few pages have a cover the pages are not exchanged for them
     covers = staged(asked.join(known, ["suffix", "salt"]).groupBy("page").agg(F.collect_set("place").alias("places")), "covers")
-    return rows.withColumn("key", key).join(covers, F.col("key") == covers.page, "left").select("page_id", "url", "html", "places").mapInArrow(_texts, schema)
+    held = covers.agg(F.sum(64 + 4 * F.size("places"))).first()[0] or 0  # a file of places is far smaller than they are in memory
+    covers = F.broadcast(covers) if held <= _SMALL else covers.hint("merge")
+    return rows.withColumn("key", key).join(covers, F.col("key") == F.col("page"), "left").select("page_id", "url", "html", "places").mapInArrow(_texts, schema)
 
 
 def op2(pages: DataFrame) -> DataFrame:

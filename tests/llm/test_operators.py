@@ -840,3 +840,23 @@ def test_jaccard_join_finds_common_passages_that_no_batch_sees_twice(spark, monk
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == dict(enumerate(least))
     assert not count["homes"]
+
+
+@pytest.mark.parametrize("small", [0, 4 << 20])
+def test_html_extraction_broadcasts_by_size_in_memory(spark, monkeypatch, small):
+    """The salted repeats never go through the driver, whatever the session's threshold, and covers only if they are small."""
+    plans, staged = {}, html_extract.staged
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, tag):
+        plans[tag] = plan(df)
+        return staged(df, tag)
+
+    monkeypatch.setattr(html_extract, "staged", seen)
+    monkeypatch.setattr(html_extract, "_SMALL", small, raising=False)
+    menu = "one two three four five six seven eight nine ten"
+    pages = spark.createDataFrame([(k, "http://a.org/", f"<div>{menu}</div><div>{k} is new</div>") for k in range(3)], "page_id bigint, url string, html string")
+    out = html_extract.op2(pages)
+    assert {(r.page_id, r.text) for r in out.collect()} == {(k, f"{k} is new") for k in range(3)}
+    assert "BroadcastHashJoin" not in plans["covers"]
+    assert ("BroadcastHashJoin" in plan(html_extract.extract(pages))) == bool(small)
